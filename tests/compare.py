@@ -85,7 +85,7 @@ def main(argv):
         i = argv.index("--sf")
         sf = argv[i + 1]
         argv = argv[:i] + argv[i + 2 :]
-    spark = build_session("compare", "local[8]", spark__sql__shuffle__partitions="8")
+    spark = build_session("compare", "local[8]", spark__sql__shuffle__partitions="8",spark__ui__showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")
     folder = f"/root/testdata/sf{sf}"
     con = connect(folder)
