@@ -18,8 +18,30 @@ from marketframe.functions.numeric import MICROS_PER_DAY, us
 CHUNK_DAYS = 7
 
 
+def _edge_rows(probe: DataFrame, events: DataFrame, keys: list[str], back: bool) -> DataFrame:
+    """For every chunk, the nearest event (struct ``_e``) of an earlier or, if not ``back``, a later chunk."""
+    pick = F.max if back else F.min
+    edges = (
+        events.groupBy(*keys, "_chunk")
+        .agg(pick("_e").alias("_e"))
+        .unionByName(probe.select(*keys, "_chunk").distinct(), allowMissingColumns=True)
+        .groupBy(*keys, "_chunk")
+        .agg(pick("_e").alias("_e"))
+    )
+    step = Window.partitionBy(*keys).orderBy(F.col("_chunk") if back else F.col("_chunk").desc())
+    return (
+        edges.withColumn("_e", pick("_e").over(step.rowsBetween(Window.unboundedPreceding, -1)))
+        .filter(F.col("_e").isNotNull())
+        .withColumn("_us", F.col("_e.us"))
+    )
+
+
 class RangeTimeline:
-    """Bars and events in one ordered table; ``payload`` columns are NULL on bar rows."""
+    """Bars and events in one ordered table; ``payload`` columns are NULL on bar rows.
+
+    ``values`` (with ``tie`` as order among equal times) are kept for as-of lookups with
+    :meth:`previous` and :meth:`next`.
+    """
 
     def __init__(
         self,
@@ -29,38 +51,50 @@ class RangeTimeline:
         payload: Sequence[str],
         lookback_days: float,
         chunk_days: float = CHUNK_DAYS,
+        values: Sequence[str] = (),
+        tie: Sequence[str] = (),
+        forward: bool = False,
     ):
         self.keys = list(keys)
         width = int(chunk_days * MICROS_PER_DAY)
         reach = int(lookback_days * MICROS_PER_DAY)
         chunk = F.floor(F.col("_us") / F.lit(width))
-        self._bar_columns = [c for c in bars.columns]
+        self._bar_columns = list(bars.columns)
         left = bars.withColumn("_us", us("ts")).withColumns({"_bar": F.lit(True), "_chunk": chunk})
-        right = (
-            events.select(*self.keys, us("ts").alias("_us"), *payload)
-            .withColumn(
-                "_chunk",
-                F.explode(F.sequence(chunk, F.floor((F.col("_us") + F.lit(reach)) / F.lit(width)))),
-            )
-            .withColumn("_bar", F.lit(False))
-        )
-        # seconds since the chunk's start keep time sums small enough for exact correlations
-        self.df = left.unionByName(right, allowMissingColumns=True).withColumn(
-            "_sec", F.when(~F.col("_bar"), (F.col("_us") - F.col("_chunk") * F.lit(width)) / 1e6)
+        timed = events.withColumn("_us", us("ts")).filter(F.col("_us").isNotNull())
+        right = timed.select(
+            *self.keys, "_us", *payload,
+            F.explode(F.sequence(chunk, F.floor((F.col("_us") + F.lit(reach)) / F.lit(width)))).alias("_chunk"),
         )
+        self.df = left.unionByName(right.withColumn("_bar", F.lit(False)), allowMissingColumns=True)
+        if values:
+            packed = F.struct(F.col("_us").alias("us"), *[F.col(c) for c in [*tie, *values]])
+            own = timed.select(*self.keys, "_us", chunk.alias("_chunk"), packed.alias("_e"))
+            for rows in [own, _edge_rows(left, own, self.keys, True)] + (
+                [_edge_rows(left, own, self.keys, False)] if forward else []
+            ):
+                self.df = self.df.unionByName(rows.withColumn("_bar", F.lit(False)), allowMissingColumns=True)
+
+    def _order(self, descending: bool = False) -> WindowSpec:
+        key = F.col("_us").desc() if descending else F.col("_us")
+        return Window.partitionBy(*self.keys, "_chunk").orderBy(key)
 
     def frame(self, days: float) -> WindowSpec:
         """Closed window [t - days, t] of the current row, peers included."""
-        return (
-            Window.partitionBy(*self.keys, "_chunk")
-            .orderBy("_us")
-            .rangeBetween(-int(days * MICROS_PER_DAY), Window.currentRow)
-        )
+        return self._order().rangeBetween(-int(days * MICROS_PER_DAY), Window.currentRow)
+
+    def previous(self) -> Column:
+        """Struct of the last event at or before the row's time."""
+        return F.max("_e").over(self._order().rangeBetween(Window.unboundedPreceding, Window.currentRow))
+
+    def next(self) -> Column:
+        """Struct of the first event strictly after the row's time."""
+        return F.min("_e").over(self._order(True).rangeBetween(Window.unboundedPreceding, -1))
 
     def bars(self, columns: dict[str, Column]) -> DataFrame:
         """Bar rows with the window expressions evaluated."""
         out = self.df.withColumns(columns).filter("_bar")
-        return out.select(*self._bar_columns, *columns)
+        return out.select(*self._bar_columns, *[F.col(f"`{c}`") for c in columns])
 
 
 def asof_join(
@@ -93,19 +127,7 @@ def asof_join(
         .select(*keys, "_us", chunk.alias("_chunk"), packed.alias("_e"))
         .filter(F.col("_us").isNotNull())
     )
-    edges = (
-        events.groupBy(*keys, "_chunk")
-        .agg(pick("_e").alias("_e"))
-        .unionByName(probe.select(*keys, "_chunk").distinct(), allowMissingColumns=True)
-        .groupBy(*keys, "_chunk")
-        .agg(pick("_e").alias("_e"))
-    )
-    step = Window.partitionBy(*keys).orderBy(F.col("_chunk") if back else F.col("_chunk").desc())
-    carry = (
-        edges.withColumn("_e", pick("_e").over(step.rowsBetween(Window.unboundedPreceding, -1)))
-        .filter(F.col("_e").isNotNull())
-        .withColumn("_us", F.col("_e.us"))
-    )
+    carry = _edge_rows(probe, events, keys, back)
     both = probe.withColumn("_probe", F.lit(True)).unionByName(
         events.unionByName(carry.select(events.columns)).withColumn("_probe", F.lit(False)), allowMissingColumns=True
     )

@@ -13,20 +13,31 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def rounded(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
-    """Doubles rounded for comparison between engines (adding 0 turns -0 into 0)."""
+    """Doubles rounded for comparison between engines.
+
+    The shift moves values that lie exactly between two roundings off the tie, and adding 0
+    turns -0 into 0.
+    """
     cols = []
     for field in df.schema.fields:
         col = F.col(f"`{field.name}`")
         if field.dataType.simpleString() == "double":
-            col = (F.round(col, special.get(field.name, digits)) + F.lit(0.0)).alias(field.name)
+            n = special.get(field.name, digits)
+            col = (F.round(col + F.lit(_shift(n)), n) + F.lit(0.0)).alias(field.name)
         cols.append(col)
     return df.select(*cols)
 
 
+def _shift(digits: int) -> float:
+    return 10.0 ** -(digits + 3)
+
+
 def rsql(body: str, plain: Sequence[str], doubles: Sequence[str], digits: int = 6, **special: int) -> str:
     """SQL that rounds the given double columns of ``body`` the same way."""
     cols = list(plain)
-    cols += [f'round("{d}", {special.get(d, digits)}) + 0.0::double as "{d}"' for d in doubles]
+    for d in doubles:
+        n = special.get(d, digits)
+        cols.append(f'round("{d}"::double + {_shift(n)!r}::double, {n}) + 0.0::double as "{d}"')
     return f"select {', '.join(cols)} from ({body}) _r"
 
 
