@@ -135,13 +135,13 @@ def _log(spark, folder):
     """Status log of the lineitem steps: each line of an order is an update."""
     items = derived.read(spark, folder, "lineitem")
     return items.select(
-        F.col("l_orderkey").alias("order_id"), F.col("l_shipdate").alias("ts"), F.col("l_linenumber").alias("seq"),
+        F.col("l_orderkey").alias("order_id"), F.col("l_shipdate").alias("ts"), (F.col("l_linenumber") * 100000000 + F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("seq"),
         F.when(F.col("l_linestatus") == "F", "filled").when(F.col("l_returnflag") == "N", "submitted").otherwise("accepted").alias("status"),
         F.col("l_quantity").alias("filled_qty"),
     )
 
 
-LOG = """log as (select l_orderkey as order_id, l_shipdate as ts, l_linenumber as seq, case when l_linestatus = 'F' then 'filled' when l_returnflag = 'N' then 'submitted' else 'accepted' end as status,
+LOG = """log as (select l_orderkey as order_id, l_shipdate as ts, l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey as seq, case when l_linestatus = 'F' then 'filled' when l_returnflag = 'N' then 'submitted' else 'accepted' end as status,
  l_quantity as filled_qty from lineitem)"""
 _add(
     "a43_order_rollup",
@@ -238,7 +238,7 @@ _add(
     lambda s, f: rounded(O.order_slices(_routed(s, f)).select("order_id", "line", "strategy", "slice_index", "slice_quantity")),
     rsql(with_sql([ROUTED, "sl as (select *, unnest(range(0, n))::int as slice_index from plans)",
                    "sz as (select *, case when strategy = 'vwap' then quantity / n * (1 + 0.2::double * sin(2 * pi() * slice_index / n)) else quantity / n end as sz from sl)"],
-                  """select order_id, line, strategy, slice_index, case when slice_index = n - 1 then quantity - coalesce(sum(sz) over (partition by order_id, line order by slice_index rows between unbounded preceding and 1 preceding), 0) else sz end as slice_quantity from sz"""),
+                  """select order_id, line, strategy, slice_index, case when slice_index = n - 1 then quantity - coalesce(sum(sz) over (partition by order_id, line, strategy, quantity, last_price, bid, ask order by slice_index rows between unbounded preceding and 1 preceding), 0) else sz end as slice_quantity from sz"""),
          ["order_id", "line", "strategy", "slice_index"], ["slice_quantity"]),
 )
 _add(
