@@ -182,6 +182,21 @@ def running_sums(chunks: Chunks, columns: dict[str, Column]) -> DataFrame:
     return out.drop(*helpers, "_rn", "_chunk", "_block", "_j", "_own")
 
 
+def running_max(df: DataFrame, keys: Sequence[str], columns: dict[str, Column], ts: str = "ts", tie: Sequence[str] = ()) -> DataFrame:
+    """Running maximum per key of each column, with chunk maxima as carry-in."""
+    c = row_chunks(df, keys, ts, tie)
+    terms = c.df.withColumns({f"_term_{n}": col for n, col in columns.items()})
+    group = [*keys, "_chunk"]
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    tops = terms.groupBy(*group).agg(*[F.max(f"_term_{n}").alias(f"_top_{n}") for n in columns])
+    carry = tops.select(*group, *[F.max(f"_top_{n}").over(before).alias(f"_carry_{n}") for n in columns])
+    inside = c.order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = terms.withColumns({f"_part_{n}": F.max(f"_term_{n}").over(inside) for n in columns}).join(carry, group)
+    out = out.withColumns({n: F.greatest(f"_part_{n}", f"_carry_{n}") for n in columns})
+    helpers = [f"{p}{n}" for p in ("_term_", "_part_", "_carry_") for n in columns]
+    return out.drop(*helpers, "_rn", "_chunk", "_block", "_j", "_own")
+
+
 def running_last(chunks: Chunks, columns: Sequence[str], forward: bool = True) -> DataFrame:
     """Own rows with missing values filled from the previous (or, backwards, the next) present value."""
     df = chunks.df.filter("_own")

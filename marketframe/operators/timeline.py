@@ -105,6 +105,7 @@ def asof_join(
     name: str,
     tie: Sequence[str] = (),
     offset_days: float = 0.0,
+    offset_us: int = 0,
     direction: str = "backward",
     chunk_days: float = CHUNK_DAYS,
 ) -> DataFrame:
@@ -115,7 +116,7 @@ def asof_join(
     """
     keys = list(keys)
     width = int(chunk_days * MICROS_PER_DAY)
-    shift = int(offset_days * MICROS_PER_DAY)
+    shift = int(offset_days * MICROS_PER_DAY) + offset_us
     back = direction == "backward"
     pick = F.max if back else F.min
     chunk = F.floor(F.col("_us") / F.lit(width))
