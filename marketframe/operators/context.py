@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketframe.functions.numeric import flag, ratio, zero
+from marketframe.functions.numeric import corr_from_sums, flag, ratio, zero
 from marketframe.operators.ordered import rolling, row_chunks, running_last
 from marketframe.operators.timeline import CHUNK_DAYS, RangeTimeline, asof_join
 
@@ -165,12 +165,18 @@ def index_correlation(
         y = F.col(f"_y_{p}")
         x = F.when(y.isNotNull(), F.col("_x"))
         for d in days:
-            frame = line.frame(d)
-            spread = F.stddev_pop(x).over(frame) * F.stddev_pop(y).over(frame)
-            corr = F.try_divide(F.covar_pop(x, y).over(frame), F.when(spread > 1e-300, spread))
-            enough = F.count(x).over(frame) >= min_obs
-            cols[f"{p}_correlation_{d}d"] = zero(F.when(enough & F.coalesce(f"_has_{p}", F.lit(False)), corr))
-    return line.bars(cols).drop(*[f"_has_{p}" for p in indexes])
+            n = line.total(F.when(y.isNotNull(), F.lit(1)), d)
+            cols[f"_n_{p}_{d}"] = n
+            for tag, term in (("sx", x), ("sy", y), ("sxx", x * x), ("syy", y * y), ("sxy", x * y)):
+                cols[f"_{tag}_{p}_{d}"] = line.total(term, d)
+    out = line.bars(cols)
+    corrs = {}
+    for p in indexes:
+        for d in days:
+            sums = [F.col(f"_{tag}_{p}_{d}") for tag in ("n", "sx", "sy", "sxx", "syy", "sxy")]
+            known = (sums[0] >= min_obs) & F.coalesce(f"_has_{p}", F.lit(False))
+            corrs[f"{p}_correlation_{d}d"] = zero(F.when(known, corr_from_sums(*sums)))
+    return out.withColumns(corrs).drop(*cols, *[f"_has_{p}" for p in indexes])
 
 
 def calendar_context(df: DataFrame) -> DataFrame:

@@ -73,22 +73,23 @@ def event_features(
     impact, kind = F.col("impact_score"), F.col("event_type")
     cols = {"_prev": line.previous(), "_next": line.next(), "_now": F.col("_us")}
     zero = lambda c: F.coalesce(c, F.lit(0.0))
+    one = F.lit(1)
+    seen = F.when(kind.isNotNull(), one)
     for d in days:
-        frame = line.frame(d)
-        cols[f"event_count_{d}d"] = F.count(kind).over(frame)
+        n = f"event_count_{d}d"
+        cols[n] = line.total(seen, d)
         if d not in lookbacks:
             continue
-        cols[f"high_impact_count_{d}d"] = F.count(F.when(impact >= 0.6, 1)).over(frame)
-        cols[f"max_impact_{d}d"] = zero(F.max(impact).over(frame))
-        cols[f"avg_impact_{d}d"] = zero(F.avg(impact).over(frame))
-        cols[f"sum_impact_{d}d"] = zero(F.sum(impact).over(frame))
+        cols[f"high_impact_count_{d}d"] = line.total(F.when(impact >= 0.6, one), d)
+        cols[f"max_impact_{d}d"] = zero(F.max(impact).over(line.frame(d)))
+        cols[f"_sum_{d}"] = line.total(impact, d)
         for t in thresholds:
-            cols[f"impact_above_{t}_{d}d"] = F.count(F.when(impact >= t, 1)).over(frame)
+            cols[f"impact_above_{t}_{d}d"] = line.total(F.when(impact >= t, one), d)
     for d in TYPE_DAYS:
         for name in event_types:
-            cols[f"{name}_count_{d}d"] = F.count(F.when(kind == name, 1)).over(line.frame(d))
+            cols[f"{name}_count_{d}d"] = line.total(F.when(kind == name, one), d)
     for d in CLUSTER_DAYS:
-        cols[f"event_cluster_{d}d"] = flag(F.count(kind).over(line.frame(d)) >= 3)
+        cols[f"event_cluster_{d}d"] = flag(line.total(seen, d) >= 3)
     for d in MOMENTUM_DAYS:
         frame = line.frame(d)
         spread = F.stddev_pop("_sec").over(frame) * F.stddev_pop(impact).over(frame)
@@ -99,7 +100,12 @@ def event_features(
         "_sec", F.when(kind.isNotNull(), (F.col("_us") - F.col("_chunk") * int(chunk_days * MICROS_PER_DAY)) / 1e6)
     )
     out = line.bars(cols)
-    return _finish(out, event_types)
+    means = {}
+    for d in lookbacks:
+        some = F.col(f"event_count_{d}d") > 0
+        means[f"sum_impact_{d}d"] = F.when(some, F.col(f"_sum_{d}")).otherwise(0.0)
+        means[f"avg_impact_{d}d"] = F.when(some, ratio(f"_sum_{d}", f"event_count_{d}d")).otherwise(0.0)
+    return _finish(out.withColumns(means).drop(*[f"_sum_{d}" for d in lookbacks]), event_types)
 
 
 def _finish(out: DataFrame, event_types: Sequence[str]) -> DataFrame:

@@ -63,6 +63,7 @@ def exact_quantiles(
         F.count(F.lit(1)).alias("_n"),
         F.percentile_approx("_v", sketch_probs, F.lit(accuracy)).alias("_q"),
     )
+    small = F.col("_n") <= 2 * accuracy  # the margin must span several ranks
     wanted = []
     for i, (name, p) in enumerate(probs.items()):
         low_ok, high_ok = brackets[i]
@@ -70,8 +71,8 @@ def exact_quantiles(
         wanted.append(
             F.struct(
                 F.lit(name).alias("name"),
-                (F.col("_q")[2 * i] if low_ok else F.lit(float("-inf"))).alias("lo"),
-                (F.col("_q")[2 * i + 1] if high_ok else F.lit(float("inf"))).alias("hi"),
+                F.when(small | F.lit(not low_ok), float("-inf")).otherwise(F.col("_q")[2 * i]).alias("lo"),
+                F.when(small | F.lit(not high_ok), float("inf")).otherwise(F.col("_q")[2 * i + 1]).alias("hi"),
                 h.cast("double").alias("h"),
             )
         )
@@ -95,7 +96,8 @@ def exact_quantiles(
         F.max(F.when(at_ceil, F.col("_v"))).alias("_hi"),
         F.max(F.col("h") - F.floor("h")).alias("_f"),
     )
-    value_at = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")
+    gap, f = F.col("_hi") - F.col("_lo"), F.col("_f")
+    value_at = F.when(f < 0.5, F.col("_lo") + gap * f).otherwise(F.col("_hi") - gap * (1 - f))
     return picked.groupBy(*keys).agg(
         *[F.max(F.when(F.col("name") == name, value_at)).alias(name) for name in probs]
     )

@@ -51,7 +51,7 @@ def _summaries(points: DataFrame, news: DataFrame, keys: list[str], tag: str, wi
     for d in windows:
         frame = line.frame(d)
         cols |= {
-            f"{tag}_n_{d}": F.count(s).over(frame),
+            f"{tag}_n_{d}": line.total(F.when(s.isNotNull(), F.lit(1)), d),
             f"{tag}_s_{d}": F.avg(s).over(frame),
             f"{tag}_vs_{d}": F.var_pop(s).over(frame),
             f"{tag}_t_{d}": F.avg("_sec").over(frame),
@@ -59,8 +59,8 @@ def _summaries(points: DataFrame, news: DataFrame, keys: list[str], tag: str, wi
             f"{tag}_c_{d}": F.covar_pop("_sec", s).over(frame),
             f"{tag}_min_{d}": F.min(s).over(frame),
             f"{tag}_max_{d}": F.max(s).over(frame),
-            f"{tag}_pos_{d}": F.count(F.when(s > 0.1, 1)).over(frame),
-            f"{tag}_neg_{d}": F.count(F.when(s < -0.1, 1)).over(frame),
+            f"{tag}_pos_{d}": line.total(F.when(s > 0.1, F.lit(1)), d),
+            f"{tag}_neg_{d}": line.total(F.when(s < -0.1, F.lit(1)), d),
         }
     return line.bars(cols)
 
@@ -168,12 +168,24 @@ def sentiment_features(
     market = sentiment.filter(F.col("symbol").isNull()).drop("symbol")
     points = bars.select("symbol", "ts")
     times = bars.select("ts").distinct()
+    # the row windows come first, on the narrow table, so that the wide one is not evaluated twice
+    daily = bars.withColumn("_day", day_number("ts")).join(daily_grid(bars, own, market), ["symbol", "_day"], "left")
+    for k in (1, 3):
+        daily = daily.withColumn(f"sentiment_change_{k}d", zero(F.col("day_mean") - F.col(f"mean_{k}")))
+    extra = {"chunk_rows": chunk_rows} if chunk_rows else {}
+    c = row_chunks(daily, halo=6, **extra)
+    change = F.col("sentiment_change_1d")
+    daily = c.with_columns(
+        {
+            "sentiment_acceleration": change - F.lag("sentiment_change_1d").over(c.order),
+            "sentiment_momentum_5d": rolling(c, change, 5),
+        }
+    ).own()
     o = _summaries(points, own, ["symbol"], "o", windows, chunk_days)
     m = _summaries(times, market, [], "m", windows, chunk_days)
-    joined = bars.withColumn("_day", day_number("ts")).join(o, ["symbol", "ts"], "left").join(m, ["ts"], "left")
+    joined = daily.join(o, ["symbol", "ts"], "left").join(m, ["ts"], "left")
     joined = joined.join(_day_prefix(points, own, ["symbol"], "po"), ["symbol", "ts"], "left")
     joined = joined.join(_day_prefix(times, market, [], "pm"), ["ts"], "left")
-    joined = joined.join(daily_grid(bars, own, market), ["symbol", "_day"], "left")
     moments: dict[str, Column] = {}
     for d in windows:
         moments |= _combine(d)
@@ -208,24 +220,12 @@ def sentiment_features(
         later[f"sentiment_decay_{h}d"] = _decayed_mean(latest, h)
     for d in VOLATILITY_DAYS:
         later[f"sentiment_volatility_{d}d"] = _volatility(d)
-    for k in (1, 3):
-        later[f"sentiment_change_{k}d"] = zero(F.col("day_mean") - F.col(f"mean_{k}"))
     later["news_frequency"] = F.col("news_count_7d") / 7.0
     for label in ("positive", "negative"):
         later[f"{label}_news_ratio"] = ratio(f"{label}_news_count_7d", F.col("news_count_7d") + 1)
     out = out.withColumns(later)
-    features = [*cols, *later]
-    out = out.select(*bars.columns, *features)
-    extra = {"chunk_rows": chunk_rows} if chunk_rows else {}
-    c = row_chunks(out, halo=6, **extra)
-    change = F.col("sentiment_change_1d")
-    c = c.with_columns(
-        {
-            "sentiment_acceleration": change - F.lag("sentiment_change_1d").over(c.order),
-            "sentiment_momentum_5d": rolling(c, change, 5),
-        }
-    )
-    return c.own()
+    momentum = ["sentiment_change_1d", "sentiment_change_3d", "sentiment_acceleration", "sentiment_momentum_5d"]
+    return out.select(*bars.columns, *cols, *later, *momentum)
 
 
 def _decayed_mean(latest: Column, half_life: int) -> Column:

@@ -83,6 +83,18 @@ class RangeTimeline:
         """Closed window [t - days, t] of the current row, peers included."""
         return self._order().rangeBetween(-int(days * MICROS_PER_DAY), Window.currentRow)
 
+    def total(self, value: Column, days: float) -> Column:
+        """Sum of ``value`` in [t - days, t] as the difference of two running sums.
+
+        Both frames start at the head of the chunk and only grow, so every row costs constant
+        work however many events the window holds. Use it for counts and for sums of values of
+        similar size; moments that must be exactly zero for constants need :meth:`frame`.
+        """
+        start = Window.unboundedPreceding
+        upto = F.sum(value).over(self._order().rangeBetween(start, Window.currentRow))
+        before = F.sum(value).over(self._order().rangeBetween(start, -int(days * MICROS_PER_DAY) - 1))
+        return F.coalesce(upto, F.lit(0)) - F.coalesce(before, F.lit(0))
+
     def previous(self) -> Column:
         """Struct of the last event at or before the row's time."""
         return F.max("_e").over(self._order().rangeBetween(Window.unboundedPreceding, Window.currentRow))

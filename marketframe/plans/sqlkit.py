@@ -29,7 +29,7 @@ def rounded(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
 
 
 def _shift(digits: int) -> float:
-    return 10.0 ** -(digits + 3)
+    return 0.7310585 * 10.0 ** -(digits + 3)
 
 
 def rsql(body: str, plain: Sequence[str], doubles: Sequence[str], digits: int = 6, **special: int) -> str:
