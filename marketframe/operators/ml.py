@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from marketframe.functions.numeric import ratio, zero
 from marketframe.operators.features import constant_features
+from marketframe.operators.lineage import cut
 from marketframe.operators.ordered import row_chunks
 from marketframe.operators.ranking import exact_quantiles, top_k
 
@@ -72,6 +73,11 @@ def preprocessing(columns: Sequence[str]) -> list:
 
 
 def train(df: DataFrame, columns: Sequence[str], name: str, task: str, classes: int = 2, **params) -> PipelineModel:
+    """Fit preprocessing and model; the training rows are materialised once, as fitting reads them repeatedly."""
+    return _fit(cut(df.select(*columns, "target")), columns, name, task, classes, **params)
+
+
+def _fit(df: DataFrame, columns: Sequence[str], name: str, task: str, classes: int = 2, **params) -> PipelineModel:
     return Pipeline(stages=[*preprocessing(columns), estimator(name, task, classes, **params)]).fit(df)
 
 
@@ -102,17 +108,16 @@ def search(
         import random
 
         combos = random.Random(42).sample(combos, draws)
-    tagged = expanding_folds(df, folds).cache()
+    tagged = cut(expanding_folds(df, folds))
     best: tuple[dict, float] = ({}, float("-inf"))
     for params in combos:
         scores = []
         for k in range(1, folds + 1):
-            model = train(tagged.filter(F.col("fold") < k), columns, name, task, **params)
+            model = _fit(tagged.filter(F.col("fold") < k), columns, name, task, **params)
             scores.append(_score(model.transform(tagged.filter(F.col("fold") == k)), task))
         mean = sum(scores) / len(scores)
         if mean > best[1]:
             best = (params, mean)
-    tagged.unpersist()
     return best
 
 
@@ -228,6 +233,7 @@ def stack(predictions: DataFrame, actuals: DataFrame, model_ids: Sequence[str],
     wide = stacking_table(predictions, model_ids).join(actuals, ["asset_id", "ts"])
     meta = LogisticRegression(labelCol="target") if task == "classification" else LinearRegression(labelCol="target")
     assembler = VectorAssembler(inputCols=list(model_ids), outputCol="features")
+    wide = cut(wide)
     return Pipeline(stages=[assembler, meta]).fit(wide), wide
 
 

@@ -73,7 +73,7 @@ def exact_quantiles(
                 F.lit(name).alias("name"),
                 F.when(small | F.lit(not low_ok), float("-inf")).otherwise(F.col("_q")[2 * i]).alias("lo"),
                 F.when(small | F.lit(not high_ok), float("inf")).otherwise(F.col("_q")[2 * i + 1]).alias("hi"),
-                h.cast("double").alias("h"),
+                F.when(F.abs(h - F.round(h)) < 1e-9, F.round(h)).otherwise(h).cast("double").alias("h"),
             )
         )
     targets = sketch.select(*keys, F.explode(F.array(*wanted)).alias("_w")).select(*keys, "_w.*")

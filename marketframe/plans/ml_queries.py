@@ -8,6 +8,7 @@ from marketframe.functions.numeric import lit_array
 from marketframe.operators import bars as B
 from marketframe.operators import features as M
 from marketframe.operators import ml as L
+from marketframe.operators.lineage import cut
 from marketframe.plans.sqlkit import PREDICTIONS, rounded, rsql, with_sql
 from marketframe.sources import derived
 
@@ -154,7 +155,7 @@ FEATS = ["price_change_pct", "high_low_pct", "open_close_pct", "volatility_5"]
 
 def _dataset(spark, folder):
     m = B.bar_features(derived.bars(spark, folder), ("price", "volatility"), totals=False, regime=False, calendar=False)
-    return M.ml_dataset(m, features=FEATS, min_samples=50)
+    return cut(M.ml_dataset(m, features=FEATS, min_samples=50))
 
 
 def q_train(name, task):
