@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketframe.functions.numeric import MICROS_PER_DAY, day_number, ratio, us, zero
+from marketframe.functions.numeric import MICROS_PER_DAY, day_number, ratio, std_from_sums, us, zero
 from marketframe.operators.ordered import rolling, row_chunks
 from marketframe.operators.timeline import CHUNK_DAYS, RangeTimeline
 
@@ -38,53 +38,32 @@ def _with_history(news: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _summaries(points: DataFrame, news: DataFrame, keys: list[str], tag: str, windows, chunk_days) -> DataFrame:
-    """Window moments and the last articles at every point (columns prefixed with ``tag``)."""
+    """Window sums and the last articles at every point (columns prefixed with ``tag``)."""
     line = RangeTimeline(
         points, _with_history(news, keys), keys, ["composite_sentiment"], max(windows), chunk_days, ["_last"], ["doc_id"]
     )
     width = int(chunk_days * MICROS_PER_DAY)
     s = F.col("composite_sentiment")
-    line.df = line.df.withColumn(
-        "_sec", F.when(s.isNotNull(), (F.col("_us") - F.col("_chunk") * F.lit(width)) / 1e6)
-    )
+    # days since the chunk's start: the same origin for both sources of a bar, and small numbers
+    line.df = line.df.withColumn("_t", F.when(s.isNotNull(), (F.col("_us") - F.col("_chunk") * F.lit(width)) / float(MICROS_PER_DAY)))
+    t = F.col("_t")
     cols = {f"{tag}_last": line.previous()["_last"]}
     for d in windows:
-        frame = line.frame(d)
-        cols |= {
-            f"{tag}_n_{d}": line.total(F.when(s.isNotNull(), F.lit(1)), d),
-            f"{tag}_s_{d}": F.avg(s).over(frame),
-            f"{tag}_vs_{d}": F.var_pop(s).over(frame),
-            f"{tag}_t_{d}": F.avg("_sec").over(frame),
-            f"{tag}_vt_{d}": F.var_pop("_sec").over(frame),
-            f"{tag}_c_{d}": F.covar_pop("_sec", s).over(frame),
-            f"{tag}_min_{d}": F.min(s).over(frame),
-            f"{tag}_max_{d}": F.max(s).over(frame),
-            f"{tag}_pos_{d}": line.total(F.when(s > 0.1, F.lit(1)), d),
-            f"{tag}_neg_{d}": line.total(F.when(s < -0.1, F.lit(1)), d),
+        terms = {
+            "n": F.when(s.isNotNull(), F.lit(1)), "pos": F.when(s > 0.1, F.lit(1)), "neg": F.when(s < -0.1, F.lit(1)),
+            "s": s, "ss": s * s, "t": t, "tt": t * t, "st": s * t,
         }
+        cols |= {f"{tag}_{name}_{d}": line.total(term, d) for name, term in terms.items()}
+        cols |= {f"{tag}_min_{d}": F.min(s).over(line.frame(d)), f"{tag}_max_{d}": F.max(s).over(line.frame(d))}
     return line.bars(cols)
 
 
 def _combine(d: int) -> dict[str, Column]:
-    """Moments of the union of own and market-wide articles in the d-day window."""
-
-    def get(tag, name):
-        return F.coalesce(F.col(f"{tag}_{name}_{d}"), F.lit(0)).cast("double")
-
-    n = get("o", "n") + get("m", "n")
-    mean = lambda x: ratio(get("o", "n") * get("o", x) + get("m", "n") * get("m", x), n)
-
-    def central(vo: Column, vm: Column, x: str, y: str) -> Column:
-        shift = (get("o", x) - get("m", x)) * (get("o", y) - get("m", y))
-        return ratio(get("o", "n") * vo + get("m", "n") * vm, n) + ratio(get("o", "n") * get("m", "n"), n * n) * shift
-
-    return {
-        f"_n_{d}": n,
-        f"_mean_{d}": mean("s"),
-        f"_vs_{d}": central(get("o", "vs"), get("m", "vs"), "s", "s"),
-        f"_vt_{d}": central(get("o", "vt"), get("m", "vt"), "t", "t"),
-        f"_c_{d}": central(get("o", "c"), get("m", "c"), "t", "s"),
-    }
+    """Sums over own and market-wide articles in the d-day window."""
+    add = lambda x: (
+        F.coalesce(F.col(f"o_{x}_{d}"), F.lit(0)).cast("double") + F.coalesce(F.col(f"m_{x}_{d}"), F.lit(0)).cast("double")
+    )
+    return {f"_{x}_{d}": add(x) for x in ("n", "s", "ss", "t", "tt", "st")}
 
 
 def _day_prefix(points: DataFrame, news: DataFrame, keys: list[str], tag: str) -> DataFrame:
@@ -196,14 +175,16 @@ def sentiment_features(
         cols[name] = F.coalesce(ratio(f"day_{source}", "day_n"), F.lit(default))
     for d in windows:
         n = F.col(f"_n_{d}")
-        vs, vt = F.col(f"_vs_{d}"), F.col(f"_vt_{d}")
-        spread = F.sqrt(F.greatest(vs, F.lit(0.0)) * F.greatest(vt, F.lit(0.0)))
-        cols[f"sentiment_avg_{d}d"] = zero(F.col(f"_mean_{d}"))
-        std = F.sqrt(F.greatest(ratio(vs * n, n - 1), F.lit(0.0)))
-        cols[f"sentiment_std_{d}d"] = F.when(n == 0, 0.0).when(n > 1, std)
+        total = {x: F.col(f"_{x}_{d}") for x in ("s", "ss", "t", "tt", "st")}
+        cols[f"sentiment_avg_{d}d"] = F.when(n > 0, ratio(total["s"], n)).otherwise(0.0)
+        cols[f"sentiment_std_{d}d"] = F.when(n == 0, 0.0).otherwise(std_from_sums(n, total["s"], total["ss"]))
         cols[f"sentiment_min_{d}d"] = zero(F.least(f"o_min_{d}", f"m_min_{d}"))
         cols[f"sentiment_max_{d}d"] = zero(F.greatest(f"o_max_{d}", f"m_max_{d}"))
-        trend = F.try_divide(F.col(f"_c_{d}"), F.when((vs > 1e-20) & (vt > 1e-6), spread))
+        # spreads at rounding level (a constant series, or articles within seconds) count as none
+        vs = ratio(total["ss"], n) - ratio(total["s"], n) * ratio(total["s"], n)
+        vt = ratio(total["tt"], n) - ratio(total["t"], n) * ratio(total["t"], n)
+        cov = ratio(total["st"], n) - ratio(total["s"], n) * ratio(total["t"], n)
+        trend = F.when((vs > 1e-12) & (vt > 1e-9), ratio(cov, F.sqrt(vs * vt)))
         cols[f"sentiment_trend_{d}d"] = zero(F.when(n >= 3, trend))
         cols[f"news_count_{d}d"] = n.cast("long")
         for side, label in (("pos", "positive"), ("neg", "negative")):
