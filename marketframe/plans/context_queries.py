@@ -332,7 +332,7 @@ _add(
          ["feature", "n_rows", "missing"], ["missing_percent", "min", "max", "mean"]),
 )
 _add("a11_medians", lambda s, f: rounded(M.medians(_matrix(s, f), FEATS)), rsql(with_sql([BARS, PRICE, FT], " union all ".join(f"select '{c}' as feature, quantile_cont({c}, 0.5) as median from ft where {c} is not null" for c in FEATS)), ["feature"], ["median"]))
-_add("a12_constant_features", lambda s, f: M.constant_features(_matrix(s, f), [*FEATS, "constant_one"]), "select 'constant_one' as feature")
+_add("a12_constant_features", lambda s, f: M.constant_features(_matrix(s, f), [*FEATS, "constant_one"]), with_sql([BARS, PRICE, FT], "select feature from (" + " union all ".join(f"select '{c}' as feature, min({c}) as lo, max({c}) as hi from ft" for c in [*FEATS, "constant_one"]) + ") where lo is null or lo = hi"))
 _add(
     "a13_symbols_with_enough_rows",
     lambda s, f: M.with_enough_rows(derived.bars(s, f), 650).select(*ID),
