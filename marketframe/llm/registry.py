@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("token_counts", "bpe", "warc", "simhash", "html_text")
+_MODULES = ("suffix_dedup", "lm_score", "bpe", "warc", "decontaminate", "simhash", "token_counts", "html_text")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
