@@ -198,6 +198,10 @@ def _features_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, x binary").groupBy("doc_id").agg(F.max("x").alias("x"))
 
 
+def held_out(doc_id: str = "doc_id") -> Column:
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit the model on at most ``sample_rows`` trusted positives and as many unlabelled rows.
 
