@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("suffix_dedup", "lm_score", "bpe", "warc", "decontaminate", "simhash", "quality", "token_counts", "html_text")
+_MODULES = ("suffix_dedup", "lm_score", "bpe", "ann", "warc", "decontaminate", "simhash", "quality", "token_counts", "html_text")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
