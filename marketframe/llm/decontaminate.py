@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketframe.llm import tokens
 from marketframe.llm.common import CHUNK_BYTES, chunks, read, utf8
@@ -196,10 +197,9 @@ def _pass(df: DataFrame, carried: list[str], ids: list, texts: list[bytes], wind
                 columns += [pa.array(values, pa.binary()), pa.array([np.packbits(marks).tobytes() for marks in hit], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in carried)
-    schema = f"{kinds}n_words long, n_hit long, items array<string>, longest_words long, longest_item string, longest_at long"
-    schema += "" if last else ", _bytes binary, _marks binary"
-    return df.mapInArrow(run, schema)
+    added = "n_words long, n_hit long, items array<string>, longest_words long, longest_item string, longest_at long"
+    added += "" if last else ", _bytes binary, _marks binary"
+    return df.mapInArrow(run, T.StructType([*(df.schema[c] for c in carried), *T.StructType.fromDDL(added)]))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, carried: list[str] | None = None, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:

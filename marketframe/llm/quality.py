@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketframe.llm import tokens
 from marketframe.llm.common import chunks, read, utf8
@@ -239,8 +240,8 @@ def scored(docs: DataFrame, model: Model, columns: list[str] | None = None) -> D
             score = model.score(model.mean + np.clip((x - model.mean) / model.scale, -8, 8) * model.scale)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(columns))), pa.array(score)], names=[*columns, "score"])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    out = docs.select(*columns, utf8().alias("_bytes")).mapInArrow(run, f"{kinds}, score double")
+    schema = T.StructType([*(docs.schema[c] for c in columns), T.StructField("score", T.DoubleType())])
+    out = docs.select(*columns, utf8().alias("_bytes")).mapInArrow(run, schema)
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

@@ -365,6 +365,26 @@ def joined_spans(begins: list[int], ends: list[int]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def without(text: bytes, runs: list[tuple[int, int]]) -> bytes:
+    parts, at = [], 0
+    for begin, end in runs:
+        parts.append(text[at:begin])
+        at = end
+    return b"".join([*parts, text[at:]])
+
+
+def whole_characters(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The runs without bytes of UTF-8 characters that lie in them only in part."""
+    out = []
+    for begin, end in runs:
+        while begin < end and text[begin] & 0xC0 == 0x80:
+            begin += 1
+        while end > begin and end < len(text) and text[end] & 0xC0 == 0x80:
+            end -= 1
+        out.append((begin, end))
+    return out
+
+
 def _cut(length: int, keep: bool):
     """Counts and the kept bytes of texts with ranges to remove."""
 
@@ -378,15 +398,10 @@ def _cut(length: int, keep: bool):
                     runs = [(0, len(text))]
                 else:
                     runs = joined_spans([r["from"] for r in ranges], [r["to"] for r in ranges])
-                digest, at, parts = hashlib.sha256(), 0, []
-                for begin, end in [*runs, (len(text), len(text))]:
-                    digest.update(text[at:begin])
-                    if keep:
-                        parts.append(text[at:begin])
-                    at = end
-                values = [sum(b - a for a, b in runs), len(runs), digest.hexdigest()]
+                kept = without(text, runs)
+                values = [sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept).hexdigest()]
                 if keep:
-                    values += [b"".join(parts), [a for a, _ in runs], [b for _, b in runs]]
+                    values += [without(text, whole_characters(text, runs)), [a for a, _ in runs], [b for _, b in runs]]
                 for column, value in zip(out, values):
                     column.append(value)
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
@@ -402,7 +417,8 @@ def identity(text: Column) -> list[Column]:
 
 def removals(docs: DataFrame, length: int = LENGTH, often: int = OFTEN, keep: bool = False) -> DataFrame:
     """For every different text of ``docs`` that may have repeats: one, two (its digests), n_removed, n_spans,
-    kept_sha256; with ``keep`` also kept (bytes), removed_from and removed_to.
+    kept_sha256; with ``keep`` also kept (UTF-8 bytes; a character that is removed only in part stays), removed_from and
+    removed_to.
 
     Three scans of ``docs``. Texts move twice (to their anchors, and those with repeats to their ranges), records of
     repeated anchors once or twice; equal texts are folded first.
