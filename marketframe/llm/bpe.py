@@ -8,6 +8,7 @@ ids the tokenizer file defines.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
@@ -23,15 +24,19 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketframe.llm.common import read
+from marketframe.llm.common import read, stored
 
 #: Words that the automaton holds at most; its size and that of the broadcast are bounded by this.
 LEXICON_WORDS = 50_000
 #: Words longer than this (in UTF-8 bytes) are left to the merges.
 LEXICON_BYTES = 64
-#: Encoded words a task remembers before it starts anew, and words it counts before it passes them on.
+#: Encoded words in each of the two generations that a Python worker remembers, and words it counts before it passes
+#: them on.
 MEMO_WORDS = 150_000
 COUNT_WORDS = 300_000
+#: Words of up to so many bytes are merged by scanning their pairs, longer ones by a heap.
+SHORT_WORD = 48
+NO_RANK = 1 << 62
 
 #: Characters whose composition, case and class are settled; a text with others is normalised by the library.
 UNUSUAL = regex.compile("[^\t\n\r -~ -ž‐-‧‰-⁞€]")
@@ -46,6 +51,11 @@ def byte_characters() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+@functools.lru_cache(maxsize=2)
+def vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(path)
+
+
 class Vocabulary:
     """Word splitting, exact merges and token strings of a tokenizer file with word ends."""
 
@@ -58,15 +68,18 @@ class Vocabulary:
         model = spec["model"]
         if model["type"] != "BPE" or not model["end_of_word_suffix"] or model["unk_token"] or spec["decoder"] or spec["post_processor"]:
             raise ValueError("this tokenizer file is not byte-level BPE with word ends and plain joining of tokens")
-        self.end = model["end_of_word_suffix"]
-        self.ids: dict[str, int] = model["vocab"]
-        self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): n for n, m in enumerate(model["merges"])}
-        self.tokens = {i: t for t, i in self.ids.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        ids: dict[str, int] = model["vocab"]
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        self.pairs = {ids[a] << 20 | ids[b]: n for n, (a, b) in enumerate(merges)}
+        self.merged = [ids[a + b] for a, b in merges]
+        self.tokens = {i: t for t, i in ids.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.at_special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")")
         self.pattern = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
-        self.characters = byte_characters()
-        self.bytes = {c: b for b, c in enumerate(self.characters)}
+        characters = byte_characters()
+        self.bytes = {c: b for b, c in enumerate(characters)}
+        self.of_byte = [ids[c] for c in characters]
+        self.of_last = [ids[c + model["end_of_word_suffix"]] for c in characters]
 
     def words(self, text: str) -> list[str]:
         """Normalised words of a text without special strings."""
@@ -89,32 +102,40 @@ class Vocabulary:
 
     def merge(self, word: str) -> list[int]:
         """Token ids of a word: always the pair of lowest rank first, the leftmost of equals."""
-        symbols = [self.characters[b] for b in word.encode("utf-8")]
-        symbols[-1] += self.end
-        ranks = self.ranks
-        following = list(range(1, len(symbols) + 1))
-        before = list(range(-1, len(symbols) - 1))
-        heap = [(ranks[pair], i, pair) for i, pair in enumerate(zip(symbols, symbols[1:])) if pair in ranks]
+        raw = word.encode("utf-8")
+        ids = [self.of_byte[b] for b in raw[:-1]]
+        ids.append(self.of_last[raw[-1]])
+        get, merged = self.pairs.get, self.merged
+        if len(ids) <= SHORT_WORD:
+            rank = [get(a << 20 | b, NO_RANK) for a, b in zip(ids, ids[1:])]
+            while rank and (least := min(rank)) < NO_RANK:
+                i = rank.index(least)
+                new = ids[i] = merged[least]
+                del ids[i + 1], rank[i]
+                if i:
+                    rank[i - 1] = get(ids[i - 1] << 20 | new, NO_RANK)
+                if i < len(rank):
+                    rank[i] = get(new << 20 | ids[i + 1], NO_RANK)
+            return ids
+        size = len(ids)
+        following = list(range(1, size + 1))
+        before = list(range(-1, size - 1))
+        heap = [(get(a << 20 | b, NO_RANK), i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:]))]
         heapq.heapify(heap)
-        size = len(symbols)
-        while heap:
-            _, i, pair = heapq.heappop(heap)
+        while heap and heap[0][0] < NO_RANK:
+            rank, i, a, b = heapq.heappop(heap)
             j = following[i]
-            if symbols[i] != pair[0] or j >= size or symbols[j] != pair[1]:
+            if ids[i] != a or j >= size or ids[j] != b:
                 continue
-            symbols[i] = pair[0] + pair[1]
-            symbols[j] = ""
+            ids[i], ids[j] = merged[rank], -1
             after = following[i] = following[j]
             if after < size:
                 before[after] = i
-                new = (symbols[i], symbols[after])
-                if new in ranks:
-                    heapq.heappush(heap, (ranks[new], i, new))
+                heapq.heappush(heap, (get(ids[i] << 20 | ids[after], NO_RANK), i, ids[i], ids[after]))
             if before[i] >= 0:
-                new = (symbols[before[i]], symbols[i])
-                if new in ranks:
-                    heapq.heappush(heap, (ranks[new], before[i], new))
-        return [self.ids[s] for s in symbols if s]
+                h = before[i]
+                heapq.heappush(heap, (get(ids[h] << 20 | ids[i], NO_RANK), h, ids[h], ids[i]))
+        return [i for i in ids if i >= 0]
 
 
 def compile_lexicon(entries: Iterable[tuple[bytes, list[int]]]) -> bytes:
@@ -201,7 +222,7 @@ def word_counts(docs: DataFrame, path: str) -> DataFrame:
     """How often each normalised word occurs in all texts: word, n. Tasks sum their own counts first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(path)
+        words_of = vocabulary(path).parts
         seen: Counter[str] = Counter()
 
         def out() -> pa.RecordBatch:
@@ -209,7 +230,7 @@ def word_counts(docs: DataFrame, path: str) -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0):
-                for _, words in vocabulary.parts(text.as_py() or ""):
+                for _, words in words_of(text.as_py() or ""):
                     seen.update(words)
                 if len(seen) > COUNT_WORDS:
                     yield out()
@@ -220,30 +241,39 @@ def word_counts(docs: DataFrame, path: str) -> DataFrame:
 
 
 def lexicon(docs: DataFrame, path: str, words: int = LEXICON_WORDS) -> bytes:
-    """The automaton of the ``words`` most frequent words of ``docs`` (ties by the word itself)."""
-    counts = word_counts(docs, path).where((F.octet_length("word") <= LEXICON_BYTES) & (F.octet_length("word") > 0))
-    top = counts.orderBy(F.desc("n"), "word").limit(words).select("word").collect()
-    vocabulary = Vocabulary(path)
-    return compile_lexicon((r.word.encode("utf-8"), vocabulary.merge(r.word)) for r in top)
+    """The automaton of the most frequent words of ``docs``: all above the least count that at most ``words`` reach."""
+    counts = stored(word_counts(docs, path).where((F.octet_length("word") <= LEXICON_BYTES) & (F.octet_length("word") > 0)), "words")
+    level = F.floor(F.log2("n") * 32)
+    found, least = 0, None
+    for row in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # some hundred levels
+        found += row["count"]
+        if found > words:
+            break
+        least = row.level
+    top = [] if least is None else counts.where(level >= least).select("word").collect()
+    merge = vocabulary(path).merge
+    return compile_lexicon((r.word.encode("utf-8"), merge(r.word)) for r in top)
 
 
 class Encoder:
     """Ids of whole texts from the mapped automaton, with merges for the words it lacks."""
 
     def __init__(self, path: str, compiled: bytes):
-        self.vocabulary = Vocabulary(path)
+        self.vocabulary = vocabulary(path)
         self.lexicon = Lexicon(compiled)
         self.memo: dict[str, tuple[int, str, str]] = {}
+        self.older: dict[str, tuple[int, str, str]] = {}
 
     def _entry(self, ids: list[int]) -> tuple[int, str, str]:
         tokens = self.vocabulary.tokens
         return len(ids), " ".join(map(str, ids)), " ".join([tokens[i] for i in ids])
 
     def _word(self, word: str) -> tuple[int, str, str]:
-        if len(self.memo) >= MEMO_WORDS:
-            self.memo.clear()
-        ids = self.lexicon.get(word.encode("utf-8"))
-        entry = self.memo[word] = self._entry(self.vocabulary.merge(word) if ids is None else ids)
+        entry = self.older.get(word)
+        if entry is None:
+            ids = self.lexicon.get(word.encode("utf-8"))
+            entry = self._entry(self.vocabulary.merge(word) if ids is None else ids)
+        self.memo[word] = entry
         return entry
 
     def encode(self, text: str) -> tuple[int, str, str]:
@@ -252,6 +282,8 @@ class Encoder:
         for special, words in self.vocabulary.parts(text):
             if special is not None:
                 entries.append(self._entry([special]))
+            if len(self.memo) >= MEMO_WORDS:
+                self.older, self.memo = self.memo, {}
             memo = self.memo
             entries.extend([memo.get(word) or self._word(word) for word in words])
         if not entries:
@@ -260,8 +292,15 @@ class Encoder:
         return sum(counts), " ".join(ids), " ".join(tokens)
 
 
-def encoded(docs: DataFrame, path: str, words: int = LEXICON_WORDS, keep: bool = False) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256; with ``keep`` also ids and decoded.
+@functools.lru_cache(maxsize=1)
+def encoder(path: str, digest: str, compiled: bytes) -> Encoder:
+    """The encoder of a Python worker, kept for its next tasks. ``digest`` names ``compiled``."""
+    return Encoder(path, compiled)
+
+
+def encoded(docs: DataFrame, path: str, words: int = LEXICON_WORDS, ids: bool = False, decoded: bool = False) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256; also ids
+    (array) and decoded (text) where asked for.
 
     ``path`` is a byte-level BPE file with word ends that every executor has. Special strings in a text become their
     ids, no others are added; decoding keeps them. A missing text is empty: no tokens, the digests of nothing. A
@@ -269,29 +308,29 @@ def encoded(docs: DataFrame, path: str, words: int = LEXICON_WORDS, keep: bool =
     words (pre-aggregated in the tasks), one encodes; texts are never shuffled. The broadcast automaton holds
     ``words`` words of at most ``LEXICON_BYTES`` bytes, whatever the corpus.
     """
-    compiled = docs.sparkSession.sparkContext.broadcast(lexicon(docs, path, words))
+    automaton = lexicon(docs, path, words)
+    digest = hashlib.sha256(automaton).hexdigest()
+    compiled = docs.sparkSession.sparkContext.broadcast(automaton)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, compiled.value)
+        kept = encoder(path, digest, compiled.value)
         for batch in batches:
             counts, ids_digests, decoded_digests, ids_list, decoded_list = [], [], [], [], []
             for text in batch.column(1):
-                n, ids, tokens = encoder.encode(text.as_py() or "")
+                n, numbers, tokens = kept.encode(text.as_py() or "")
                 counts.append(n)
-                ids_digests.append(hashlib.sha256(ids.encode()).hexdigest())
+                ids_digests.append(hashlib.sha256(numbers.encode()).hexdigest())
                 decoded_digests.append(hashlib.sha256(tokens.encode("utf-8")).hexdigest())
-                if keep:
-                    ids_list.append([int(i) for i in ids.split()])
+                if ids:
+                    ids_list.append(np.array(numbers.split(), np.int32))
+                if decoded:
                     decoded_list.append(tokens)
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_digests, pa.string()), pa.array(decoded_digests, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if keep:
-                columns += [pa.array(ids_list, pa.list_(pa.int32())), pa.array(decoded_list, pa.string())]
-                names += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            columns += [pa.array(ids_list, pa.list_(pa.int32()))] * ids + [pa.array(decoded_list, pa.string())] * decoded
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids + ["decoded"] * decoded)
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    schema += ", ids array<int>, decoded string" if keep else ""
+    schema += ", ids array<int>" * ids + ", decoded string" * decoded
     return docs.select("doc_id", "text").mapInArrow(encode, schema)
 
 
