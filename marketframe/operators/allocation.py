@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketframe.functions.numeric import corr_agg, lit_map, ratio, zero
@@ -33,11 +33,14 @@ def _capped(df: DataFrame, keys: Sequence[str], cap: float) -> DataFrame:
     return out.withColumn("allocation", scale).drop("_group")
 
 
+def _score() -> Column:
+    strength = F.coalesce(F.try_element_at(lit_map(STRENGTH), F.col("strength")), F.lit(1.0))
+    return F.col("confidence") * strength * (F.abs(F.col("prediction_value") - 0.5) * 2.0 + 1.0)
+
+
 def base_allocation(signals: DataFrame, run: str = "run_id", max_exposure: float = MAX_EXPOSURE) -> DataFrame:
     """Share of the exposure proportional to confidence x strength x (1 + |2p - 1|)."""
-    strength = F.coalesce(F.try_element_at(lit_map(STRENGTH), F.col("strength")), F.lit(1.0))
-    score = F.col("confidence") * strength * (F.abs(F.col("prediction_value") - 0.5) * 2.0 + 1.0)
-    out = _with_total(signals.withColumn("_score", score), [run], "_score", "_total")
+    out = _with_total(signals.withColumn("_score", _score()), [run], "_score", "_total")
     share = F.when(F.col("_total") > 0, ratio("_score", "_total") * min(max_exposure, 1.0)).otherwise(F.col("_score"))
     return out.withColumn("allocation", share).drop("_score", "_total")
 
@@ -63,13 +66,15 @@ def correlation_pairs(returns: DataFrame, min_obs: int = 10) -> DataFrame:
     return half.filter(F.col("n_obs") >= min_obs).select(sides.alias("_p"), "corr").select("_p.*", "corr")
 
 
-def correlation_clusters(pairs: DataFrame, threshold: float = 0.7, group: str = "run_id") -> DataFrame:
-    """Greedy clusters per group: in symbol order, each free symbol takes its free neighbours.
+def correlation_clusters(pairs: DataFrame, threshold: float = 0.7, group: str | None = None) -> DataFrame:
+    """Greedy clusters: in symbol order, each free symbol takes its free neighbours.
 
-    Only pairs above the threshold reach the grouped map; a group holds the strongly
-    correlated pairs of one universe of assets.
+    With ``group`` there are clusters per value of that column, without it one set for all runs. Only pairs above
+    the threshold reach the grouped map; they are bounded by the universe of assets, not by rows.
     """
     edges = pairs.filter(F.col("corr") > threshold)
+    if group is None:
+        return correlation_clusters(pairs.withColumn("_all", F.lit(0)), threshold, "_all").drop("_all")
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         near: dict[str, list[str]] = {}
@@ -92,7 +97,8 @@ def correlation_clusters(pairs: DataFrame, threshold: float = 0.7, group: str =
 
 def cap_clusters(allocated: DataFrame, clusters: DataFrame, run: str = "run_id") -> DataFrame:
     """Scale the allocations of correlated assets to the cluster cap."""
-    out = allocated.join(clusters, [run, "asset_id"], "left")
+    keys = [run, "asset_id"] if run in clusters.columns else ["asset_id"]
+    out = allocated.join(clusters, keys, "left")
     lone = F.coalesce("cluster", F.concat(F.lit("#"), F.col("signal_id")))
     out = _with_total(out.withColumn("_cluster", lone), [run, "_cluster"], "allocation", "_group")
     over = F.col("cluster").isNotNull() & (F.col("_group") > CLUSTER_CAP)
@@ -119,13 +125,48 @@ def optimise(allocated: DataFrame, run: str = "run_id", max_exposure: float = MA
 
 
 def allocate(
-    signals: DataFrame, run: str = "run_id", clusters: DataFrame | None = None, regime: Column | None = None
+    signals: DataFrame, run: str = "run_id", clusters: DataFrame | None = None, regime: Column | None = None,
+    max_exposure: float = MAX_EXPOSURE,
 ) -> DataFrame:
-    """Valid signals of every run with their final ``allocation``."""
-    out = diversify(base_allocation(signals, run), run)
-    if clusters is not None:
-        out = cap_clusters(out, clusters, run)
-    return optimise(risk_limits(out, run, regime), run)
+    """Valid signals of every run with their final ``allocation``.
+
+    Every step scales all signals of a cell (run, sector, type, cluster, regime) alike. So the scores are summed per
+    cell once, all caps are worked out on that small table, and each signal gets its cell's factor: two scans of the
+    signals, whatever the number of caps. A run's cells are bounded by its sectors, types and clusters.
+    """
+    score = _score().alias("_score")
+    factor = F.lit(1.0) if regime is None else F.coalesce(F.try_element_at(lit_map(REGIME), regime), F.lit(1.0))
+    scored = signals.withColumns({"_score": score, "sector": F.coalesce("sector", F.lit("Unknown")), "_regime": factor})
+    if clusters is None:
+        scored = scored.withColumn("cluster", F.lit(None).cast("string"))
+    else:
+        scored = scored.join(clusters, [run, "asset_id"] if run in clusters.columns else ["asset_id"], "left")
+    keys = [run, "sector", "signal_type", "cluster", "_regime"]
+    cells = scored.groupBy(*keys).agg(F.sum("_score").alias("_sum"))
+
+    def total(*by: str) -> Column:
+        return F.sum("_al").over(Window.partitionBy(run, *by))
+
+    def capped(cells: DataFrame, group: Column, cap: float, where: Column | None = None) -> DataFrame:
+        over = F.col("_group") > cap if where is None else where & (F.col("_group") > cap)
+        scaled = F.when(over, F.col("_al") * ratio(F.lit(cap), "_group")).otherwise(F.col("_al"))
+        return cells.withColumn("_group", group).withColumn("_al", scaled)
+
+    cells = cells.withColumn("_al", F.col("_sum")).withColumn("_group", total())
+    share = F.when(F.col("_group") > 0, ratio("_al", "_group") * min(max_exposure, 1.0)).otherwise(F.col("_al"))
+    cells = cells.withColumn("_al", share)
+    cells = capped(cells, total("sector"), SECTOR_CAP)
+    cells = capped(cells, total("signal_type"), TYPE_CAP)
+    cells = capped(cells, total("cluster"), CLUSTER_CAP, F.col("cluster").isNotNull())
+    var = F.col("_group") * DAILY_VOL * VAR_FACTOR
+    cells = cells.withColumn("_group", total())
+    cells = cells.withColumn("_al", F.col("_al") * F.when(var > MAX_VAR, ratio(F.lit(MAX_VAR), var)).otherwise(1.0) * F.col("_regime"))
+    boost = F.when(F.col("signal_type") == "momentum", 1.0 + MOMENTUM_BIAS).otherwise(1.0)
+    cells = capped(cells.withColumn("_al", F.col("_al") * boost * VOL_SCALE), total(), max_exposure)
+    factors = cells.select(*[F.col(k).alias(f"_{k}") for k in keys], F.coalesce(ratio("_al", "_sum"), F.lit(0.0)).alias("_factor"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    out = scored.join(factors, same).withColumn("allocation", F.col("_score") * F.col("_factor"))
+    return out.select(*signals.columns, "allocation").filter(F.col("allocation") >= MIN_SIZE)
 
 
 def portfolio_metrics(allocated: DataFrame, run: str = "run_id") -> DataFrame:

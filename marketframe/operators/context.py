@@ -16,7 +16,7 @@ from marketframe.operators.ordered import rolling, row_chunks, running_last
 from marketframe.operators.timeline import CHUNK_DAYS, RangeTimeline, asof_join
 
 REGIME_WINDOWS = (20, 50, 200)
-SECTOR_DAYS = (5, 10, 20)
+SECTOR_DAYS = (5, 10, 20, 50)
 CORRELATION_DAYS = (20, 60)
 REGIMES = ("bull", "neutral", "bear")
 VOL_REGIMES = ("low", "medium", "high", "extreme")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from marketframe.functions import text as X
@@ -19,7 +20,7 @@ EVENT_COLUMNS = [
 
 def event_id() -> Column:
     """Deterministic key, so that storing the same event twice writes the same id."""
-    return F.sha2(F.concat_ws("|", "title", "event_type", F.col("ts").cast("string")), 256)
+    return F.sha2(F.concat_ws("|", "title", "event_type", F.col("ts").cast("string"), "source", F.col("doc_id").cast("string")), 256)
 
 
 def news_to_events(news: DataFrame, min_impact: float = 0.3, conditions=None) -> DataFrame:
@@ -45,6 +46,7 @@ def news_to_events(news: DataFrame, min_impact: float = 0.3, conditions=None) ->
         "doc_id", "ts", "source", "entity", "entities",
         F.col("_title").alias("title"),
         X.truncated(F.col("_content"), 200).alias("description"),
+        F.col("_content").alias("content"),
         F.explode_outer(tagged).alias("_e"),
     ).filter(F.col("_e").isNotNull())
     scored = X.score_impact(rows.select("*", "_e.*").drop("_e"), conditions)
@@ -58,22 +60,34 @@ def event_entities(events: DataFrame) -> DataFrame:
     return X.explode_entities(events, ["event_id"])
 
 
-def write_events(events: DataFrame, folder: str) -> None:
-    """Store events and entities as Parquet partitioned by event date.
+def write_events(events: DataFrame, folder: str, batch: str | int | None = None) -> None:
+    """Add events and entities to the store, as Parquet by event date and batch.
 
-    Ids are deterministic and each date partition is replaced as a whole, so a retry or a
-    second run over the same articles leaves the same rows.
+    A batch replaces only what the same batch wrote before, so batches of one date stand side by side and a
+    repeated batch changes nothing. Without a name a batch gets a new one; ids are deterministic, and
+    :func:`read_events` returns an event that several batches hold once.
     """
-    dated = events.withColumn("date", F.to_date("ts"))
-    for name, table in (
+    name = str(uuid.uuid4().hex if batch is None else batch)
+    dated = events.withColumns({"date": F.to_date("ts"), "batch": F.lit(f"b{name}")})
+    for part, table in (
         ("events", dated.drop("entities")),
-        ("entities", X.explode_entities(dated, ["event_id", "date"])),
+        ("entities", X.explode_entities(dated, ["event_id", "date", "batch"])),
     ):
-        table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(
-            f"{folder}/{name}"
+        table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch").parquet(
+            f"{folder}/{part}"
         )
 
 
+def read_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored events, each once."""
+    return spark.read.parquet(f"{folder}/events").drop("batch", "date").dropDuplicates(["event_id"])
+
+
+def read_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """Entities of the stored events, each once."""
+    return spark.read.parquet(f"{folder}/entities").drop("batch", "date").distinct()
+
+
 def query_events(
     events: DataFrame,
     event_type: str | None = None,
@@ -81,10 +95,10 @@ def query_events(
     min_impact: float | None = None,
     start: str | None = None,
     end: str | None = None,
-    limit: int | None = 100,
+    limit: int | None = None,
     tie: str = "event_id",
 ) -> DataFrame:
-    """Stored events by optional filters, newest first. An empty or zero filter is no filter."""
+    """Stored events by optional filters; with ``limit`` the newest, newest first. An empty or zero filter is no filter."""
     out = filter_events(events, event_type, ticker, min_impact, start, end)
     if limit is None:
         return out
@@ -173,13 +187,13 @@ def backtest_dataset(
     )
 
 
-def market_moving(events: DataFrame, as_of: str, days: int = 7, min_impact: float = 0.7, limit: int = 50) -> DataFrame:
-    """The latest ``limit`` events above the threshold, most important first."""
+def market_moving(events: DataFrame, as_of: str, days: int = 7, min_impact: float = 0.7, limit: int | None = None) -> DataFrame:
+    """Events above the threshold, most important first; with ``limit`` only so many of the latest."""
     end = F.lit(as_of).cast("timestamp_ntz")
     recent = filter_events(events, min_impact=min_impact).filter(
         (F.col("ts") >= end - F.expr(f"interval {days} days")) & (F.col("ts") <= end)
     )
-    latest = recent.orderBy(F.desc("ts"), F.asc("event_id")).limit(limit)
+    latest = recent if limit is None else recent.orderBy(F.desc("ts"), F.asc("event_id")).limit(limit)
     return latest.orderBy(F.desc("impact_score"), F.asc("event_id"))
 
 

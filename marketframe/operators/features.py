@@ -129,13 +129,13 @@ def align_columns(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (
 def ml_dataset(
     df: DataFrame, target: str = "price_change_pct", horizon: int = 1, features: Sequence[str] | None = None, min_samples: int = 100
 ) -> DataFrame:
-    """symbol, ts, features (median filled) and the target of ``horizon`` rows later."""
+    """symbol, ts, features and the target of ``horizon`` rows later. Missing features stay missing: a fitted pipeline
+    fills them with what it saw in training."""
     enough = with_enough_rows(df, min_samples)
     c = row_chunks(enough, ahead=horizon + 1)
     out = c.with_columns({"_target": F.lead(target, horizon).over(c.order)}).own().filter(F.col("_target").isNotNull())
     columns, _ = choose_columns(out.drop("_target"), features)
-    out = out.select("symbol", "ts", *columns, F.col("_target").alias("target"))
-    return fill_medians(out, columns)
+    return out.select("symbol", "ts", *columns, F.col("_target").alias("target"))
 
 
 def correlated_features(df: DataFrame, columns: Sequence[str], limit: float = 0.95) -> DataFrame:

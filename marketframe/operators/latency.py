@@ -13,17 +13,16 @@ from marketframe.operators.ranking import exact_quantiles, top_k
 # Alert thresholds in milliseconds.
 THRESHOLDS = {"signal_to_order": 5.0, "order_submission": 10.0, "broker_response": 50.0, "end_to_end": 100.0}
 COMPONENTS = ["signal_to_order", "order_creation", "order_validation", "order_submission", "broker_response"]
-LAST = 10_000
 PERCENTILES = {"p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99, "p99_9": 0.999}
 
 
-def recent(latency: DataFrame, last: int = LAST) -> DataFrame:
+def recent(latency: DataFrame, last: int) -> DataFrame:
     """The latest measurements of every metric."""
     return top_k(latency, ["metric"], [F.desc("ts"), F.desc("event_id")], last)
 
 
-def latency_stats(latency: DataFrame, last: int | None = LAST) -> DataFrame:
-    """Count, mean, median, p95, p99, range and deviation per metric over its latest measurements."""
+def latency_stats(latency: DataFrame, last: int | None = None) -> DataFrame:
+    """Count, mean, median, p95, p99, range and deviation per metric; with ``last`` over so many of its latest measurements."""
     rows = recent(latency, last) if last else latency
     basic = rows.groupBy("metric").agg(
         F.count(F.lit(1)).alias("count"), F.avg("latency_ms").alias("mean"), F.min("latency_ms").alias("min_value"),
@@ -34,7 +33,7 @@ def latency_stats(latency: DataFrame, last: int | None = LAST) -> DataFrame:
     return basic.join(median, "metric").join(tails, "metric")
 
 
-def percentile_breakdown(latency: DataFrame, last: int | None = LAST) -> DataFrame:
+def percentile_breakdown(latency: DataFrame, last: int | None = None) -> DataFrame:
     rows = recent(latency, last) if last else latency
     return exact_quantiles(rows, ["metric"], "latency_ms", PERCENTILES, interpolate=False)
 
@@ -47,8 +46,10 @@ def alerts(latency: DataFrame, thresholds: dict[str, float] | None = None) -> Da
     return out.withColumn("severity", F.when(F.col("latency_ms") > F.col("threshold") * 2, "HIGH").otherwise("MEDIUM"))
 
 
-def recent_alerts(latency: DataFrame, n: int = 10) -> DataFrame:
-    return alerts(latency).orderBy(F.desc("ts"), F.desc("event_id")).limit(n)
+def recent_alerts(latency: DataFrame, n: int | None = None) -> DataFrame:
+    """Alerts, newest first; with ``n`` so many."""
+    out = alerts(latency).orderBy(F.desc("ts"), F.desc("event_id"))
+    return out if n is None else out.limit(n)
 
 
 def latency_summary(latency: DataFrame, alert_seconds: int = 300) -> DataFrame:

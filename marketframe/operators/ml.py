@@ -286,13 +286,14 @@ def prediction_summary(predictions: DataFrame) -> DataFrame:
     )
 
 
-def prediction_history(predictions: DataFrame, asset: str | None = None, model: str | None = None, last: int = 100) -> DataFrame:
+def prediction_history(predictions: DataFrame, asset: str | None = None, model: str | None = None, last: int | None = None) -> DataFrame:
     out = predictions
     if asset:
         out = out.filter(F.col("asset_id") == asset)
     if model:
         out = out.filter(F.col("model_id") == model)
-    return out.orderBy(F.desc("ts"), F.desc("pred_id")).limit(last)
+    out = out.orderBy(F.desc("ts"), F.desc("pred_id"))
+    return out if last is None else out.limit(last)
 
 
 def list_models(registry: DataFrame, model_type: str | None = None, target: str | None = None, tags: Sequence[str] = ()) -> DataFrame:

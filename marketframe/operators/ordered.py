@@ -126,25 +126,36 @@ def decayed_sum(chunks: Chunks, value: Column, decay: float, hold: int = 0) -> C
     ``hold`` of the key count as if they sat at that position (a smoothing started by a plain
     sum of its first rows).
     """
+    if decay <= 0:
+        return F.coalesce(value.cast("double"), F.lit(0.0))
     blocks_back = _blocks_back(decay)
+    size = _block_rows(decay)
+    block = F.col("_block") if size == BLOCK else F.floor(F.col("_rn") / F.lit(size))
     inside = (
-        Window.partitionBy(*chunks.keys, "_chunk", "_block")
+        Window.partitionBy(*chunks.keys, "_chunk", block)
         .orderBy("_rn")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    across = Window.partitionBy(*chunks.keys, "_chunk").orderBy("_block")
-    j = F.col("_j")
+    across = Window.partitionBy(*chunks.keys, "_chunk").orderBy(block)
+    j = F.col("_j") if size == BLOCK else (F.col("_rn") % F.lit(size)).cast("double")
     at = F.when(F.col("_rn") < hold, F.lit(float(hold))).otherwise(j) if hold else j
     term = value.cast("double") * F.pow(F.lit(1.0 / decay), at)
     total = F.pow(F.lit(decay), j) * F.coalesce(F.sum(term).over(inside), F.lit(0.0))
     for back in range(1, blocks_back + 1):
         earlier = F.sum(term).over(across.rangeBetween(-back, -back))
-        total = total + F.pow(F.lit(decay), j + F.lit(float(back * BLOCK))) * F.coalesce(earlier, F.lit(0.0))
+        total = total + F.pow(F.lit(decay), j + F.lit(float(back * size))) * F.coalesce(earlier, F.lit(0.0))
     return total
 
 
+def _block_rows(decay: float) -> int:
+    """Rows of a block: as many as keep decay^-rows far below the largest double."""
+    return min(BLOCK, max(1, int(600.0 / -math.log(decay))))
+
+
 def _blocks_back(decay: float) -> int:
-    return max(1, math.ceil(math.log(1e-17) / math.log(decay) / BLOCK))
+    if decay <= 0:
+        return 1
+    return max(1, math.ceil(math.log(1e-17) / math.log(decay) / _block_rows(decay)))
 
 
 def ewm(chunks: Chunks, value: Column, span: int) -> Column:

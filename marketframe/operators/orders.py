@@ -319,7 +319,7 @@ def routing_summary(plans: DataFrame) -> DataFrame:
     )
 
 
-def engine_rates(log: DataFrame, minutes: int = 60 * 24 * 30) -> DataFrame:
+def engine_rates(log: DataFrame, minutes: int = 60 * 24 * 30, signal: str = "signal_id") -> DataFrame:
     """Per time window: signals and orders per minute and success percentage."""
     window = F.window("created_at", f"{minutes} minutes")
     n = F.count(F.lit(1))
@@ -327,7 +327,7 @@ def engine_rates(log: DataFrame, minutes: int = 60 * 24 * 30) -> DataFrame:
         log.groupBy(window.alias("_w"))
         .agg(
             n.alias("orders_created"),
-            (F.count_distinct("portfolio") / float(minutes)).alias("signals_per_minute"),
+            (F.count_distinct(signal) / float(minutes)).alias("signals_per_minute"),
             (n / float(minutes)).alias("orders_per_minute"),
             (F.count_if(F.col("status") == "filled") * 100.0 / n).alias("success_percent"),
         )

@@ -305,7 +305,7 @@ def strategy_fills(signals: DataFrame, bars: DataFrame, capital: float = CAPITAL
         (F.col("position_size") * capital / F.col("close")).alias("quantity"),
         F.sha2(F.concat_ws("|", "model_id", "asset_id", F.col("ts").cast("string"), "trigger"), 256).alias("order_id"),
     ).join(bars.select("symbol", "ts", "close", "volume"), ["symbol", "ts"])
-    filled = model_fills(trades.withColumns({"portfolio_value": F.lit(capital), "volume": F.col("volume") * 1e6}), model)
+    filled = model_fills(trades.withColumn("portfolio_value", F.lit(capital)), model)
     return filled.select(
         "portfolio", "symbol", "ts", "side", "order_id", F.lit(0).alias("fill_no"),
         F.col("fill_quantity").alias("quantity"), F.col("fill_price").alias("price"), "commission",

@@ -353,9 +353,8 @@ _ml = [*FEATS, "target"]
 _add(
     "l7_ml_dataset",
     lambda s, f: rounded(M.ml_dataset(_matrix(s, f), features=FEATS, min_samples=100).select(*ID, *_ml)),
-    rsql(with_sql([BARS, PRICE, FT, "lt as (select * from (select *, lead(price_change_pct) over (partition by symbol order by ts) as target, count(*) over (partition by symbol) as n from ft) where target is not null and n >= 100)",
-                   "md as (select " + ", ".join(f"quantile_cont({c}, 0.5) as m_{c}" for c in FEATS) + " from lt)"],
-                  "select symbol, ts, " + ", ".join(f"coalesce({c}, m_{c}) as {c}" for c in FEATS) + ", target from lt, md"), ID, _ml),
+    rsql(with_sql([BARS, PRICE, FT, "lt as (select * from (select *, lead(price_change_pct) over (partition by symbol order by ts) as target, count(*) over (partition by symbol) as n from ft) where target is not null and n >= 100)"],
+                  "select symbol, ts, " + ", ".join(FEATS) + ", target from lt"), ID, _ml),
 )
 
 

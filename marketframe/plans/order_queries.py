@@ -249,7 +249,7 @@ _add(
 _add(
     "a29_engine_rates",
     lambda s, f: rounded(O.engine_rates(derived.order_log(s, f), 60 * 24), 8),
-    rsql(with_sql([ORDER_LOG], "select date_trunc('day', created_at)::timestamp as window_start, count(*) as orders_created, count(distinct portfolio) / 1440.0::double as signals_per_minute, count(*) / 1440.0::double as orders_per_minute, count(*) filter (status = 'filled') * 100.0::double / count(*) as success_percent from order_log group by 1"),
+    rsql(with_sql([ORDER_LOG], "select date_trunc('day', created_at)::timestamp as window_start, count(*) as orders_created, count(distinct signal_id) / 1440.0::double as signals_per_minute, count(*) / 1440.0::double as orders_per_minute, count(*) filter (status = 'filled') * 100.0::double / count(*) as success_percent from order_log group by 1"),
          ["window_start", "orders_created"], ["signals_per_minute", "orders_per_minute", "success_percent"], 8),
 )
 
@@ -307,7 +307,7 @@ _add(
 _add(
     "a31_latency_percentiles",
     lambda s, f: rounded(L.percentile_breakdown(derived.latency(s, f))),
-    rsql(with_sql([LATENCY, _SORTED.format(k=10000)], "select metric, " + ", ".join(f"{_at(p)} as {n}" for n, p in L.PERCENTILES.items()) + " from so"), ["metric"], list(L.PERCENTILES)),
+    rsql(with_sql([LATENCY, _SORTED.format(k="9223372036854775807")], "select metric, " + ", ".join(f"{_at(p)} as {n}" for n, p in L.PERCENTILES.items()) + " from so"), ["metric"], list(L.PERCENTILES)),
 )
 _add(
     "a32_latency_summary",
@@ -331,7 +331,7 @@ _add(
 )
 _add(
     "t12_recent_alerts",
-    lambda s, f: L.recent_alerts(derived.latency(s, f)).select("event_id", "metric", "severity"),
+    lambda s, f: L.recent_alerts(derived.latency(s, f), 10).select("event_id", "metric", "severity"),
     with_sql([LATENCY, _AL], "select event_id, metric, case when latency_ms > 2 * threshold then 'HIGH' else 'MEDIUM' end as severity from al where latency_ms > threshold order by ts desc, event_id desc limit 10"),
 )
 _add(

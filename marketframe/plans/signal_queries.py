@@ -122,13 +122,13 @@ REV = f"""re as (select symbol as asset_id, ts, 'reversal' as signal_type, case
 
 def _scored_events(spark, folder):
     e = derived.read(spark, folder, "events")
-    return e.filter(F.col("user_id") % 10 == 0).select(
+    return e.select(
         "event_id", F.col("event_type").alias("symbol"), "ts", (F.lit(0.5) + F.col("event_id") % 50 / 100.0).alias("confidence"),
         ((F.col("event_id") % 21 - 10) / 10.0).alias("sentiment"),
     )
 
 
-EVS = "evs as (select event_id, event_type as symbol, ts, 0.5::double + (event_id % 50) / 100.0::double as conf, (event_id % 21 - 10) / 10.0::double as sen from events where user_id % 10 = 0)"
+EVS = "evs as (select event_id, event_type as symbol, ts, 0.5::double + (event_id % 50) / 100.0::double as conf, (event_id % 21 - 10) / 10.0::double as sen from events)"
 EVT = """ev as (select b.symbol as asset_id, b.ts, 'event_driven' as signal_type, case when sen > 0 then 'long' else 'short' end as direction, 'strong' as strength,
  case when sen > 0 then least(0.9::double, conf + 0.1::double) else least(0.9::double, conf) end as confidence, case when sen > 0 then 0.08 else 0.5 end::double as position_size, null::double as stop_loss, null::double as take_profit,
  'event_driven_strategy' as model_id, event_id::varchar as trigger from bars b join evs e on e.symbol = b.symbol and abs(epoch_us(b.ts) - epoch_us(e.ts)) < 3600000000 where conf > 0.7::double and abs(sen) > 0.5::double)"""
@@ -286,14 +286,50 @@ _add(
 )
 
 
-def q_clusters(spark, folder):
-    """Allocation with clusters at a low threshold, so that the synthetic series form some."""
-    pairs = A.correlation_pairs(_returns(spark, folder))
-    sig = _alloc_input(spark, folder)
-    runs = pairs.withColumn("run_id", F.lit(0).cast("long"))
-    clusters = A.correlation_clusters(runs, -0.05)
-    out = A.cap_clusters(A.diversify(A.base_allocation(sig)), clusters)
-    return rounded(out.select(*_ak, "allocation"))
+_TRIO = ["click", "view", "purchase"]
 
 
-_add("m11_cluster_cap", q_clusters)  # greedy clusters: rows only, checked in tests
+def _linked_returns(spark, folder):
+    """Returns of which three series follow the mean of all, so that they form a cluster."""
+    returns = _returns(spark, folder)
+    mean = returns.groupBy("ts").agg(F.avg("ret").alias("_m"))
+    return returns.join(mean, "ts").withColumn("ret", F.col("ret") + F.when(F.col("symbol").isin(_TRIO), F.col("_m") * 8.0).otherwise(0.0))
+
+
+def _clusters(spark, folder):
+    return A.correlation_clusters(A.correlation_pairs(_linked_returns(spark, folder)), 0.7)
+
+
+_CLUSTERS = ["""m as (select ts, avg(price_change_pct) as m from p where price_change_pct is not null group by ts)""",
+"""q as (select symbol, ts, price_change_pct + case when symbol in ('click', 'view', 'purchase') then 8 * m else 0 end as r from p join m using (ts) where price_change_pct is not null)""",
+"""edges as (select x.symbol as a, y.symbol as b from q x join q y on x.ts = y.ts and x.symbol <> y.symbol group by 1, 2
+ having count(*) >= 10 and covar_pop(x.r, y.r) / (stddev_pop(x.r) * stddev_pop(y.r)) > 0.7)""",
+"""nb as (select a, list(b order by b) as bs, row_number() over (order by a) as rn from edges group by a)""",
+"""g(i, taken, members) as (select 0::bigint, []::varchar[], []::varchar[][] union all
+ select i + 1, case when list_contains(taken, a) or len(f) = 0 then taken else list_concat(taken, [a], f) end,
+ case when list_contains(taken, a) or len(f) = 0 then members else list_concat(members, list_transform(list_concat([a], f), lambda x: [x, a])) end
+ from (select g.*, nb.a, list_filter(nb.bs, lambda x: not list_contains(taken, x)) as f from g join nb on nb.rn = g.i + 1))""",
+"""cl as (select u[1] as asset_id, u[2] as cluster from (select unnest(members) as u from (select members from g order by i desc limit 1)))"""]
+_CAPPED = "b2c as (select * replace (case when cluster is not null and cs > 0.35::double then al * (0.35::double / cs) else al end as al) from (select b2.*, cluster, sum(al) over (partition by run_id, cluster) as cs from b2 left join cl using (asset_id)))"
+
+
+def _recursive(sql):
+    return sql.replace("with ", "with recursive ", 1)
+
+
+_add(
+    "m11_correlation_clusters",
+    lambda s, f: _clusters(s, f),
+    _recursive(with_sql([BARS, PRICE, *_CLUSTERS], "select * from cl")),
+)
+_add(
+    "m11_cluster_cap",
+    lambda s, f: rounded(A.cap_clusters(A.diversify(A.base_allocation(_alloc_input(s, f))), _clusters(s, f)).select(*_ak, "allocation")),
+    rsql(_recursive(with_sql([BARS, PRICE, *_CLUSTERS, PRED, _sig_sql(True), *_alloc_sql("type"), _CAPPED], _key_sql("b2c"))), _ak, ["allocation"]),
+)
+_add(
+    "m11_m12_m13_allocation_with_clusters",
+    lambda s, f: rounded(A.allocate(_alloc_input(s, f), clusters=_clusters(s, f), regime=F.lit("volatile")).select(*_ak, "allocation")),
+    rsql(_recursive(with_sql([BARS, PRICE, *_CLUSTERS, PRED, _sig_sql(True), *_alloc_sql("type"), _CAPPED,
+        *[x.replace("from b2)", "from b2c)").replace("else 1 end as al)", "else 1 end * 0.8::double as al)") if x.startswith("b3 ") else x for x in _alloc_sql("opt")[3:]]], _key_sql("b4") + " where al >= 0.01::double")), _ak, ["allocation"]),
+)

@@ -49,18 +49,18 @@ def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-BARS = """bars as (select event_type as symbol, cast(date_trunc('hour', ts) as timestamp) as ts, min_by(value, ts) as open,
- max(value) as high, min(value) as low, max_by(value, ts) as close, cast(count(*) as double) as volume
+BARS = """bars as (select event_type as symbol, cast(date_trunc('hour', ts) as timestamp) as ts, min_by(value, (ts, event_id)) as open,
+ max(value) as high, min(value) as low, max_by(value, (ts, event_id)) as close, cast(count(*) as double) as volume
  from events group by 1, 2)"""
 
 _TYPES = " ".join(f"when {i} then '{t}'" for i, t in enumerate(TYPE_CODES))
 DETECTIONS = f"""detections as (select event_id, event_type as symbol, ts,
  case user_id % 9 {_TYPES} end as event_type, least(value / cast(100 as double), cast(1 as double)) as impact_score
- from events where user_id % 10 = 0)"""
+ from events)"""
 
 _STEMS = " ".join(f"when {i} then {quoted(h)}" for i, h in enumerate(HEADLINES))
 NEWS = f"""news as (select doc_id, timestamp '2024-01-01 00:00:00' + (doc_id % 720) * interval '1' hour as ts,
- (case doc_id % 10 {_STEMS} end) || ' ' || substring(text, 1, 60) as title, text as content, source, lang,
+ (case doc_id % 10 {_STEMS} end) || ' ' || string_split(text, chr(10))[1] as title, text as content, source, lang,
  case doc_id % 6 when 0 then 'click' when 1 then 'view' when 2 then 'purchase' when 3 then 'signup'
  when 4 then 'error' else null end as symbol from documents)"""
 
@@ -72,7 +72,7 @@ FILLS = """fills as (select l_orderkey as order_id, l_linenumber as fill_no, cas
 
 ORDER_LOG = """order_log as (select o_orderkey as order_id, cast(o_custkey % 20 as varchar) as portfolio,
  o_orderdate as created_at, case o_orderstatus when 'F' then 'filled' when 'P' then 'partially_filled'
- else 'submitted' end as status, o_totalprice as order_value from orders)"""
+ else 'submitted' end as status, o_totalprice as order_value, o_custkey as signal_id from orders)"""
 
 LATENCY = """latency as (select event_id, user_id as order_id, case event_type when 'click' then 'signal_to_order'
  when 'view' then 'order_submission' when 'purchase' then 'broker_response' when 'signup' then 'end_to_end'

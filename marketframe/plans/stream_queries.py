@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketframe.operators import bars as B
-from marketframe.plans.sqlkit import BARS, LATENCY, with_sql
+from marketframe.plans.sqlkit import BARS, LATENCY, rounded, rsql, with_sql
+from marketframe.plans.text_queries import STORE_CTES
 from marketframe.session import checkpoint_folder
-from marketframe.sources import derived
+from marketframe.sources import derived, sinks
 from marketframe.streaming import pipelines as T
 
 QUERIES: dict = {}
@@ -70,3 +71,60 @@ _add(
     lambda s, f: B.latest_bar(derived.bars(s, f)),
     with_sql([BARS], "select * from bars qualify row_number() over (partition by symbol order by ts desc) = 1"),
 )
+
+
+def q_news_events(spark, folder):
+    events = _finished(T.news_events(derived.news_of(_stream(spark, folder, "documents"))))
+    return events.select("event_id", "doc_id", "event_type", "ticker")
+
+
+def q_rates(spark, folder):
+    log = _stream(spark, folder, "events").select("ts", F.when(F.col("event_type") == "purchase", "filled").otherwise("submitted").alias("status"))
+    return _finished(T.rates_per_minute(log)).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+def q_near(spark, folder):
+    bars = _stream(spark, folder, "events").filter(F.col("event_id") % 7 == 0).select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("close"))
+    other = _stream(spark, folder, "events").select(F.col("event_type").alias("symbol"), "ts", "event_id")
+    near = _finished(T.events_near_bars(bars, other))
+    return near.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
+def q_streaks(spark, folder):
+    errors = _stream(spark, folder, "events").filter(F.col("event_type") == "error").select((F.col("user_id") % 3).cast("string").alias("source"), "ts")
+    out = _finished(T.error_streaks(errors, "60 minutes"))
+    return out.withColumn("first_error", F.col("first_error").cast("timestamp_ntz"))
+
+
+def q_refresh(spark, folder):
+    """Features of bars that arrive in three batches, read back from the refreshed store."""
+    base = f"{checkpoint_folder(spark)}/refresh-{uuid.uuid4().hex}"
+    write = T.refresh_features(f"{base}/bars", 3, lambda b: b.withColumn("range", F.col("high") - F.col("low")), f"{base}/features")
+    bars = derived.bars(spark, folder)
+    for batch in (2, 0, 1):
+        write(bars.filter(F.pmod(F.xxhash64("symbol", "ts"), F.lit(3)) == batch), batch)
+    return sinks.read_features(spark, f"{base}/features").select("symbol", "ts", "range")
+
+
+_add("st3_s15_refreshed_features", lambda s, f: rounded(q_refresh(s, f)), rsql(with_sql([BARS], "select symbol, ts, high - low as range from bars"), ["symbol", "ts"], ["range"]))
+_add("st2_stream_news_events", q_news_events, with_sql(STORE_CTES, "select event_id, doc_id, event_type, ticker from store"))
+_add(
+    "st7_stream_rates",
+    q_rates,
+    """select date_trunc('minute', ts)::timestamp as window_start, count(*) as orders, count(*) filter (event_type = 'purchase') as filled from events group by 1
+    having window_start + interval 1 minute <= (select max(ts) from events) - interval 10 minute""",
+)
+_add(
+    "st6_stream_events_near_bars",
+    q_near,
+    """select b.event_type as symbol, count(*) as n, sum(e.event_id)::bigint as ids from events b join events e on b.event_type = e.event_type
+    and e.ts > b.ts - interval 1 hour and e.ts < b.ts + interval 1 hour where b.event_id % 7 = 0 group by 1""",
+)
+_add(
+    "st9_stream_error_streaks",
+    q_streaks,
+    """select source, min(ts)::timestamp as first_error, count(*) as streak, count(*) >= 3 as halt, count(*) >= 5 as circuit_breaker from (
+    select *, sum(new) over (partition by source order by ts, event_id) as k from (select *, case when ts - lag(ts) over (partition by source order by ts, event_id) < interval 60 minute then 0 else 1 end as new
+    from (select event_id, cast(user_id % 3 as varchar) as source, ts from events where event_type = 'error')))
+    group by source, k having max(ts) + interval 60 minute <= (select max(ts) from events where event_type = 'error') - interval 10 minute""",
+)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from marketframe.functions import text as X
 from marketframe.operators import event_store as S
 from marketframe.operators.ranking import top_k
 from marketframe.plans.sqlkit import NEWS, quoted, rounded, rsql, with_sql
+from marketframe.session import checkpoint_folder
 from marketframe.sources import derived, feeds
 
 QUERIES: dict = {}
@@ -159,12 +162,12 @@ _add(
 
 # ------------------------------------------------------------------ impact
 
-DETE = f"dete as (select d.doc_id, d.ts, source, event_rank, event_type, confidence, {_ents} as entity, title, {DESC} as description from det d join ent using (doc_id))"
+DETE = f"dete as (select d.doc_id, d.ts, source, event_rank, event_type, confidence, {_ents} as entity, title, content, {DESC} as description from det d join ent using (doc_id))"
 MET = f"""met as (select *, {_has('low', 'beat')} and {_has('low', 'estimate')} as beat,
  {_any('low', ['guidance', 'outlook', 'forecast'])} as talk, {_any('low', ['raise', 'increase', 'upgrade'])} as up,
  {_any('low', ['lower', 'cut', 'reduce'])} as dn, regexp_extract_all(low, {quoted(lex.PERCENTAGE)}, 1) as pct,
  regexp_extract_all(low, {quoted(lex.DOLLARS)}, 1) as amt, regexp_extract_all(low, {quoted(lex.DOLLARS)}, 2) as unit
- from (select *, lower(title || ' ' || description) as low from dete))"""
+ from (select *, lower(title || ' ' || content) as low from dete))"""
 
 
 def q_metrics(spark, folder):
@@ -372,7 +375,7 @@ def _events(spark, folder):
     return S.news_to_events(derived.news(spark, folder))
 
 
-STORE = """store as (select sha256(concat_ws('|', i.title, i.event_type, i.ts::varchar)) as event_id, i.doc_id, i.ts, i.title, i.description, i.entity, i.event_type,
+STORE = """store as (select sha256(concat_ws('|', i.title, i.event_type, i.ts::varchar, i.source, i.doc_id::varchar)) as event_id, i.doc_id, i.ts, i.title, i.description, i.entity, i.event_type,
  i.confidence as classification_confidence, i.impact_level, i.impact_score, i.price_target_change, i.volatility_increase, '1-5 days' as time_horizon,
  i.impact_confidence, i.source as source_name, p.ticker, p.sector from imp i left join prim p using (doc_id) where i.impact_score >= 0.3)"""
 STORE_CTES = [NEWS, ART, ENT, DET, DETE, MET, _impact_cte(), SPANS, LINK, PRIM, STORE]
@@ -385,6 +388,24 @@ def _store_sql(body, plain=_store_plain, doubles=_store_doubles):
 
 
 _add("s13_st02_news_to_events", lambda s, f: rounded(_events(s, f).drop("entities")), _store_sql("select * from store"))
+
+
+def _stored(spark, folder):
+    """The events written in two batches that share their dates, one of them twice, read back from the store."""
+    events = _events(spark, folder)
+    path = f"{checkpoint_folder(spark)}/events-{uuid.uuid4().hex}"
+    half = F.pmod(F.xxhash64("event_id"), F.lit(2))
+    for batch in (0, 1, 1):
+        S.write_events(events.where(half == batch), path, batch)
+    return path
+
+
+_add("s13_store_read_back", lambda s, f: rounded(S.read_events(s, _stored(s, f))), _store_sql("select * from store"))
+_add(
+    "s14_store_entities",
+    lambda s, f: S.read_entities(s, _stored(s, f)).select("event_id", "entity_rank", "text", "ticker", "start_char"),
+    with_sql(STORE_CTES, "select distinct event_id, entity_rank::int as entity_rank, text, link.ticker, start_char from store join link using (doc_id)"),
+)
 _add(
     "s13_j16_event_entities",
     lambda s, f: S.event_entities(_events(s, f)).select("event_id", "entity_rank", "text", "ticker", "start_char"),
@@ -435,7 +456,7 @@ _add(
 )
 _add(
     "t03_market_moving_events",
-    lambda s, f: rounded(S.market_moving(_events(s, f), "2024-01-30 00:00:00").select("event_id", "ts", "impact_score")),
+    lambda s, f: rounded(S.market_moving(_events(s, f), "2024-01-30 00:00:00", limit=50).select("event_id", "ts", "impact_score")),
     rsql(with_sql(STORE_CTES, """select event_id, ts, impact_score from (select * from store where impact_score >= 0.7 and ts >= timestamp '2024-01-23 00:00:00'
     and ts <= timestamp '2024-01-30 00:00:00' order by ts desc, event_id limit 50) order by impact_score desc, event_id"""), ["event_id", "ts"], ["impact_score"]),
 )

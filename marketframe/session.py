@@ -39,6 +39,15 @@ def build_session(app: str = "marketframe", master: str | None = None, **conf: s
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """Folder for stream and lineage checkpoints: the cluster's, or a fresh one where none is named."""
+    """Folder for stream and lineage checkpoints, shared by all executors: the one in spark.checkpoint.dir.
+
+    A session of one process may go without the setting and gets a folder of its own; on a cluster it must be set.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or tempfile.mkdtemp(prefix="marketframe-ckpt-")
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="marketframe-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder

@@ -34,10 +34,10 @@ def bars(spark: SparkSession, folder: str) -> DataFrame:
     return (
         events.groupBy(F.col("event_type").alias("symbol"), F.date_trunc("hour", "ts").cast(NTZ).alias("hour"))
         .agg(
-            F.min_by("value", "ts").alias("open"),
+            F.min_by("value", F.struct("ts", "event_id")).alias("open"),
             F.max("value").alias("high"),
             F.min("value").alias("low"),
-            F.max_by("value", "ts").alias("close"),
+            F.max_by("value", F.struct("ts", "event_id")).alias("close"),
             F.count(F.lit(1)).cast("double").alias("volume"),
         )
         .select("symbol", F.col("hour").alias("ts"), "open", "high", "low", "close", "volume")
@@ -64,10 +64,10 @@ TYPE_CODES = [
 
 
 def detections(spark: SparkSession, folder: str) -> DataFrame:
-    """Every event row seen as a detected event; the filter of a tenth is the table's definition."""
+    """Every event row seen as a detected event."""
     events = read(spark, folder, "events")
     code = (F.col("user_id") % 9).cast("int")
-    return events.filter(F.col("user_id") % 10 == 0).select(
+    return events.select(
         "event_id",
         F.col("event_type").alias("symbol"),
         "ts",
@@ -77,7 +77,11 @@ def detections(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def news(spark: SparkSession, folder: str) -> DataFrame:
-    docs = read(spark, folder, "documents")
+    return news_of(read(spark, folder, "documents"))
+
+
+def news_of(docs: DataFrame) -> DataFrame:
+    """News articles of a (streaming) table of documents."""
     stem = F.get(F.array(*[F.lit(h) for h in HEADLINES]), (F.col("doc_id") % 10).cast("int"))
     slot = F.col("doc_id") % 6
     symbol = (
@@ -88,7 +92,7 @@ def news(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select(
         "doc_id",
         F.timestamp_seconds(start + (F.col("doc_id") % 720) * 3600).cast(NTZ).alias("ts"),
-        F.concat_ws(" ", stem, F.substring("text", 1, 60)).alias("title"),
+        F.concat_ws(" ", stem, F.substring_index("text", "\n", 1)).alias("title"),
         F.col("text").alias("content"),
         "source",
         "lang",
@@ -120,6 +124,7 @@ def order_log(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("o_orderstatus") == "F", "filled").when(F.col("o_orderstatus") == "P", "partially_filled")
         .otherwise("submitted").alias("status"),
         F.col("o_totalprice").alias("order_value"),
+        F.col("o_custkey").alias("signal_id"),
     )
 
 

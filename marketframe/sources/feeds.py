@@ -101,7 +101,7 @@ def search_news(
     start=None,
     end=None,
     language: str | None = "en",
-    page_size: int | None = 100,
+    page_size: int | None = None,
 ) -> DataFrame:
     """Newest articles that contain one of the OR-ed query terms in title or content."""
     out = between(news, "ts", start, end)

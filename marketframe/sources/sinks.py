@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 
 def write_features(features: DataFrame, folder: str) -> None:
-    """Feature matrix by date, sorted inside the files; only the dates written are replaced."""
-    dated = features.withColumn("date", F.to_date("ts"))
-    dated.repartition("date", "symbol").sortWithinPartitions("date", "symbol", "ts").write.mode("overwrite").option(
+    """Feature matrix by date and symbol, sorted inside the files; only the days and symbols written are replaced.
+
+    The folder names carry a copy of the symbol, so that its type survives the way through them.
+    """
+    dated = features.withColumns({"date": F.to_date("ts"), "_part": F.concat(F.lit("s"), F.col("symbol").cast("string"))})
+    dated.repartition("date", "_part").sortWithinPartitions("date", "_part", "ts").write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
-    ).partitionBy("date").parquet(folder)
+    ).partitionBy("date", "_part").parquet(folder)
 
 
 def read_features(spark: SparkSession, folder: str, symbols=(), start=None, end=None) -> DataFrame:
@@ -22,8 +25,8 @@ def read_features(spark: SparkSession, folder: str, symbols=(), start=None, end=
     if end is not None:
         out = out.filter(F.col("date") <= F.lit(end).cast("date"))
     if symbols:
-        out = out.filter(F.col("symbol").isin(list(symbols)))
-    return out.drop("date")
+        out = out.filter(F.col("_part").isin([f"s{s}" for s in symbols]))
+    return out.drop("date", "_part")
 
 
 def export_backtest(equity: DataFrame, fills: DataFrame, metrics: DataFrame, folder: str) -> None:

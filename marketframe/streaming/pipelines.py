@@ -19,6 +19,7 @@ from marketframe.operators.event_store import news_to_events
 from marketframe.operators.latency import THRESHOLDS
 from marketframe.operators.orders import map_status
 from marketframe.session import checkpoint_folder
+from marketframe.sources.sinks import write_features
 
 LATE = "10 minutes"
 
@@ -155,26 +156,27 @@ def order_fills(updates: DataFrame, late: str = LATE, idle_minutes: int = 24 * 6
 def refresh_features(
     store: str, lookback_days: int, features: Callable[[DataFrame], DataFrame], out: str
 ) -> Callable[[DataFrame, int], None]:
-    """Batch writer that keeps bars by date and recomputes features for the touched symbols and days.
+    """Batch writer that keeps bars by date and recomputes the features that a batch can change.
 
-    Each batch replaces whole date partitions, so a repeated batch leaves the same files.
+    Bars are stored by date and batch; of several versions of a bar that of the latest batch counts. A batch
+    touches a symbol's days from its first bar to ``lookback_days`` after its last, so a late bar also renews the
+    days that look back on it. Features are stored by date and symbol and replaced as a whole, so each bar has one
+    row of features and a repeated batch leaves the same files.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         dated = batch.withColumns({"date": F.to_date("ts"), "batch": F.lit(batch_id)})
         dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch").parquet(store)
-        touched = dated.groupBy("symbol").agg(F.min("date").alias("_from"), F.max("date").alias("_to"))
+        touched = dated.groupBy("symbol").agg(F.min("date").alias("_from"), F.date_add(F.max("date"), lookback_days).alias("_to"))
         bounds = dated.agg(F.min("date"), F.max("date")).first()
         if bounds[0] is None:
             return
-        recent = spark.read.parquet(store).filter(F.col("date") >= F.date_sub(F.lit(bounds[0]), lookback_days)).drop("batch")
-        rows = recent.join(touched.select("symbol"), "symbol", "left_semi").dropDuplicates(["symbol", "ts"]).drop("date")
-        fresh = features(rows).withColumn("date", F.to_date("ts")).join(touched, "symbol").filter(
-            (F.col("date") >= F.col("_from")) & (F.col("date") <= F.col("_to"))
-        ).drop("_from", "_to")
-        fresh.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-            "date", "batch"
-        ).parquet(out)
+        near = F.col("date").between(F.date_sub(F.lit(bounds[0]), lookback_days), F.date_add(F.lit(bounds[1]), lookback_days))
+        rows = spark.read.parquet(store).filter(near).join(touched.select("symbol"), "symbol", "left_semi")
+        rest = [c for c in rows.columns if c not in ("symbol", "ts", "date", "batch")]
+        latest = rows.groupBy("symbol", "ts").agg(F.max_by(F.struct(*rest), "batch").alias("_bar")).select("symbol", "ts", "_bar.*")
+        fresh = features(latest).join(touched, "symbol").filter(F.to_date("ts").between(F.col("_from"), F.col("_to")))
+        write_features(fresh.drop("_from", "_to"), out)
 
     return write

@@ -47,7 +47,7 @@ def test_rolling_and_lag_cross_chunks(table, series):
     np.testing.assert_allclose(got["d"].astype(float), expected(series, lambda s: s.rolling(20).std()), rtol=1e-6, atol=1e-9)
 
 
-@pytest.mark.parametrize("span", [5, 26, 200])
+@pytest.mark.parametrize("span", [2, 3, 5, 26, 200])
 def test_exponential_mean(table, series, span):
     c = row_chunks(table, halo=5 * BLOCK, chunk_rows=5 * BLOCK)
     c = c.with_columns({"e": ewm(c, F.col("x"), span)})

@@ -96,13 +96,15 @@ def test_fallback_score(spark):
     assert (row["impact_level"], row["impact_score"], row["impact_confidence"]) == ("minimal", 0.1, 0.3)
 
 
-def test_event_store_is_idempotent(spark, tmp_path):
+def test_event_store_keeps_all_batches_once(spark, tmp_path):
     events = S.news_to_events(derived.news(spark, SMALL))
-    for _ in range(2):
-        S.write_events(events, str(tmp_path))
-    stored = spark.read.parquet(f"{tmp_path}/events")
-    assert stored.count() == events.count() and stored.count() > 0
-    assert spark.read.parquet(f"{tmp_path}/entities").join(stored, "event_id", "left_anti").count() == 0
+    half = F.pmod(F.xxhash64("event_id"), F.lit(2))
+    for batch in (0, 1, 1, None):
+        S.write_events(events.filter(half == (batch or 0)), str(tmp_path), batch)
+    stored = S.read_events(spark, str(tmp_path))
+    assert stored.select("event_id").exceptAll(events.select("event_id")).count() == 0
+    assert stored.count() == events.count() > 0
+    assert S.read_entities(spark, str(tmp_path)).join(stored, "event_id", "left_anti").count() == 0
 
 
 def test_counters_are_observed(spark):
@@ -134,6 +136,10 @@ def test_feature_cache_replaces_only_written_dates(spark, tmp_path):
     back = sinks.read_features(spark, str(tmp_path / "f"), start="2024-01-03", end="2024-01-03")
     assert back.filter("close <> 0").count() == 0
     assert sinks.read_features(spark, str(tmp_path / "f")).count() == bars.count()
+    for symbol in ("view", "click"):
+        sinks.write_features(bars.filter(F.col("symbol") == symbol), str(tmp_path / "g"))
+    assert sinks.read_features(spark, str(tmp_path / "g")).count() == bars.filter("symbol in ('view', 'click')").count()
+    assert sinks.read_features(spark, str(tmp_path / "g"), symbols=["view"]).filter("symbol <> 'view'").count() == 0
 
 
 def test_exports(spark, tmp_path):

@@ -90,7 +90,7 @@ def test_order_updates_become_fills(spark, tmp_path):
 
 def test_rates_streaks_and_refresh(spark, tmp_path):
     log = derived.order_log(spark, SMALL).withColumnRenamed("created_at", "ts")
-    stream = T.landed(spark, land(log, tmp_path), "order_id long, portfolio string, ts timestamp_ntz, status string, order_value double")
+    stream = T.landed(spark, land(log, tmp_path), "order_id long, portfolio string, ts timestamp_ntz, status string, order_value double, signal_id long")
     assert collect(T.rates_per_minute(stream), tmp_path).count() > 0
     (tmp_path / "s").mkdir()
     errors = derived.ticks(spark, SMALL).filter("symbol = 'error'").select(F.lit("x").alias("source"), "ts")
@@ -102,4 +102,9 @@ def test_rates_streaks_and_refresh(spark, tmp_path):
     writer = T.refresh_features(str(tmp_path / "r/store"), 5, lambda b: b.withColumn("range", F.col("high") - F.col("low")), str(tmp_path / "r/out"))
     T.run_available(bs, writer, str(tmp_path / "r/ckpt")).awaitTermination(120)
     out = spark.read.parquet(str(tmp_path / "r/out"))
-    assert out.select("symbol", "ts").distinct().count() == bars.count()
+    assert out.count() == out.select("symbol", "ts").distinct().count() == bars.count()
+    # a corrected bar counts once, in its latest version
+    fixed = bars.orderBy("symbol", "ts").limit(1).withColumn("high", F.lit(1e6))
+    writer(fixed, 10_000)
+    again = spark.read.parquet(str(tmp_path / "r/out"))
+    assert again.count() == bars.count() and again.filter("high = 1e6").count() == 1
