@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketframe.llm.common import read, shared_folder, utf8
+from marketframe.llm.common import read, shared_folder, stored, utf8
 from marketframe.llm.tokens import MULTIPLIER, mix
 
 LENGTH = 200
@@ -427,7 +427,8 @@ def removals(docs: DataFrame, length: int = LENGTH, often: int = OFTEN, keep: bo
     text = docs.select(utf8().alias("text")).where(F.octet_length("text") >= length)
     rows = text.select(*identity(F.col("text")), "text")
     found = rows.mapInArrow(_find(length), "seed long, one long, two long, place long")
-    counts = found.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1")
+    # counts are stored before they are joined: only a join of two plain shuffles can split a frequent key
+    counts = stored(found.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1"), "seeds")
     places = found.join(counts, "seed").select("one", "two", (F.col("place") * 2 + (F.col("n") > often).cast("int")).alias("place"))
     places = places.groupBy("one", "two").agg(F.collect_set("place").alias("places"))
     folded = rows.groupBy("one", "two").agg(F.count("*").alias("copies"), F.first("text").alias("text"))
@@ -445,8 +446,8 @@ def removals(docs: DataFrame, length: int = LENGTH, often: int = OFTEN, keep: bo
     frequent = records.where("kind = 1")
     bodies = frequent.groupBy("digest").agg(F.first("body", ignorenulls=True).alias("body"), F.count("*").alias("n"))
     strings = bodies.mapInArrow(_strings(length), "w1 long, w2 long, digest binary, place int, n long")
-    twice = strings.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w1", "w2")
-    places = strings.join(twice, ["w1", "w2"]).groupBy("digest").agg(F.collect_list("place").alias("places"))
+    twice = stored(strings.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w1", "w2"), "strings")
+    places = stored(strings.join(twice, ["w1", "w2"]).groupBy("digest").agg(F.collect_list("place").alias("places")), "places")
     owners = frequent.select("one", "two", "first", "digest").join(places, "digest").select("one", "two", "first", "places")
     ranges = ranges.unionByName(owners.mapInArrow(_owned(length), "one long, two long, from long, to long"))
 
