@@ -163,9 +163,9 @@ def time_split(df: DataFrame, fractions: Sequence[float] = (0.6, 0.8)) -> tuple[
 def stratified_split(df: DataFrame, label: str, key: Sequence[str], fractions: Sequence[float] = (0.6, 0.8)) -> DataFrame:
     """Tag rows train / val / test with the same shares in every label.
 
-    Rows are ordered by a hash of their key; the label's exact hash quantiles are the cuts.
+    Rows are ordered by 40 bits of the MD5 of their key; the label's exact quantiles of these are the cuts.
     """
-    u = (F.pmod(F.xxhash64(*key), F.lit(1 << 40))).cast("double")
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key])), 1, 10), 16, 10).cast("double")
     hashed = df.withColumn("_u", u)
     cuts = exact_quantiles(hashed, [label], "_u", {"_a": fractions[0], "_b": fractions[1]})
     out = hashed.join(cuts, label)

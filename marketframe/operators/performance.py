@@ -56,13 +56,14 @@ def trade_ledger(fills: DataFrame, keys: Sequence[str] = ("portfolio", "symbol")
     return fold_sorted(fills, keys, order, lambda: {"held": 0.0, "avg": 0.0}, _book, LEDGER)
 
 
-def positions_summary(ledger: DataFrame, prices: DataFrame) -> DataFrame:
-    """Open positions marked at the latest price of their symbol."""
+def positions_summary(ledger: DataFrame, prices: DataFrame, tie: Sequence[str] = ("order_id", "fill_no")) -> DataFrame:
+    """Open positions marked at the latest price of their symbol; ``tie`` orders rows of one time in both tables."""
+    latest_first = F.struct("ts", *tie)
     last = ledger.groupBy("portfolio", "symbol").agg(
-        F.max_by(F.struct("position", "avg_price"), F.struct("ts", "order_id", "fill_no")).alias("_p"),
+        F.max_by(F.struct("position", "avg_price"), latest_first).alias("_p"),
         F.sum("realized_pnl").alias("realized_pnl"),
     )
-    latest = prices.groupBy("symbol").agg(F.max_by("close", "ts").alias("current_price"))
+    latest = prices.groupBy("symbol").agg(F.max_by("close", latest_first).alias("current_price"))
     out = last.select("portfolio", "symbol", "_p.position", "_p.avg_price", "realized_pnl").filter(F.col("position") > 0)
     out = out.join(latest, "symbol", "left")
     price = zero(F.col("current_price"))

@@ -377,4 +377,10 @@ def q_stratified(spark, folder):
     return out.groupBy("event_type", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
-_add("l9_stratified_split", q_stratified)  # hash order has no counterpart in SQL; shares are checked in tests
+_add(
+    "l9_stratified_split",
+    q_stratified,
+    """select event_type, split, count(*) as n from (select event_type, case when u <= quantile_cont(u, 0.6) over (partition by event_type) then 'train'
+    when u <= quantile_cont(u, 0.8) over (partition by event_type) then 'val' else 'test' end as split
+    from (select event_type, ('0x' || substr(md5(event_id::varchar), 1, 10))::bigint::double as u from events)) group by 1, 2""",
+)

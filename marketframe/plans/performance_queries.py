@@ -166,9 +166,47 @@ def _ledger(spark, folder):
     return P.trade_ledger(_fills(spark, folder), order=("ts", "order_id", "fill_no", "quantity", "price"))
 
 
-_add("ud4_m07_trade_ledger", lambda s, f: rounded(_ledger(s, f), 4))  # sequential: rows only, checked in tests
-_add("m07_positions_summary", lambda s, f: rounded(P.positions_summary(_ledger(s, f), _price_rows(s, f)), 4))
-_add("m04_trade_statistics", lambda s, f: rounded(P.trade_statistics(_ledger(s, f)), 4))
+#: The ledger as a recursion over the number of a key's fill: one step a fill, all keys at once.
+LEDGER = """nf as (select *, row_number() over (partition by portfolio, symbol order by ts, order_id, fill_no, quantity, price) as rn from fills),
+lg(portfolio, symbol, rn, order_id, fill_no, ts, side, quantity, price, commission, held, av, accepted, cash_effect, pnl) as (
+ select portfolio, symbol, rn - 1, order_id, fill_no, ts, side, quantity, price, commission, 0::double, 0::double, true, 0::double, 0::double from nf where rn = 1
+ union all
+ select f.portfolio, f.symbol, f.rn, f.order_id, f.fill_no, f.ts, f.side, f.quantity, f.price, f.commission,
+  case when f.side <> 'sell' then held + f.quantity when f.quantity > held then held when held - f.quantity <= 0.001::double then 0::double else held - f.quantity end,
+  case when f.side <> 'sell' then (held * av + f.quantity * f.price) / (held + f.quantity) else av end,
+  f.side <> 'sell' or f.quantity <= held,
+  case when f.side <> 'sell' then -(f.quantity * f.price + f.commission) when f.quantity > held then 0::double else f.quantity * f.price - f.commission end,
+  case when f.side <> 'sell' or f.quantity > held then 0::double else f.quantity * (f.price - av) - f.commission end
+ from lg join nf f on f.portfolio = lg.portfolio and f.symbol = lg.symbol and f.rn = lg.rn + 1),
+ledger as (select order_id, fill_no, portfolio, ts, symbol, side, quantity, price, commission, accepted, cash_effect, held as position, case when held > 0 then av else 0 end as avg_price, pnl as realized_pnl, rn from lg where rn > 0)"""
+_led = ["quantity", "price", "commission", "cash_effect", "position", "avg_price", "realized_pnl"]
+
+
+def _ledger_sql(body):
+    return with_sql([FILLS, LEDGER], body).replace("with ", "with recursive ", 1)
+
+
+_add(
+    "ud4_m07_trade_ledger",
+    lambda s, f: rounded(_ledger(s, f), 4),
+    rsql(_ledger_sql("select * from ledger"), ["order_id", "fill_no", "portfolio", "ts", "symbol", "side", "accepted"], _led, 4),
+)
+_add(
+    "m07_positions_summary",
+    lambda s, f: rounded(P.positions_summary(_ledger(s, f), _price_rows(s, f), TIE), 4),
+    rsql(_ledger_sql("""select portfolio, symbol, position, avg_price, realized_pnl, current_price, position * current_price as market_value, (current_price - avg_price) * position as unrealized_pnl
+    from (select portfolio, symbol, arg_max(position, rn) as position, arg_max(avg_price, rn) as avg_price, sum(realized_pnl) as realized_pnl from ledger group by 1, 2)
+    join (select symbol, arg_max(price, (ts, order_id, fill_no, quantity, price)) as current_price from fills group by 1) using (symbol) where position > 0"""),
+         ["portfolio", "symbol"], ["position", "avg_price", "realized_pnl", "current_price", "market_value", "unrealized_pnl"], 4),
+)
+_add(
+    "m04_trade_statistics",
+    lambda s, f: rounded(P.trade_statistics(_ledger(s, f)), 4),
+    rsql(_ledger_sql("""select portfolio, n as total_trades, nw / n as win_rate, case when losses > 0 then wins / losses when wins > 0 then 'inf'::double else 0 end as profit_factor,
+    coalesce(wins / nullif(nw, 0), 0) as avg_win, coalesce(losses / nullif(n - nw, 0), 0) as avg_loss from (select portfolio, count(*) as n, count(*) filter (realized_pnl > 0) as nw,
+    coalesce(sum(realized_pnl) filter (realized_pnl > 0), 0) as wins, abs(coalesce(sum(realized_pnl) filter (realized_pnl <= 0), 0)) as losses from ledger where side = 'sell' and accepted group by 1)"""),
+         ["portfolio", "total_trades"], ["win_rate", "profit_factor", "avg_win", "avg_loss"], 4),
+)
 
 
 def q_compat_wins(spark, folder):
