@@ -181,8 +181,32 @@ def q_sized(spark, folder):
     return rounded(out.select("run_id", "signal_id", "shares", "final_size", "dollar_amount", "expected_return", "transaction_costs"), 4)
 
 
-_add("ud5_f31_sized_positions", q_sized)  # sequential cash: rows only, checked in tests
-_add("a21_sizing_summary", lambda s, f: rounded(G.sizing_summary(G.size_positions(_to_size(s, f), order=("ts", "signal_id")), ["run_id"])))
+#: The cash left by the earlier signals of a run as a recursion over the signal's number, all runs at once.
+def _sized_sql(value, body):
+    steps = f"""ns as (select *, price + sgn * abs(price - stop_loss) * greatest(1.2::double, least(2 + (adj - 0.5::double) * 2, 5)) as take_profit, row_number() over (partition by run_id order by ts, signal_id) as rn from sz),
+sp(run_id, rn, cash, shares) as (
+ select distinct run_id, 0::bigint, {value}::double * 0.95::double, 0::double from ns
+ union all
+ select run_id, rn, cash - shares * price, shares from (
+  select run_id, rn, cash, price, floor(case when d > cash then cash * 0.95::double else d end / price) as shares from (
+   select ns.run_id, ns.rn, sp.cash, ns.price, greatest(least(ns.wanted_size, sp.cash / {value}::double), 0) * {value}::double as d from sp join ns on ns.run_id = sp.run_id and ns.rn = sp.rn + 1))),
+sd as (select ns.*, sp.shares, sp.shares * price as dollars, sp.shares * price / {value}::double as fs from ns join sp using (run_id, rn)),
+sf as (select *, fs * case when t > 1 then 1 / t else 1 end as final_size from (select *, sum(fs) over (partition by run_id) as t from sd))"""
+    return with_sql([PRED, _sig_sql(True), SIZE, steps], body).replace("with ", "with recursive ", 1)
+
+
+_add(
+    "ud5_f31_sized_positions",
+    q_sized,
+    rsql(_sized_sql(1000000, """select run_id, signal_id, shares, final_size, final_size * 1000000 as dollar_amount, abs(take_profit - price) / price * adj * final_size * 1000000 as expected_return, dollars * 0.0015::double as transaction_costs from sf"""),
+         ["run_id", "signal_id"], ["shares", "final_size", "dollar_amount", "expected_return", "transaction_costs"], 4),
+)
+_add(
+    "a21_sizing_summary",
+    lambda s, f: rounded(G.sizing_summary(G.size_positions(_to_size(s, f), order=("ts", "signal_id")), ["run_id"])),
+    rsql(_sized_sql(100000, """select run_id, count(*) as total_positions, avg(final_size) as avg_position_size, avg(final_size * 100000) as avg_dollar_amount, avg(vol) as avg_volatility, avg(stop_pct) as avg_stop_loss_pct, sum(final_size) as total_exposure from sf group by 1"""),
+         ["run_id", "total_positions"], ["avg_position_size", "avg_dollar_amount", "avg_volatility", "avg_stop_loss_pct", "total_exposure"]),
+)
 
 
 def q_orders(spark, folder):
