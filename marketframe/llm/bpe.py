@@ -30,9 +30,8 @@ from marketframe.llm.common import read, stored
 LEXICON_WORDS = 50_000
 #: Words longer than this (in UTF-8 bytes) are left to the merges.
 LEXICON_BYTES = 64
-#: Encoded words in each of the two generations that a Python worker remembers, and words it counts before it passes
-#: them on.
-MEMO_WORDS = 150_000
+#: Encoded words in each of the two generations that a task remembers, and words it counts before it passes them on.
+MEMO_WORDS = 100_000
 COUNT_WORDS = 300_000
 #: Words of up to so many bytes are merged by scanning their pairs, longer ones by a heap.
 SHORT_WORD = 48
@@ -292,12 +291,6 @@ class Encoder:
         return sum(counts), " ".join(ids), " ".join(tokens)
 
 
-@functools.lru_cache(maxsize=1)
-def encoder(path: str, digest: str, compiled: bytes) -> Encoder:
-    """The encoder of a Python worker, kept for its next tasks. ``digest`` names ``compiled``."""
-    return Encoder(path, compiled)
-
-
 def encoded(docs: DataFrame, path: str, words: int = LEXICON_WORDS, ids: bool = False, decoded: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256; also ids
     (array) and decoded (text) where asked for.
@@ -308,12 +301,10 @@ def encoded(docs: DataFrame, path: str, words: int = LEXICON_WORDS, ids: bool =
     words (pre-aggregated in the tasks), one encodes; texts are never shuffled. The broadcast automaton holds
     ``words`` words of at most ``LEXICON_BYTES`` bytes, whatever the corpus.
     """
-    automaton = lexicon(docs, path, words)
-    digest = hashlib.sha256(automaton).hexdigest()
-    compiled = docs.sparkSession.sparkContext.broadcast(automaton)
+    compiled = docs.sparkSession.sparkContext.broadcast(lexicon(docs, path, words))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = encoder(path, digest, compiled.value)
+        kept = Encoder(path, compiled.value)
         for batch in batches:
             counts, ids_digests, decoded_digests, ids_list, decoded_list = [], [], [], [], []
             for text in batch.column(1):

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step of a Python task works on at a time.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -44,13 +44,14 @@ def utf8(text: str = "text") -> Column:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK_BYTES, text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Cut Arrow batches into slices of about ``size`` bytes of text; one longer text is a slice of its own."""
+    """Cut Arrow batches into slices of about ``size`` bytes of text, with the texts as UTF-8 (a missing one is empty);
+    one longer text is a slice of its own."""
     for batch in batches:
-        column = batch.column(batch.schema.get_field_index(text))
+        column = batch.column(batch.schema.get_field_index(text)).cast(pa.binary())
         start, held = 0, 0
         values: list[bytes] = []
         for row in range(batch.num_rows):
-            value = column[row].as_py()
+            value = column[row].as_py() or b""
             if values and held + len(value) > size:
                 yield batch.slice(start, row - start), values
                 start, held, values = row, 0, []

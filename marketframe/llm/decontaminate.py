@@ -162,8 +162,8 @@ def blocks(benchmark: DataFrame, size: int = BLOCK_BYTES) -> Iterator[tuple[list
     yield ids, texts
 
 
-def _pass(df: DataFrame, carried: list[str], ids: list, texts: list[bytes], window: int, chunk: int, last: bool) -> DataFrame:
-    """Search the texts (in _bytes) for one block; marks, items and longest match of earlier blocks are taken along.
+def _pass(df: DataFrame, carried: list[str], ids: list, texts: list[bytes], window: int, chunk: int, last: bool, text: str) -> DataFrame:
+    """Search the texts (in column ``text``) for one block; marks, items and longest match of earlier blocks are taken along.
     After the last block texts and marks are left out."""
     tests = df.sparkSession.sparkContext.broadcast(test_suffixes(ids, texts, window))
     later = "_marks" in df.columns
@@ -171,8 +171,9 @@ def _pass(df: DataFrame, carried: list[str], ids: list, texts: list[bytes], wind
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = tests.value
         names = [*carried, "n_words", "n_hit", "items", "longest_words", "longest_item", "longest_at"]
-        names += [] if last else ["_bytes", "_marks"]
-        for batch, values in chunks(batches, chunk, "_bytes"):
+        names += [] if last else ["_marks"]
+        names += [] if last or text in carried else [text]
+        for batch, values in chunks(batches, chunk, text):
             hit, items, longest = search(values, held, window)
             found = [{held.items[i] for i in items.get(r, ())} for r in range(len(values))]
             best = [longest.get(r, (0, None, None)) for r in range(len(values))]
@@ -194,15 +195,17 @@ def _pass(df: DataFrame, carried: list[str], ids: list, texts: list[bytes], wind
                 pa.array([b[2] for b in best], pa.int64()),
             ]
             if not last:
-                columns += [pa.array(values, pa.binary()), pa.array([np.packbits(marks).tobytes() for marks in hit], pa.binary())]
+                columns.append(pa.array([np.packbits(marks).tobytes() for marks in hit], pa.binary()))
+                columns += [] if text in carried else [batch.column(text)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     added = "n_words long, n_hit long, items array<string>, longest_words long, longest_item string, longest_at long"
-    added += "" if last else ", _bytes binary, _marks binary"
-    return df.mapInArrow(run, T.StructType([*(df.schema[c] for c in carried), *T.StructType.fromDDL(added)]))
+    added += "" if last else ", _marks binary"
+    kept = [] if last or text in carried else [df.schema[text]]
+    return df.mapInArrow(run, T.StructType([*(df.schema[c] for c in carried), *T.StructType.fromDDL(added), *kept]))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, carried: list[str] | None = None, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, carried: list[str] | None = None, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, chunk_bytes: int = CHUNK_BYTES, text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id (or the columns ``carried``), n_words, n_hit, items, longest_words,
     longest_item, longest_at.
 
@@ -211,18 +214,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, carried: list[str] | None = N
     window. A word of a document is hit if it lies in an occurrence of a window; ``items`` are the ids of the items
     with occurring windows, sorted as strings; the longest match is given with its item and word offset. Missing
     texts have no words, a missing item_id is called "None", equal item_ids count as one item, repeated documents
-    are searched each, an empty benchmark hits nothing; other columns are not read.
+    are searched each, an empty benchmark hits nothing; other columns are not read. ``text`` names the column of texts;
+    if it is among ``carried`` it goes to Python once.
 
     The benchmark is taken in blocks of ``block_bytes``, so what a task holds of it is bounded; each block is one
     more Python step over the documents, and no text is shuffled.
     """
     carried = carried or ["doc_id"]
-    found = docs.select(*carried, utf8().alias("_bytes"))
+    found = docs.select(*carried, *([] if text in carried else [text]))
     waiting = blocks(benchmark, block_bytes)
     block = next(waiting)
     while block:
         following = next(waiting, None)
-        found = _pass(found, carried, *block, window, chunk_bytes, following is None)
+        found = _pass(found, carried, *block, window, chunk_bytes, following is None, text)
         block = following
     return found
 
@@ -236,4 +240,18 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_decontamination": op6_decontamination}
-SQL: dict[str, str] = {}
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+SQL: dict[str, str] = {
+    "op6_decontamination": f"""
+with items as (select item_id, {_WORDS} as w from benchmark),
+sized as (select item_id, w, least(len(w), 10) as n from items where len(w) > 0),
+wins as (select distinct item_id, n, array_to_string(w[k : k + n - 1], ' ') as g from (select *, unnest(range(1, len(w) - n + 2)) as k from sized)),
+docs as (select row_number() over () as r, doc_id, {_WORDS} as w from documents),
+places as (select r, n, k, array_to_string(w[k : k + n - 1], ' ') as g from (select r, w, n, unnest(range(1, len(w) - n + 2)) as k from docs, (select distinct n from wins))),
+hits as (select r, k, n, item_id from places join wins using (n, g)),
+words as (select r, count(distinct p) as n_hit from (select r, unnest(range(k, k + n)) as p from (select distinct r, k, n from hits)) group by r),
+found as (select r, count(*) as n_items, string_agg(i, ',' order by i) as ids from (select distinct r, item_id::varchar as i from hits) group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256,
+       coalesce(n_hit, 0) > 0 as contaminated from docs left join words using (r) left join found using (r)
+"""
+}

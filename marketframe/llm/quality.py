@@ -225,23 +225,23 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     return fit(samples[1], samples[0])
 
 
-def scored(docs: DataFrame, model: Model, columns: list[str] | None = None) -> DataFrame:
+def scored(docs: DataFrame, model: Model, columns: list[str] | None = None, text: str = "text") -> DataFrame:
     """The given columns of every row (doc_id by default) with score and predicted (1 if the score is 0.5 or more).
 
-    Only the whole text is looked at; a missing text is empty, and empty texts get the score of their features.
+    ``text`` names the column of texts; if it is among the columns it goes to Python once. Only the whole text is looked at; a missing text is empty, and empty texts get the score of their features.
     """
     columns = columns or ["doc_id"]
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        for batch, texts in chunks(batches, text="_bytes"):
+        for batch, texts in chunks(batches, text=text):
             x = features(texts)
             score = model.score(model.mean + np.clip((x - model.mean) / model.scale, -8, 8) * model.scale)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(columns))), pa.array(score)], names=[*columns, "score"])
 
     schema = T.StructType([*(docs.schema[c] for c in columns), T.StructField("score", T.DoubleType())])
-    out = docs.select(*columns, utf8().alias("_bytes")).mapInArrow(run, schema)
+    out = docs.select(*columns, *([] if text in columns else [text])).mapInArrow(run, schema)
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

@@ -405,4 +405,13 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_warc": op5_warc}
-SQL: dict[str, str] = {}
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_BASE32 = " || ".join(f"substr('{_ALPHABET}', (('0x' || substr(h, {5 * n + 1}, 5))::bigint >> {s}) % 32 + 1, 1)" for n in range(8) for s in (15, 10, 5, 0))
+SQL: dict[str, str] = {
+    "op5_warc": f"""
+with p as (select page_id, coalesce(html, '') as html from pages),
+d as (select page_id, strlen(html)::bigint as payload_bytes, sha1(html) as h, min(page_id) over (partition by html) as first from p)
+select page_id, payload_bytes, {_BASE32} as payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type,
+       case when page_id <> first then first end as refers_to from d
+"""
+}
