@@ -84,7 +84,7 @@ def q_rates(spark, folder):
 
 
 def q_near(spark, folder):
-    bars = _stream(spark, folder, "events").filter(F.col("event_id") % 7 == 0).select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("close"))
+    bars = _stream(spark, folder, "events").select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("close"))
     other = _stream(spark, folder, "events").select(F.col("event_type").alias("symbol"), "ts", "event_id")
     near = _finished(T.events_near_bars(bars, other))
     return near.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
