@@ -109,11 +109,13 @@ def search(
 
         combos = random.Random(42).sample(combos, draws)
     tagged = cut(expanding_folds(df, folds))
+    # a long average may have no value yet in the first folds
+    usable = {k: usable_columns(tagged.filter(F.col("fold") < k), columns) for k in range(1, folds + 1)}
     best: tuple[dict, float] = ({}, float("-inf"))
     for params in combos:
         scores = []
         for k in range(1, folds + 1):
-            model = _fit(tagged.filter(F.col("fold") < k), columns, name, task, **params)
+            model = _fit(tagged.filter(F.col("fold") < k), usable[k], name, task, **params)
             scores.append(_score(model.transform(tagged.filter(F.col("fold") == k)), task))
         mean = sum(scores) / len(scores)
         if mean > best[1]:

@@ -150,22 +150,20 @@ _add(
 
 # ------------------------------------------------------------------ trained models (no SQL counterpart)
 
-FEATS = ["price_change_pct", "high_low_pct", "open_close_pct", "volatility_5"]
-
 
 def _dataset(spark, folder):
-    m = B.bar_features(derived.bars(spark, folder), ("price", "volatility"), totals=False, regime=False, calendar=False)
-    return cut(M.ml_dataset(m, features=FEATS, min_samples=50))
+    """Training and held-out rows of all bar features, and the features that vary in training."""
+    train, _, test = M.time_split(cut(M.ml_dataset(B.bar_features(derived.bars(spark, folder)), min_samples=50)))
+    train = cut(train)
+    return train, test, L.usable_columns(train, M.numeric_columns(train))
 
 
 def q_train(name, task):
     def run(spark, folder):
-        data = _dataset(spark, folder)
+        train, test, columns = _dataset(spark, folder)
         if task == "classification":
-            data = data.withColumn("target", (F.col("target") > 0).cast("double"))
-        train, _, test = M.time_split(data)
-        small = {"numTrees": 10} if name == "random_forest" else {"maxIter": 5} if name == "gradient_boosting" else {}
-        model = L.train(train, FEATS, name, task, **small)
+            train = train.withColumn("target", (F.col("target") > 0).cast("double"))
+        model = L.train(train, columns, name, task)
         return L.predict(model, test, name, task).drop("probabilities")
 
     return run
@@ -176,10 +174,10 @@ for _n, _t in (("logistic_regression", "classification"), ("random_forest", "cla
 
 
 def q_search(spark, folder):
-    data = _dataset(spark, folder)
-    params, score = L.search(data, FEATS, "ridge", "regression", {"regParam": [0.1, 1.0]}, folds=2)
-    model = L.train(data, FEATS, "ridge", "regression", **params)
-    return L.predict(model, data, "ridge", "regression").drop("probabilities")
+    train, test, columns = _dataset(spark, folder)
+    params, _ = L.search(train, columns, "ridge", "regression")
+    model = L.train(train, columns, "ridge", "regression", **params)
+    return L.predict(model, test, "ridge", "regression").drop("probabilities")
 
 
 _add("l11_l12_grid_search", q_search)
