@@ -327,11 +327,13 @@ def _strings(length: int):
                 window = begins[owner] + place
                 hashes = []
                 for seed in (2, 3):
+                    # words are scrambled before they are summed: in a sum of plain words differences cancel
+                    scrambled = mix(eight ^ factors(1, seed)[0])
                     code = np.zeros(len(window), np.uint64)
                     for k, factor in enumerate(factors(words, seed)):
-                        code += eight[window + 8 * k] * factor
+                        code += scrambled[window + 8 * k] * factor
                     if rest:
-                        code = mix(code) + eight[window + length - 8] * MULTIPLIER
+                        code = mix(code) + scrambled[window + length - 8] * MULTIPLIER
                     hashes.append(pa.array(mix(code).view(np.int64)))
                 digest = part.column(0).take(pa.array(owner))
                 yield pa.RecordBatch.from_arrays([*hashes, digest, pa.array(place.astype(np.int32)), part.column(2).take(pa.array(owner))], names=["w1", "w2", "digest", "place", "n"])
