@@ -20,7 +20,9 @@ from marketframe.llm.common import read
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
-HIDDEN = frozenset("head script style template noscript iframe object embed svg math canvas audio video datalist select noembed noframes title".split())
+HIDDEN = frozenset("head script style template noscript iframe embed canvas audio video datalist select noembed noframes title annotation annotation-xml".split())
+#: Parts of drawings that are defined, not drawn.
+UNDRAWN = frozenset("desc defs metadata symbol clippath mask pattern marker lineargradient radialgradient filter".split())
 #: Blocks set apart by an empty line, and other blocks.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure hr".split())
 BLOCK = SPACED | frozenset(
@@ -42,7 +44,7 @@ CLOSED_BY = {
     "thead": frozenset(["tbody", "tfoot"]),
     "tfoot": frozenset(["tbody"]),
     "caption": frozenset(["tr", "tbody", "thead", "tfoot", "colgroup", "td", "th"]),
-    "colgroup": frozenset(["tr", "tbody", "thead", "tfoot"]),
+    "colgroup": frozenset(["tr", "tbody", "thead", "tfoot", "td", "th", "caption"]),
     "head": frozenset(["body"]) | _P_ENDERS,
     "rt": frozenset(["rt", "rp"]),
     "rp": frozenset(["rt", "rp"]),
@@ -52,13 +54,13 @@ SCOPE = {"li": frozenset(["ul", "ol", "menu", "dir"]), "dt": frozenset(["dl"]),
 _WALL = frozenset(["table", "td", "th", "caption", "html", "body", "button", "object", "template"])
 _TABLE_WALL = frozenset(["table", "html", "template"])
 _TABLE_PARTS = frozenset("tr td th tbody thead tfoot caption colgroup".split())
+_GROUPS = frozenset(["tbody", "thead", "tfoot"])
+_CLOSES = {tag: [there for there, closers in CLOSED_BY.items() if tag in closers] for tag in frozenset().union(*CLOSED_BY.values())}
 
 TOKEN = re.compile(r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:\s+|/|[^\s\"'>/=]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]*))?|[\"'=])*)>?|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 HIDING = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|content-visibility\s*:\s*hidden)", re.I)
 SPACES = re.compile("[ \t\n\r\f]+")
-#: Nesting beyond this depth is rendered flat.
-DEEPEST = 200
 
 
 class Node:
@@ -92,7 +94,8 @@ def parse(html: str) -> Node:
         end, start = token.group(1), token.group(2)
         if start is None and end is None:
             text = token.group()
-            if text[0] != "<" or len(text) == 1:
+            drawn = not open_tags.get("svg") or open_tags.get("text") or open_tags.get("foreignobject")
+            if drawn and (text[0] != "<" or len(text) == 1):
                 stack[-1].children.append(unescape(text))
             continue
         if end is not None:
@@ -114,7 +117,8 @@ def parse(html: str) -> Node:
         if tag in ("html", "body") and open_tags.get(tag):
             continue
         wall = _TABLE_WALL if tag in _TABLE_PARTS else _WALL
-        for depth in range(len(stack) - 1, 0, -1):
+        closes = any(open_tags.get(there) for there in _CLOSES.get(tag, ()))
+        for depth in range(len(stack) - 1, 0, -1) if closes else ():
             there = stack[depth].tag
             if tag in CLOSED_BY.get(there, ()):
                 close_to(depth)
@@ -122,11 +126,17 @@ def parse(html: str) -> Node:
                     break
             elif there in wall or tag in SCOPE and there in SCOPE[tag]:
                 break
+        if tag in ("td", "th") and (stack[-1].tag == "table" or stack[-1].tag in _GROUPS):
+            row = Node("tr")
+            stack[-1].children.append(row)
+            stack.append(row)
+            open_tags["tr"] = open_tags.get("tr", 0) + 1
         source = token.group(3)
-        hidden, first = tag in HIDDEN, 1
+        foreign = tag in ("svg", "math") or open_tags.get("svg") or open_tags.get("math")
+        hidden, first = tag in HIDDEN or bool(tag in UNDRAWN and open_tags.get("svg")), 1
         if source and not source.isspace():
             given = attributes(source)
-            if "hidden" in given or given.get("aria-hidden", "").lower() == "true" or (tag == "input" and given.get("type", "").lower() == "hidden"):
+            if "hidden" in given or (tag == "input" and given.get("type", "").lower() == "hidden"):
                 hidden = True
             elif "style" in given and HIDING.search(given["style"]):
                 hidden = True
@@ -144,7 +154,7 @@ def parse(html: str) -> Node:
             stack[-1].children.append(node)
             continue
         stack[-1].children.append(node)
-        if tag not in VOID and len(stack) < DEEPEST:
+        if tag not in VOID and not (foreign and source and source.rstrip().endswith("/")):
             stack.append(node)
             open_tags[tag] = open_tags.get(tag, 0) + 1
     return root
@@ -210,36 +220,43 @@ class Page:
         self.blank = True
 
 
-def rows_of(table: Node) -> Iterator[Node]:
-    for child in table.children:
-        if isinstance(child, Node) and not child.hidden:
-            if child.tag == "tr":
+def parts_of(table: Node) -> Iterator[Node | str]:
+    """Visible children of a table and of its row groups."""
+    work = [iter(table.children)]
+    while work:
+        child = next(work[-1], None)
+        if child is None:
+            work.pop()
+        elif isinstance(child, str) or not child.hidden:
+            if isinstance(child, Node) and child.tag in _GROUPS:
+                work.append(iter(child.children))
+            else:
                 yield child
-            elif child.tag in ("tbody", "thead", "tfoot"):
-                yield from rows_of(child)
 
 
-def render_table(table: Node, page: Page) -> None:
-    """A data table: one line a row (cells of several lines take as many), cells padded to their column's width."""
+def _table(table: Node, page: Page) -> Iterator[tuple[Node, Page, bool]]:
+    """A data table: one line a row (cells of several lines take as many), cells padded to their column's width.
+    What stands outside of rows comes first."""
     page.gap()
-    for child in table.children:
-        if isinstance(child, Node) and not child.hidden and child.tag == "caption":
-            render(child, page, False)
-            page.end()
-        elif isinstance(child, str) and child.strip():
-            page.text(child, False)
-            page.end()
-        elif isinstance(child, Node) and not child.hidden and child.tag not in ("tr", "tbody", "thead", "tfoot", "colgroup", "caption"):
-            render(child, page, False)
+    rows = []
+    for child in parts_of(table):
+        if isinstance(child, str):
+            if child.strip():
+                page.text(child, False)
+                page.end()
+        elif child.tag == "tr":
+            rows.append(child)
+        else:
+            yield child, page, False
             page.end()
     grid = []
-    for row in rows_of(table):
+    for row in rows:
         cells = []
         for child in row.children:
             if isinstance(child, str) and not child.strip() or isinstance(child, Node) and child.hidden:
                 continue
             inner = Page()
-            render(child if isinstance(child, Node) else _text_node(child), inner, False)
+            yield (child if isinstance(child, Node) else _text_node(child)), inner, False
             inner.end()
             cells.append(inner.lines or [""])
         grid.append(cells)
@@ -269,7 +286,18 @@ def _text_node(text: str) -> Node:
 
 
 def render(node: Node, page: Page, pre: bool) -> None:
-    """Append the visible text below ``node``."""
+    """Append the visible text below ``node``; open elements wait on a list, so their depth has no limit."""
+    work = [_element(node, page, pre)]
+    while work:
+        inner = next(work[-1], None)
+        if inner is None:
+            work.pop()
+        else:
+            work.append(_element(*inner))
+
+
+def _element(node: Node, page: Page, pre: bool) -> Iterator[tuple[Node, Page, bool]]:
+    """Append an element; the elements in it are handed out and appended before the next step."""
     tag = node.tag
     if node.hidden:
         return
@@ -277,7 +305,7 @@ def render(node: Node, page: Page, pre: bool) -> None:
         page.end(keep=True)
         return
     if tag == "table":
-        render_table(node, page)
+        yield from _table(node, page)
         return
     listed = tag in ("ul", "ol", "menu", "dir")
     if listed and page.indents:
@@ -292,7 +320,7 @@ def render(node: Node, page: Page, pre: bool) -> None:
         return
     pre = pre or tag in ("pre", "xmp", "plaintext", "textarea")
     number = node.start
-    if tag in ("td", "th") and page.line:
+    if tag in ("td", "th", "text") and page.line:
         page.space = True
     for child in node.children:
         if isinstance(child, str):
@@ -304,7 +332,7 @@ def render(node: Node, page: Page, pre: bool) -> None:
             outer = page.lead if page.lead is not None else "".join(page.indents)
             page.lead = outer + mark
             page.indents.append(" " * len(mark))
-            render(child, page, pre)
+            yield child, page, pre
             page.end()
             page.indents.pop()
             page.lead = None
@@ -313,11 +341,11 @@ def render(node: Node, page: Page, pre: bool) -> None:
             if child.tag == "blockquote":
                 page.gap()
             page.indents.append("    " if child.tag == "dd" else "> ")
-            render(child, page, pre)
+            yield child, page, pre
             page.end()
             page.indents.pop()
         else:
-            render(child, page, pre)
+            yield child, page, pre
     if listed and page.indents:
         page.end()
     elif tag in SPACED:
