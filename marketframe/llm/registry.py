@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("suffix_dedup", "lm_score", "bpe", "ann", "warc", "decontaminate", "simhash", "quality", "token_counts", "html_text", "merkle", "ranked_search")
+_MODULES = ("suffix_dedup", "lm_score", "bpe", "ann", "warc", "decontaminate", "simhash", "quality", "token_counts", "html_text", "merkle", "jaccard_join", "ranked_search")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}

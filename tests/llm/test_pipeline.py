@@ -89,5 +89,5 @@ def test_pipeline_on_nothing(spark, nothing, benchmark, tmp_path):
 
 def test_registered():
     names = set(entry.queries())
-    assert {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()} == {f"op{n}" for n in (*range(1, 12), 13)}
+    assert {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()} == {f"op{n}" for n in range(1, 14)}
     assert "pipeline" in names and corpus_pipeline.ORACLE_SQL is None
