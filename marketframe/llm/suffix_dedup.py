@@ -12,12 +12,16 @@ the smallest hash among its 32-byte substrings, and equal strings have their anc
    strings with their anchor at offset o are equal if they share an interval of depth o to the left and one of depth
    length - o to the right.
 
-Anchors that occur very often are folded to their different records first, and the strings of those are counted by
-their whole content with pre-aggregation, so a passage that a third of all texts share never meets in one bucket.
+The leading bytes of an anchor that occurs very often would be one bucket. Its strings are sorted by all their bytes
+instead: tasks fold the records of a slice of texts to the different strings in them and send these, sorted and packed,
+to the buckets of splitters between whole strings; a bucket sorts what it got in the same way, and its answer goes back
+to the slices. So a passage that a third of all texts share is one string per slice in any bucket, and no row or join
+is made per occurrence.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -32,8 +36,13 @@ from marketframe.llm.tokens import MULTIPLIER, mix
 
 LENGTH = 200
 SEED_BYTES = 32
-#: An anchor that occurs more often has its strings counted by content.
+#: An anchor that occurs more often has its strings sorted by all their bytes.
 OFTEN = 256
+#: Strings of one slice of texts and of one bucket of strings, and how many of a slice are looked at for splitters.
+SLICE_STRINGS = 60_000
+BUCKET_STRINGS = 120_000
+SLICE_SAMPLE = 64
+SAMPLE = 20_000
 #: Bytes of joined text in one vectorised step; positions in it take 20 bits.
 STEP = 1 << 19
 BUCKET_BYTES = 24_000_000
@@ -137,44 +146,53 @@ def _find(length: int):
 
 
 def _records(length: int):
-    """Cut the records of a text's repeated anchors; also pass on the text itself. The body of a frequent record is
-    written once per task, other rows name it by its digest."""
+    """Cut the records of a text's repeated anchors (kind 0) and pass on the text itself (kind 2). Records of anchors that
+    occur often are gathered in slices of texts (kind 1): the different bodies, and who has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "one", "two", "first", "left", "digest", "body"]
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-        written: set[bytes] = set()
+        names = ["kind", "one", "two", "first", "left", "body", "owners", "bodies"]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.binary())]
         rows: list[tuple] = []
         held = 0
+        owners: list[tuple[int, int, int, int]] = []
+        bodies: dict[bytes, int] = {}
+        strings = 0
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=names)
 
+        def slice_row() -> tuple:
+            name = hashlib.md5(b"%d %d %d" % owners[0][:3]).digest()[:8]
+            return 1, int.from_bytes(name, "little", signed=True), strings, None, None, None, np.array(owners, np.int64).tobytes(), list(bodies)
+
         for batch in batches:
             for one, two, copies, text, places in zip(*(batch.column(i) for i in range(5))):
                 one, two, text = one.as_py(), two.as_py(), text.as_py()
-                rows.append((2, one, two, copies.as_py(), None, None, text))
+                rows.append((2, one, two, copies.as_py(), None, text, None, None))
                 held += len(text)
                 for place in places.as_py():
                     often, place = place & 1, place >> 1
                     at, low, high = place >> 16, place >> 8 & 255, place & 255
                     first = at - high
                     body = text[first : at - low + length]
-                    digest = None
-                    if often:
-                        digest = hashlib.md5(b"%d %d " % (low, high) + body).digest()
-                        if digest in written:
-                            body = None
-                        else:
-                            written.add(digest)
-                            if len(written) > 200_000:
-                                written.clear()
-                    rows.append((often, one, two, first, high, digest, body))
-                    held += 300 if body else 50
+                    if not often:
+                        rows.append((0, one, two, first, high, body, None, None))
+                        held += 300
+                        continue
+                    if body not in bodies:
+                        bodies[body] = len(bodies)
+                        strings += len(body) - length + 1
+                    owners.append((one, two, first, bodies[body]))
+                    if strings >= SLICE_STRINGS or len(owners) >= SLICE_STRINGS:
+                        rows.append(slice_row())
+                        held += 50 * len(owners) + 400 * len(bodies)
+                        owners, bodies, strings = [], {}, 0
                 if held > 4_000_000:
                     yield out()
                     rows.clear()
                     held = 0
+        if owners:
+            rows.append(slice_row())
         if rows:
             yield out()
 
@@ -307,55 +325,139 @@ def _bucket(length: int):
     return run
 
 
-def _strings(length: int):
-    """Rows of the strings of frequent records: two hashes of the string, the record and the string's place in it."""
+class Strings:
+    """The different strings of some bodies, sorted, and where they are."""
+
+    def __init__(self, bodies: list[bytes], length: int):
+        many = np.array([len(b) - length + 1 for b in bodies])
+        self.record = np.repeat(np.arange(len(bodies)), many)
+        self.place = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        begins = np.cumsum([0, *map(len, bodies)])[:-1]
+        raw = np.frombuffer(b"".join(bodies), np.uint8)
+        matrix = np.lib.stride_tricks.sliding_window_view(raw, length)[begins[self.record] + self.place]
+        order, new = sorted_strings(matrix)
+        self.rows = matrix[order[new]]
+        self.number = np.empty(len(order), np.int64)
+        self.number[order] = np.cumsum(new) - 1
+
 
+def sorted_strings(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows of bytes by multikey quicksort, and which of them differ from the one before in that order."""
+    size, length = matrix.shape
+    padded = np.zeros((size, -(-length // 8) * 8), np.uint8)
+    padded[:, :length] = matrix
+    words = padded.view(">u8").astype(np.uint64)
+    order = multikey_order(words)
+    new = np.ones(size, bool)
+    new[1:] = common_bytes(words[order])[1:] < length
+    return order, new
+
+
+def _sample(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = length // 8
-        rest = length - 8 * words
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                bodies = [b.as_py() for b in part.column(1)]
-                sizes = np.array([len(b) for b in bodies])
-                begins = np.cumsum(sizes) - sizes
-                many = sizes - length + 1
-                owner = np.repeat(np.arange(len(bodies)), many)
-                place = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-                raw = np.frombuffer(b"".join(bodies), np.uint8)
-                eight = loads(raw)
-                window = begins[owner] + place
-                hashes = []
-                for seed in (2, 3):
-                    # words are scrambled before they are summed: in a sum of plain words differences cancel
-                    scrambled = mix(eight ^ factors(1, seed)[0])
-                    code = np.zeros(len(window), np.uint64)
-                    for k, factor in enumerate(factors(words, seed)):
-                        code += scrambled[window + 8 * k] * factor
-                    if rest:
-                        code = mix(code) + scrambled[window + length - 8] * MULTIPLIER
-                    hashes.append(pa.array(mix(code).view(np.int64)))
-                digest = part.column(0).take(pa.array(owner))
-                yield pa.RecordBatch.from_arrays([*hashes, digest, pa.array(place.astype(np.int32)), part.column(2).take(pa.array(owner))], names=["w1", "w2", "digest", "place", "n"])
+            for bodies in batch.column(0):
+                rows = Strings(bodies.as_py(), length).rows
+                some = rows[:: max(1, len(rows) // SLICE_SAMPLE)]
+                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in some], pa.binary())], names=["string"])
+
+    return run
+
+
+def _ask(length: int, splitters: list[bytes]):
+    """The different strings of each slice: a row (slice, bucket, strings, known) for every bucket that has any; known
+    are those that the slice itself has twice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(1, window_log=24)).compress
+        for batch in batches:
+            for name, owners, bodies in zip(batch.column(0), batch.column(1), batch.column(2)):
+                strings = Strings(bodies.as_py(), length)
+                copies = np.bincount(np.frombuffer(owners.as_py(), np.int64).reshape(-1, 4)[:, 3])
+                known = np.bincount(strings.number, weights=copies[strings.record]) > 1
+                cuts = [bisect.bisect_left(range(len(strings.rows)), s, key=lambda i: strings.rows[i].tobytes()) for s in splitters]
+                cuts = [0, *cuts, len(strings.rows)]
+                some = [n for n in range(len(cuts) - 1) if cuts[n] < cuts[n + 1]]
+                packed = [pack(strings.rows[cuts[n] : cuts[n + 1]].tobytes()) for n in some]
+                flags = [np.packbits(known[cuts[n] : cuts[n + 1]]).tobytes() for n in some]
+                columns = [pa.array([name.as_py()] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array(packed, pa.binary()), pa.array(flags, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["slice", "bucket", "strings", "known"])
+
+    return run
+
+
+def _answer(length: int):
+    """Which strings of a bucket occur twice or more, for each slice in the order in which it asked."""
+
+    def run(asked: pa.Table) -> pa.Table:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        parts = [np.frombuffer(unpack(s.as_py()), np.uint8).reshape(-1, length) for s in asked.column("strings")]
+        sizes = [len(p) for p in parts]
+        known = np.concatenate([np.unpackbits(np.frombuffer(k.as_py(), np.uint8), count=n) for k, n in zip(asked.column("known"), sizes)])
+        order, new = sorted_strings(np.concatenate(parts))
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(new) - 1
+        twice = np.bincount(number, weights=1 + known) > 1
+        flags = [np.packbits(f).tobytes() for f in np.split(twice[number], np.cumsum(sizes)[:-1])]
+        return pa.table({"slice": asked.column("slice"), "bucket": asked.column("bucket"), "number": pa.array(sizes, pa.int64()), "twice": pa.array(flags, pa.binary())})
 
     return run
 
 
 def _owned(length: int):
-    """Byte ranges in the texts that own a frequent record, from the places of its repeated strings."""
+    """Byte ranges of the repeated strings of each slice in its texts: one row per text of (owners, bodies, answers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two, first = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            places = batch.column(3)
-            flat = places.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            record = np.repeat(np.arange(batch.num_rows), places.value_lengths().to_numpy(zero_copy_only=False))
-            record, low, high = spans(record, flat, length)
-            yield pa.RecordBatch.from_arrays([pa.array(one[record]), pa.array(two[record]), pa.array(first[record] + low), pa.array(first[record] + high)], names=["one", "two", "from", "to"])
+            for owners, bodies, answers in zip(*(batch.column(i) for i in range(3))):
+                strings = Strings(bodies.as_py(), length)
+                answers = sorted(answers.as_py(), key=lambda a: a["bucket"])
+                twice = np.concatenate([np.unpackbits(np.frombuffer(a["twice"], np.uint8), count=a["number"]) for a in answers]).astype(bool)
+                there = twice[strings.number]
+                record, low, high = spans(strings.record[there], strings.place[there], length)
+                one, two, first, body = np.frombuffer(owners.as_py(), np.int64).reshape(-1, 4).T
+                begin, end = np.searchsorted(record, body, "left"), np.searchsorted(record, body, "right")
+                owner = np.repeat(np.arange(len(one)), end - begin)
+                at = np.arange(len(owner)) - np.repeat(np.cumsum(end - begin) - (end - begin), end - begin) + begin[owner]
+                if not len(owner):
+                    continue
+                # texts follow each other, ranges of a text are joined
+                text = np.cumsum(np.concatenate([[False], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))[owner]
+                low, high = (first[owner] + low[at]) + (text << 40), (first[owner] + high[at]) + (text << 40)
+                order = np.argsort(low, kind="stable")
+                low, high = low[order], np.maximum.accumulate(high[order])
+                new = np.concatenate([[True], low[1:] > high[:-1]])
+                last = np.append(np.flatnonzero(new)[1:], len(new)) - 1
+                low, high = low[new], high[last]
+                text, where = np.unique(low >> 40, return_index=True)
+                ranges = pa.StructArray.from_arrays([pa.array(low & (1 << 40) - 1), pa.array(high & (1 << 40) - 1)], ["from", "to"])
+                ranges = pa.ListArray.from_arrays(pa.array(np.append(where, len(low)), pa.int32()), ranges)
+                head = np.unique(np.cumsum(np.concatenate([[False], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])), return_index=True)[1][text]
+                yield pa.RecordBatch.from_arrays([pa.array(one[head]), pa.array(two[head]), ranges], names=["one", "two", "ranges"])
 
     return run
 
 
+def _hot_ranges(slices: DataFrame, length: int) -> DataFrame:
+    """Byte ranges of the strings that occur twice or more in all slices (slice, owners, bodies, strings): one, two,
+    ranges."""
+    spark = slices.sparkSession
+    total = slices.agg(F.sum("strings").alias("n")).first().n or 0
+    buckets = -(-total // BUCKET_STRINGS)
+    sampled = slices.select("bodies").mapInArrow(_sample(length), "string binary").orderBy(F.xxhash64("string")).limit(SAMPLE) if buckets > 1 else None
+    some = sorted(bytes(r.string) for r in sampled.collect()) if buckets > 1 else []
+    splitters = sorted({some[n * len(some) // buckets] for n in range(1, buckets)}) if some else []
+    asked = slices.select("slice", "owners", "bodies").mapInArrow(_ask(length, splitters), "slice long, bucket int, strings binary, known binary")
+    answered = asked.groupBy("bucket").applyInArrow(_answer(length), "slice long, bucket int, number long, twice binary")
+    answers = answered.groupBy("slice").agg(F.collect_list(F.struct("bucket", "number", "twice")).alias("answers"))
+    both = slices.join(answers, "slice").select("owners", "bodies", "answers")
+    return both.mapInArrow(_owned(length), "one long, two long, ranges array<struct<from: long, to: long>>")
+
+
 def joined_spans(begins: list[int], ends: list[int]) -> list[tuple[int, int]]:
     """Maximal runs of the union of ranges; ranges that touch are one run."""
     out: list[list[int]] = []
@@ -435,7 +537,7 @@ def removals(docs: DataFrame, length: int = LENGTH, often: int = OFTEN, keep: bo
     places = places.groupBy("one", "two").agg(F.collect_set("place").alias("places"))
     folded = rows.groupBy("one", "two").agg(F.count("*").alias("copies"), F.first("text").alias("text"))
     cut = folded.join(places, ["one", "two"]).select("one", "two", "copies", "text", "places")
-    schema = "kind int, one long, two long, first long, left int, digest binary, body binary"
+    schema = "kind int, one long, two long, first long, left int, body binary, owners binary, bodies array<binary>"
     path = f"{shared_folder(spark)}/suffixes-{uuid.uuid4().hex}"
     cut.mapInArrow(_records(length), schema).write.option("compression", "zstd").partitionBy("kind").parquet(path)
     records = spark.read.schema(schema).parquet(path)
@@ -444,16 +546,10 @@ def removals(docs: DataFrame, length: int = LENGTH, often: int = OFTEN, keep: bo
     size = rare.count()
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size * 300 // BUCKET_BYTES))
     ranges = rare.select("one", "two", "first", "left", "body", "lead").repartitionByRange(buckets, "lead").mapInArrow(_bucket(length), "one long, two long, from long, to long")
-
-    frequent = records.where("kind = 1")
-    bodies = frequent.groupBy("digest").agg(F.first("body", ignorenulls=True).alias("body"), F.count("*").alias("n"))
-    strings = bodies.mapInArrow(_strings(length), "w1 long, w2 long, digest binary, place int, n long")
-    twice = stored(strings.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w1", "w2"), "strings")
-    places = stored(strings.join(twice, ["w1", "w2"]).groupBy("digest").agg(F.collect_list("place").alias("places")), "places")
-    owners = frequent.select("one", "two", "first", "digest").join(places, "digest").select("one", "two", "first", "places")
-    ranges = ranges.unionByName(owners.mapInArrow(_owned(length), "one long, two long, from long, to long"))
-
-    ranges = ranges.groupBy("one", "two").agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
+    ranges = ranges.select("one", "two", F.array(F.struct("from", "to")).alias("ranges"))
+    slices = records.where("kind = 1").select(F.col("one").alias("slice"), F.col("two").alias("strings"), "owners", "bodies")
+    ranges = ranges.unionByName(_hot_ranges(slices, length))
+    ranges = ranges.groupBy("one", "two").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
     texts = records.where("kind = 2").select("one", "two", F.col("first").alias("copies"), F.col("body").alias("text"))
     both = texts.join(ranges, ["one", "two"], "left").where("ranges is not null or copies > 1")
     schema = "one long, two long, n_removed long, n_spans long, kept_sha256 string"

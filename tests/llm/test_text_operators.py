@@ -1,6 +1,7 @@
 """Text operators against brute force, the tokenizers library and SQL, on a table full of edge cases."""
 
 import hashlib
+import random
 
 
 import duckdb
@@ -15,7 +16,7 @@ from tokenizers import Tokenizer
 from marketframe.llm import bpe, decontaminate, lm_score, quality, simhash, suffix_dedup, token_counts
 
 from . import brute
-from .conftest import BENCHMARK, as_sorted
+from .conftest import BENCHMARK, as_sorted, prose
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -195,3 +196,15 @@ def test_estimated_prior():
     positive = rng.normal(2, 1, (2000, 3))
     unlabelled = np.concatenate([rng.normal(2, 1, (1400, 3)), rng.normal(-2, 1, (600, 3))])
     assert quality.estimated_prior(positive, unlabelled) == pytest.approx(0.7, abs=0.06)
+
+
+def test_suffix_dedup_of_a_hot_passage(spark, monkeypatch):
+    """Thousands of texts share passages, each in surroundings of its own, over several slices and buckets of strings."""
+    monkeypatch.setattr(suffix_dedup, "SLICE_STRINGS", 20_000)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_STRINGS", 30_000)
+    rng = random.Random(8)
+    passage, line = prose(rng, 80), prose(rng, 45)
+    rows = [(n, f"{prose(rng, n % 40)} {passage if n % 3 else line} {prose(rng, (n * 7) % 30)}{'' if n % 50 else passage}") for n in range(3000)]
+    rows += [(5000, passage), (5001, passage[:199]), (5002, passage[5:205] + "\x00"), (5003, passage[5:205] + "\x00")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert as_sorted(suffix_dedup.deduplicated(frame)) == brute.repeats(rows)
