@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketframe.llm.common import chunks, read, stored, utf8
+from marketframe.llm.lm_score import pack_sorted, unpack_sorted
 from marketframe.llm.simhash import components
 from marketframe.llm.suffix_dedup import identity
 from marketframe.llm.tokens import MULTIPLIER, grams, mix, word_bytes, words
@@ -35,6 +36,9 @@ from marketframe.llm.tokens import MULTIPLIER, grams, mix, word_bytes, words
 FRAGMENTS = 8
 #: Nodes of one side of a pair of blocks.
 BLOCK = 256
+#: First shingles that a slice of texts packs together, and that one range of shingles has.
+SLICE_TOKENS = 250_000
+RANGE_TOKENS = 1_500_000
 
 
 class Rule(NamedTuple):
@@ -104,12 +108,24 @@ def first_needed(rule: Rule, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.minimum(sizes - smallest + more, sizes), np.maximum(smallest // 10, 1)
 
 
-def _first(rule: Rule):
-    """The first shingles of each text, with its node: rows (token, node). A task writes a set again only after many
-    others, so that copies cost little."""
+def _first(rule: Rule, parts: int):
+    """The first shingles of the sets in a slice of texts with their nodes: for each of ``parts`` ranges of the scrambled
+    shingles one row (part, tokens, nodes), sorted and packed. A task passes a set on again only after many others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds = np.array([(p << 64) // parts for p in range(parts)], np.uint64)
         written: set[int] = set()
+        tokens, owners = [], []
+
+        def out() -> pa.RecordBatch:
+            token, owner = np.concatenate(tokens), np.concatenate(owners)
+            order = np.argsort(token, kind="stable")
+            token, owner = token[order], owner[order]
+            cuts = np.append(np.searchsorted(token, bounds), len(token))
+            some = np.flatnonzero(np.diff(cuts))
+            packed = [pack_sorted(token[cuts[p] : cuts[p + 1]]) for p in some], [owner[cuts[p] : cuts[p + 1]].tobytes() for p in some]
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *(pa.array(x, pa.binary()) for x in packed)], names=["part", "tokens", "nodes"])
+
         for _, texts in chunks(batches):
             code, sizes = shingles(texts, rule.words)
             nodes = nodes_of(code, sizes)
@@ -122,11 +138,35 @@ def _first(rule: Rule):
                 written.clear()
             begins = np.cumsum(sizes) - sizes
             keep = np.arange(len(code)) - np.repeat(begins, sizes) < np.repeat(wanted, sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(code[keep].view(np.int64)), pa.array(np.repeat(nodes, sizes)[keep])], names=["token", "node"])
+            # first ones are small numbers: scrambled they fall evenly into the ranges
+            tokens.append(mix(code[keep] ^ MULTIPLIER))
+            owners.append(np.repeat(nodes, sizes)[keep])
+            if sum(map(len, tokens)) >= SLICE_TOKENS:
+                yield out()
+                tokens, owners = [], []
+        if tokens:
+            yield out()
 
     return run
 
 
+def _met(asked: pa.Table) -> pa.Table:
+    """Of one range of shingles: how many of each node's first ones are among those of another node."""
+    token = np.concatenate([unpack_sorted(t.as_py()) for t in asked.column("tokens")])
+    node = np.concatenate([np.frombuffer(n.as_py(), np.int64) for n in asked.column("nodes")])
+    order = np.lexsort((node, token))
+    token, node = token[order], node[order]
+    new = np.ones(len(token), bool)
+    new[1:] = token[1:] != token[:-1]
+    different = new.copy()
+    different[1:] |= node[1:] != node[:-1]
+    token, node, new = token[different], node[different], new[different]
+    number = np.cumsum(new) - 1
+    shared = np.bincount(number)[number] > 1
+    found, met = np.unique(node[shared], return_counts=True)
+    return pa.table({"node": found, "met": met})
+
+
 def _tokens(rule: Rule):
     """All shingles of each node: rows (node, size, token)."""
 
@@ -349,9 +389,10 @@ def similar_groups(docs: DataFrame, rule: Rule = RULE, empty_together: bool = Fa
     named = marked.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.min(F.struct("one", "two")).alias("text"))
     distinct = stored(named, "distinct")
 
-    first = texts.select("text").mapInArrow(_first(rule), "token long, node long")
-    shared = stored(first.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token"), "shared")
-    met = first.join(shared, "token").distinct().groupBy("node").agg(F.count("*").alias("met"))
+    total = marked.agg(F.sum("size").alias("n")).first().n or 0
+    parts = 1 + total * (rule.over - rule.under) // rule.over // RANGE_TOKENS
+    asked = texts.select("text").mapInArrow(_first(rule, parts), "part long, tokens binary, nodes binary")
+    met = asked.groupBy("part").applyInArrow(_met, "node long, met long").groupBy("node").agg(F.sum("met").alias("met"))
     need = F.greatest(F.floor(F.ceil(F.col("size") * rule.under / rule.over) / 10), F.lit(1))
     alive = stored(distinct.join(met, "node").where(F.col("met") >= need).select("node", "text.one", "text.two"), "alive")
 
