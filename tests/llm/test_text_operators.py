@@ -69,6 +69,14 @@ def test_merges_agree_for_long_words():
         assert vocabulary.merge(word) == tokenizer.encode(word).ids
 
 
+def test_merges_of_many_words_agree():
+    vocabulary = bpe.vocabulary(WORD_BPE)
+    rng = random.Random(9)
+    words = [prose(rng, 1) for _ in range(3000)] + ["".join(rng.choices("abcé日", k=n)) for n in range(1, 60)] + ["a", "é", "!!!", "aaaa" * 12, "aaaa" * 13]
+    assert vocabulary.merge_many([w.encode() for w in words]) == [vocabulary.merge(w) for w in words]
+    assert vocabulary.merge_many([]) == []
+
+
 @pytest.mark.parametrize("often", [2, 256])
 def test_suffix_dedup(docs, rows, nothing, often):
     short = [r for r in rows if len(r[1] or "") < 50_000]
