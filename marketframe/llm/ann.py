@@ -154,13 +154,17 @@ def _best(query: np.ndarray, ids: np.ndarray, distance: np.ndarray, k: int) -> n
 
 
 def _search(codes: Codes, questions, k: int, radius: int):
+    """The ``k`` nearest of what a task's rows (vec_id, code, embedding, place) hold for each query, as rows (query_id,
+    vec_id, place, score)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, query_code, query_x = questions.value
-        top = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        none = np.empty(0, np.int64)
+        top = (none, none, none, np.empty(0))
         for batch in batches:
             for at in range(0, batch.num_rows, INDEX_ROWS):
                 part = batch.slice(at, INDEX_ROWS)
-                ids = part.column(0).to_numpy(zero_copy_only=False)
+                ids, places = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 3))
                 x = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), codes.dim)
                 table = Index(codes, part.column(1).to_numpy(zero_copy_only=False).view(np.uint64))
                 found = [top]
@@ -172,11 +176,12 @@ def _search(codes: Codes, questions, k: int, radius: int):
                         bound = np.partition(distance, k - 1)[k - 1]
                         near = distance <= bound
                         rows, distance = rows[near], distance[near]
-                    found.append((np.full(len(rows), n), ids[rows], distance))
+                    found.append((np.full(len(rows), n), ids[rows], places[rows], distance))
                 top = tuple(np.concatenate(c) for c in zip(*found))
-                best = _best(*top, k)
+                best = _best(top[0], top[1], top[3], k)
                 top = tuple(c[best] for c in top)
-        yield pa.RecordBatch.from_arrays([pa.array(query_ids[top[0]]), pa.array(top[1]), pa.array(top[2])], names=["query_id", "vec_id", "score"])
+        columns = [pa.array(query_ids[top[0]]) if len(top[0]) else pa.array([], pa.int64()), *map(pa.array, top[1:])]
+        yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "place", "score"])
 
     return run
 
@@ -201,7 +206,7 @@ def nearest(rows: DataFrame, queries: str, k: int = 10, sample_rows: int = SAMPL
 
     Rows whose id is missing or whose vector is missing, zero, of another length than most, or holds a missing or
     non-finite component take no part. Candidates are all other rows but those with the query's own id; a repeated row
-    is a candidate each time. Queries that find fewer than ``k`` within the radius are asked again without one, so
+    is a candidate each time. Queries with one id are one query, its distance to a candidate is the smallest of theirs. Queries that find fewer than ``k`` within the radius are asked again without one, so
     each gets ``k`` rows, or all there are. Other columns are not read.
 
     The index is stored once and never shuffled: each slice of it is probed for a block of queries and keeps the
@@ -215,7 +220,7 @@ def nearest(rows: DataFrame, queries: str, k: int = 10, sample_rows: int = SAMPL
     if not len(taken):
         return spark.createDataFrame([], schema)
     codes = learn(taken, k, target=target)
-    table = stored(index(rows, codes), "codes")
+    table = stored(index(rows, codes).withColumn("place", F.monotonically_increasing_id()), "codes")
     found = None
     for block in query_blocks(table.where(queries), codes, block_queries):
         few = block
@@ -223,16 +228,20 @@ def nearest(rows: DataFrame, queries: str, k: int = 10, sample_rows: int = SAMPL
             if not len(few[0]):
                 break
             ask = spark.sparkContext.broadcast(few)
-            got = stored(table.mapInArrow(_search(codes, ask, k, radius), "query_id long, vec_id long, score double"), "nearest")
+            got = table.mapInArrow(_search(codes, ask, k, radius), "query_id long, vec_id long, place long, score double")
+            got = stored(got.groupBy("query_id", "vec_id", "place").agg(F.min("score").alias("score")), "nearest")
             if radius < codes.bits:
                 enough = {r.query_id for r in got.groupBy("query_id").count().where(f"count >= {k}").select("query_id").toLocalIterator()}
-                got = got.join(spark.createDataFrame([(int(i),) for i in few[0] if i not in enough], "query_id long"), "query_id", "left_anti")
+                asked = spark.createDataFrame([(i,) for i in {int(i) for i in few[0]} - enough], "query_id long")
+                got = got.join(asked, "query_id", "left_anti")
                 again = np.array([i not in enough for i in few[0]], bool)
                 few = tuple(part[again] for part in few)
             found = got if found is None else found.unionByName(got)
     if found is None:
         return spark.createDataFrame([], schema)
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
+    # vectors of one id may be queries of several blocks
+    found = found.groupBy("query_id", "vec_id", "place").agg(F.min("score").alias("score"))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id", "place")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -149,6 +149,27 @@ def test_ann_edges(spark):
     assert ann.nearest(frame.limit(0), "true").count() == 0
 
 
+@pytest.mark.parametrize("block_queries", [1, 100])
+def test_ann_repeated_rows(spark, block_queries):
+    """A repeated query is one query, two vectors of one id count by the nearer one, a repeated candidate counts each time."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(40, 8)).astype(np.float32).astype(float)
+    rows = [*enumerate(x.tolist()), (0, x[0].tolist()), (10, rng.normal(size=8).astype(np.float32).tolist()), (4, x[4].tolist()), (4, x[4].tolist())]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    for k in (5, 60):
+        want = []
+        for q in range(0, 40, 10):
+            own = [np.array(v) for i, v in rows if i == q]
+            others = sorted((min(float(np.sqrt(((np.array(v) - o) ** 2).sum())) for o in own), i) for i, v in rows if i != q)
+            want += [(q, n, i, d) for n, (d, i) in enumerate(others[:k], 1)]
+        got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(frame, "vec_id % 10 = 0", k=k, block_queries=block_queries, target=1.0).collect())
+        assert [g[:3] for g in got] == [w[:3] for w in want] or k == 5
+        assert [g[:2] for g in got] == [w[:2] for w in want]
+        for q in range(0, 40, 10):
+            found = [g[2] for g in got if g[0] == q]
+            assert all(found.count(i) <= (3 if i == 4 else 2 if i in (0, 10) else 1) for i in found)
+
+
 def test_substring_index_retrieves_all_within_the_radius():
     rng = np.random.default_rng(4)
     codes = ann.learn(rng.normal(size=(500, 16)), 5)
