@@ -25,6 +25,8 @@ ALPHA = 0.4
 #: Longer n-grams that occur less often back off, so a document's own single occurrences do not carry it.
 MIN_COUNT = 2
 GROUP_BYTES = 8_000_000
+#: Bytes of text whose n-grams one hash partition sums. A group has a row for each partition that it has n-grams of.
+PART_BYTES = 32_000_000
 #: Entry whose count is the number of words.
 ALL_WORDS = np.uint64(1)
 
@@ -153,13 +155,15 @@ def lm_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_cou
     scored by less than the longest n-gram. A text without words (also a missing one) has log_score 0 and no
     mean_score; repeated rows count and are scored each; other columns are not read.
 
-    Documents are grouped by a hash of id and text; one very long text makes its group larger by itself.
+    Documents are dealt to groups by id, text and place in the input, so that repeated rows spread; one very long text
+    makes its group larger by itself.
     """
     rows = docs.select("doc_id", utf8().alias("_text"))
     size = docs.select(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     groups = max(1, math.ceil(size / group_bytes))
-    rows = rows.withColumn("_group", F.pmod(F.xxhash64("doc_id", "_text"), F.lit(groups))).repartition("_group")
-    asked = rows.groupBy("_group").applyInArrow(_ask(groups, order), "_part long, _group long, _grams binary, _counts binary")
+    parts = max(1, math.ceil(size / PART_BYTES))
+    rows = rows.withColumn("_group", F.pmod(F.xxhash64("doc_id", "_text", F.monotonically_increasing_id()), F.lit(groups))).repartition(groups, "_group")
+    asked = rows.groupBy("_group").applyInArrow(_ask(parts, order), "_part long, _group long, _grams binary, _counts binary")
     answers = asked.groupBy("_part").applyInArrow(_total, "_group long, _part long, _totals binary")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_backoff long, log_score double"
     scored = rows.groupBy("_group").cogroup(answers.groupBy("_group")).applyInArrow(_score(["doc_id"], order, alpha, min_count), schema)
