@@ -36,9 +36,10 @@ from marketframe.llm.tokens import MULTIPLIER, grams, mix, word_bytes, words
 FRAGMENTS = 8
 #: Nodes of one side of a pair of blocks.
 BLOCK = 256
-#: First shingles that a slice of texts packs together, and that one range of shingles has.
+#: First shingles that a slice of texts packs together, those in one range of shingles, and the rows of one range of nodes.
 SLICE_TOKENS = 250_000
-RANGE_TOKENS = 1_500_000
+RANGE_TOKENS = 500_000
+RANGE_NODES = 200_000
 
 
 class Rule(NamedTuple):
@@ -150,21 +151,36 @@ def _first(rule: Rule, parts: int):
     return run
 
 
-def _met(asked: pa.Table) -> pa.Table:
-    """Of one range of shingles: how many of each node's first ones are among those of another node."""
-    token = np.concatenate([unpack_sorted(t.as_py()) for t in asked.column("tokens")])
-    node = np.concatenate([np.frombuffer(n.as_py(), np.int64) for n in asked.column("nodes")])
-    order = np.lexsort((node, token))
-    token, node = token[order], node[order]
-    new = np.ones(len(token), bool)
-    new[1:] = token[1:] != token[:-1]
-    different = new.copy()
-    different[1:] |= node[1:] != node[:-1]
-    token, node, new = token[different], node[different], new[different]
-    number = np.cumsum(new) - 1
-    shared = np.bincount(number)[number] > 1
-    found, met = np.unique(node[shared], return_counts=True)
-    return pa.table({"node": found, "met": met})
+def _met(ranges: int):
+    """Of one range of shingles: how many of each node's first ones are among those of another node, packed into one row
+    (range, nodes, counts) for each of ``ranges`` ranges of nodes."""
+
+    def run(asked: pa.Table) -> pa.Table:
+        bounds = np.array([(p << 64) // ranges for p in range(ranges)], np.uint64)
+        token = np.concatenate([unpack_sorted(t.as_py()) for t in asked.column("tokens")])
+        node = np.concatenate([np.frombuffer(n.as_py(), np.uint64) for n in asked.column("nodes")])
+        order = np.lexsort((node, token))
+        token, node = token[order], node[order]
+        new = np.ones(len(token), bool)
+        new[1:] = token[1:] != token[:-1]
+        different = new.copy()
+        different[1:] |= node[1:] != node[:-1]
+        node, new = node[different], new[different]
+        number = np.cumsum(new) - 1
+        found, met = np.unique(node[np.bincount(number)[number] > 1], return_counts=True)
+        cuts = np.append(np.searchsorted(found, bounds), len(found))
+        some = np.flatnonzero(np.diff(cuts))
+        packed = [found[cuts[p] : cuts[p + 1]].tobytes() for p in some], [met[cuts[p] : cuts[p + 1]].tobytes() for p in some]
+        return pa.table({"range": pa.array(some, pa.int64()), "nodes": pa.array(packed[0], pa.binary()), "counts": pa.array(packed[1], pa.binary())})
+
+    return run
+
+
+def _met_in_all(part: pa.Table) -> pa.Table:
+    """Sums of ``_met`` over all ranges of shingles: node, met."""
+    nodes, counts = (np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in part.column(c)]) for c in ("nodes", "counts"))
+    node, where = np.unique(nodes, return_inverse=True)
+    return pa.table({"node": node, "met": np.bincount(where, weights=counts).astype(np.int64)})
 
 
 def _tokens(rule: Rule):
@@ -389,10 +405,12 @@ def similar_groups(docs: DataFrame, rule: Rule = RULE, empty_together: bool = Fa
     named = marked.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.min(F.struct("one", "two")).alias("text"))
     distinct = stored(named, "distinct")
 
-    total = marked.agg(F.sum("size").alias("n")).first().n or 0
-    parts = 1 + total * (rule.over - rule.under) // rule.over // RANGE_TOKENS
+    total = marked.agg(F.sum("size").alias("shingles"), F.count("*").alias("rows")).first()
+    parts = 1 + (total.shingles or 0) * (rule.over - rule.under) // rule.over // RANGE_TOKENS
+    ranges = 1 + total.rows // RANGE_NODES
     asked = texts.select("text").mapInArrow(_first(rule, parts), "part long, tokens binary, nodes binary")
-    met = asked.groupBy("part").applyInArrow(_met, "node long, met long").groupBy("node").agg(F.sum("met").alias("met"))
+    met = asked.groupBy("part").applyInArrow(_met(ranges), "range long, nodes binary, counts binary")
+    met = met.groupBy("range").applyInArrow(_met_in_all, "node long, met long")
     need = F.greatest(F.floor(F.ceil(F.col("size") * rule.under / rule.over) / 10), F.lit(1))
     alive = stored(distinct.join(met, "node").where(F.col("met") >= need).select("node", "text.one", "text.two"), "alive")
 
