@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marketframe.operators import bars as B
 from marketframe.operators.ordered import BLOCK, ewm, rolling, row_chunks, running_last, running_max, running_sums, wilder
-from marketframe.operators.ranking import exact_quantiles, top_k
+from marketframe.operators.ranking import exact_quantiles, ordered_bits, top_k
 from marketframe.operators.timeline import RangeTimeline, asof_join
 
 
@@ -100,6 +100,38 @@ def test_quantiles_are_exact_when_bracketed(table, series):
         assert got.loc[symbol, "p95"] == v[min(int(0.95 * len(v)), len(v) - 1)]
 
 
+def test_ordered_bits_order_doubles(spark):
+    rng = np.random.default_rng(4)
+    bits = rng.integers(-(1 << 63), 1 << 63, 3000, dtype=np.int64).view(np.float64)
+    powers = np.concatenate([2.0 ** np.arange(-1074, 1024), np.nextafter(2.0 ** np.arange(-1073, 1024), 0)])
+    values = np.concatenate([bits[~np.isnan(bits)], powers, -powers, [0.0, -0.0, np.inf, -np.inf, 1.0, 1.0]])
+    rows = spark.createDataFrame([(float(v),) for v in values], "v double").withColumn("k", ordered_bits(F.col("v"))).collect()
+    rows = sorted(rows, key=lambda r: r.k)
+    got = np.array([r.v for r in rows])
+    assert (np.diff(got) >= 0)[~np.isinf(got[1:])].all() and got[0] == -np.inf and got[-1] == np.inf
+    assert len({r.k for r in rows}) == len(np.unique(values))
+
+
+def test_quantiles_of_one_large_key(spark):
+    """A key of a million different values: rounds of counts narrow every rank down; what is sorted at last stays small."""
+    n = 1_000_000
+    value = (F.col("id") * 7_919_317 % n).cast("double") / 3 + 1e6
+    df = spark.range(n, numPartitions=8).select(F.lit("a").alias("k"), value.alias("x"))
+    df = df.unionByName(spark.range(2500).select(F.lit("b").alias("k"), F.lit(5.5).alias("x")))
+    df = df.unionByName(spark.createDataFrame([(None, 1.0), (None, 2.0), ("c", float("inf")), ("c", float("-inf")), ("c", 0.0), ("d", None)], "k string, x double"))
+    probs = {"a": 0.001, "b": 0.5, "c": 0.75, "d": 0.999999, "e": 1.0}
+    x = np.sort((np.arange(n) * 7_919_317 % n) / 3 + 1e6)
+    for accuracy in (100, 1000):
+        got = {r.k: r.asDict() for r in exact_quantiles(df, ["k"], "x", probs, accuracy=accuracy).collect()}
+        assert set(got) == {"a", "b", "c", None}
+        for name, p in probs.items():
+            assert got["a"][name] == pytest.approx(np.quantile(x, p), rel=1e-13)
+            assert got["b"][name] == 5.5
+        assert got[None]["b"] == 1.5 and got["c"]["b"] == 0.0 and got["c"]["e"] == float("inf")
+    assert exact_quantiles(df, [], "x", {"m": 0.5}, interpolate=False).collect()[0].m == sorted([*x, *[5.5] * 2500, 1.0, 2.0, float("inf"), float("-inf"), 0.0])[(n + 2505) // 2]
+    assert exact_quantiles(df.limit(0), ["k"], "x", probs).count() == 0
+
+
 def test_top_k_with_salts(table, series):
     got = top_k(table, ["symbol"], [F.desc("x")], 7).toPandas()
     want = series.sort_values("x", ascending=False).groupby("symbol").head(7)
