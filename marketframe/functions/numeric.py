@@ -54,19 +54,6 @@ def lit_map(mapping: dict) -> Column:
     return F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
 
 
-def corr_from_sums(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Column) -> Column:
-    """Pearson correlation from power sums, NULL for a constant series.
-
-    The sums can come from different sub-aggregates that were added up; a variance below
-    1e-12 of the squared magnitude is rounding noise and counts as constant.
-    """
-    cov = n * sxy - sx * sy
-    vx = n * sxx - sx * sx
-    vy = n * syy - sy * sy
-    ok = (vx > n * sxx * 1e-12) & (vy > n * syy * 1e-12)
-    return F.when(ok, F.try_divide(cov, F.sqrt(F.greatest(vx * vy, F.lit(0.0)))))
-
-
 def corr_agg(x: Column, y: Column) -> Column:
     """Aggregate (or window-less) correlation over rows where both sides are present."""
     both = x.isNotNull() & y.isNotNull()
@@ -75,12 +62,29 @@ def corr_agg(x: Column, y: Column) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.when(den > 1e-300, den))
 
 
-def std_from_sums(n: Column, s: Column, ss: Column, ddof: int = 1) -> Column:
-    """Standard deviation from count, sum and sum of squares; NULL when n <= ddof."""
-    var = F.try_divide(ss - F.try_divide(s * s, n), n - F.lit(ddof))
-    return F.when(n > ddof, F.sqrt(F.greatest(var, F.lit(0.0))))
-
-
 def truncated(text: Column, limit: int) -> Column:
     """First ``limit`` characters followed by ``...`` when the text is longer."""
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("..."))).otherwise(text)
+
+
+#: Parts of one in which values are summed exactly.
+PARTS = 1e12
+
+
+def whole(value: Column) -> Column:
+    """A value in parts of 1e-12 as a whole number: sums of such numbers are exact in any order."""
+    return F.round(value * PARTS).cast("decimal(38,0)")
+
+
+def millis(micros: Column) -> Column:
+    """Time in milliseconds since 2000 as a whole number."""
+    return (F.floor(micros / 1000) - 946_684_800_000).cast("decimal(38,0)")
+
+
+def centred(n: Column, sx: Column, sy: Column, sxy: Column) -> Column:
+    """Sum of (x - mean)(y - mean) from whole sums, as a double. The means' whole parts are taken off before anything is
+    rounded, so a constant series gives exactly 0; NULL without rows."""
+    some = F.when(n > 0, n).cast("decimal(38,0)")
+    mx, my = (F.floor(F.try_divide(s.cast("double"), some.cast("double"))).cast("decimal(38,0)") for s in (sx, sy))
+    about = sxy - mx * sy - my * sx + some * mx * my
+    return about.cast("double") - (sx - some * mx).cast("double") * (sy - some * my).cast("double") / some.cast("double")

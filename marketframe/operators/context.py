@@ -11,9 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketframe.functions.numeric import corr_from_sums, flag, ratio, zero
+from marketframe.functions.numeric import centred, flag, ratio, whole, zero
 from marketframe.operators.ordered import rolling, row_chunks, running_last
-from marketframe.operators.timeline import CHUNK_DAYS, RangeTimeline, asof_join
+from marketframe.operators.timeline import RangeTimeline, asof_join
 
 REGIME_WINDOWS = (20, 50, 200)
 SECTOR_DAYS = (5, 10, 20, 50)
@@ -142,7 +142,7 @@ def crypto_market(bars: DataFrame, refs: DataFrame, btc: str, eth: str) -> DataF
 
 def index_correlation(
     bars: DataFrame, refs: DataFrame, indexes: dict[str, str], days: Sequence[int] = CORRELATION_DAYS,
-    min_obs: int = 10, chunk_days: float = CHUNK_DAYS,
+    min_obs: int = 10, pieces: int | None = None,
 ) -> DataFrame:
     """Correlation of bar returns with index returns over the last n calendar days (``indexes``: prefix -> series)."""
 
@@ -159,11 +159,12 @@ def index_correlation(
     )
     pairs = own.join(per_time, "ts").filter(F.col("_x").isNotNull())
     probe = bars.join(per_time.select("ts", *[f"_has_{p}" for p in indexes]), "ts", "left").select(*bars.columns, *[f"_has_{p}" for p in indexes])
-    line = RangeTimeline(probe, pairs, ["symbol"], ["_x", *[f"_y_{p}" for p in indexes]], max(days), chunk_days)
+    line = RangeTimeline(probe, pairs, ["symbol"], ["_x", *[f"_y_{p}" for p in indexes]], pieces=pieces)
     cols = {}
     for p in indexes:
         y = F.col(f"_y_{p}")
-        x = F.when(y.isNotNull(), F.col("_x"))
+        x = whole(F.when(y.isNotNull(), F.col("_x")))
+        y = whole(y)
         for d in days:
             n = line.total(F.when(y.isNotNull(), F.lit(1)), d)
             cols[f"_n_{p}_{d}"] = n
@@ -173,9 +174,11 @@ def index_correlation(
     corrs = {}
     for p in indexes:
         for d in days:
-            sums = [F.col(f"_{tag}_{p}_{d}") for tag in ("n", "sx", "sy", "sxx", "syy", "sxy")]
-            known = (sums[0] >= min_obs) & F.coalesce(f"_has_{p}", F.lit(False))
-            corrs[f"{p}_correlation_{d}d"] = zero(F.when(known, corr_from_sums(*sums)))
+            n, sx, sy, sxx, syy, sxy = [F.col(f"_{tag}_{p}_{d}") for tag in ("n", "sx", "sy", "sxx", "syy", "sxy")]
+            vx, vy = centred(n, sx, sx, sxx), centred(n, sy, sy, syy)
+            corr = F.when((vx > 0) & (vy > 0), centred(n, sx, sy, sxy) / F.sqrt(vx * vy))
+            known = (n >= min_obs) & F.coalesce(f"_has_{p}", F.lit(False))
+            corrs[f"{p}_correlation_{d}d"] = zero(F.when(known, corr))
     return out.withColumns(corrs).drop(*cols, *[f"_has_{p}" for p in indexes])
 
 

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketframe.functions.lexicons import EVENT_TYPES
-from marketframe.functions.numeric import MICROS_PER_DAY, flag, ratio
+from marketframe.functions.numeric import MICROS_PER_DAY, PARTS, centred, flag, millis, ratio, us, whole
 from marketframe.operators.ordered import row_chunks
-from marketframe.operators.timeline import CHUNK_DAYS, RangeTimeline
+from marketframe.operators.timeline import RangeTimeline
 
 LOOKBACKS = (1, 3, 7, 14, 30)
 TYPE_DAYS = (7, 14, 30)
@@ -56,7 +56,7 @@ def event_features(
     lookbacks: Sequence[int] = LOOKBACKS,
     thresholds: Sequence[float] = THRESHOLDS,
     event_types: Sequence[str] = tuple(EVENT_TYPES),
-    chunk_days: float = CHUNK_DAYS,
+    pieces: int | None = None,
 ) -> DataFrame:
     """Bars with time-to-event, count, impact, type, clustering and momentum features.
 
@@ -66,10 +66,8 @@ def event_features(
     values = ["event_type", "event_count_total", "recent_event_impact", "avg_event_spacing"]
     # windows needed by the later features even when not asked for by name
     days = sorted({*lookbacks, 7, 14, 30})
-    line = RangeTimeline(
-        bars, history, ["symbol"], ["impact_score", "event_type"], max(*days, *TYPE_DAYS), chunk_days, values,
-        ["event_id"], forward=True,
-    )
+    history = history.withColumn("_t", us("ts"))
+    line = RangeTimeline(bars, history, ["symbol"], ["impact_score", "event_type", "_t"], values, ["event_id"], pieces)
     impact, kind = F.col("impact_score"), F.col("event_type")
     cols = {"_prev": line.previous(), "_next": line.next(), "_now": F.col("_us")}
     zero = lambda c: F.coalesce(c, F.lit(0.0))
@@ -81,8 +79,8 @@ def event_features(
         if d not in lookbacks:
             continue
         cols[f"high_impact_count_{d}d"] = line.total(F.when(impact >= 0.6, one), d)
-        cols[f"max_impact_{d}d"] = zero(F.max(impact).over(line.frame(d)))
-        cols[f"_sum_{d}"] = line.total(impact, d)
+        cols[f"max_impact_{d}d"] = zero(line.highest("impact_score", d))
+        cols[f"_sum_{d}"] = line.total(whole(impact), d) / F.lit(PARTS)
         for t in thresholds:
             cols[f"impact_above_{t}_{d}d"] = line.total(F.when(impact >= t, one), d)
     for d in TYPE_DAYS:
@@ -90,22 +88,25 @@ def event_features(
             cols[f"{name}_count_{d}d"] = line.total(F.when(kind == name, one), d)
     for d in CLUSTER_DAYS:
         cols[f"event_cluster_{d}d"] = flag(line.total(seen, d) >= 3)
+    t, y = millis(F.col("_t")), whole(impact)
+    both = kind.isNotNull() & impact.isNotNull()
     for d in MOMENTUM_DAYS:
-        frame = line.frame(d)
-        spread = F.stddev_pop("_sec").over(frame) * F.stddev_pop(impact).over(frame)
-        corr = F.try_divide(F.covar_pop("_sec", impact).over(frame), F.when(spread > 1e-12, spread))
-        cols[f"impact_momentum_{d}d"] = zero(F.when(F.count(kind).over(frame) >= 3, corr))
-    # event time in seconds, relative to the row's chunk so that it stays exact
-    line.df = line.df.withColumn(
-        "_sec", F.when(kind.isNotNull(), (F.col("_us") - F.col("_chunk") * int(chunk_days * MICROS_PER_DAY)) / 1e6)
-    )
+        for tag, term in (("n", F.lit(1)), ("t", t), ("y", y), ("tt", t * t), ("yy", y * y), ("ty", t * y)):
+            cols[f"_{tag}_{d}"] = line.total(F.when(both, term), d)
     out = line.bars(cols)
     means = {}
     for d in lookbacks:
         some = F.col(f"event_count_{d}d") > 0
         means[f"sum_impact_{d}d"] = F.when(some, F.col(f"_sum_{d}")).otherwise(0.0)
         means[f"avg_impact_{d}d"] = F.when(some, ratio(f"_sum_{d}", f"event_count_{d}d")).otherwise(0.0)
-    return _finish(out.withColumns(means).drop(*[f"_sum_{d}" for d in lookbacks]), event_types)
+    for d in MOMENTUM_DAYS:
+        n, st, sy = (F.col(f"_{x}_{d}") for x in ("n", "t", "y"))
+        vt, vy, cov = centred(n, st, st, F.col(f"_tt_{d}")), centred(n, sy, sy, F.col(f"_yy_{d}")), centred(n, st, sy, F.col(f"_ty_{d}"))
+        # deviations in seconds and in units of impact: less is a constant series
+        spread = F.sqrt(vt * vy) / n / F.lit(1000 * PARTS)
+        means[f"impact_momentum_{d}d"] = zero(F.when((F.col(f"event_count_{d}d") >= 3) & (spread > 1e-12), cov / F.sqrt(vt * vy)))
+    drop = [f"_sum_{d}" for d in lookbacks] + [f"_{x}_{d}" for d in MOMENTUM_DAYS for x in ("n", "t", "y", "tt", "yy", "ty")]
+    return _finish(out.withColumns(means).drop(*drop), event_types)
 
 
 def _finish(out: DataFrame, event_types: Sequence[str]) -> DataFrame:

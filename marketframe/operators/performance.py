@@ -129,13 +129,13 @@ def equity_curve(
         return starts.select(*group, F.explode(grid).alias("_t")).select(*group, period_end(F.col("_t")).alias("ts"))
 
     held = _running(fills, [*keys, "symbol"], signed_quantity(), "_pos", tie).select(*keys, "symbol", "ts", *tie, "_pos")
-    book = asof_join(panel([*keys, "symbol"]), held, [*keys, "symbol"], ["_pos"], "_h", tie=tie, chunk_days=365)
+    book = asof_join(panel([*keys, "symbol"]), held, [*keys, "symbol"], ["_pos"], "_h", tie=tie)
     price_tie = [c for c in tie if c in prices.columns]
-    book = asof_join(book, prices, ["symbol"], ["close"], "_c", tie=price_tie, chunk_days=365)
+    book = asof_join(book, prices, ["symbol"], ["close"], "_c", tie=price_tie)
     value = zero(F.col("_h._pos")) * zero(F.col("_c.close"))
     holdings = book.groupBy(*keys, "ts").agg(F.sum(value).alias("holdings"))
     cash = _running(fills, keys, cash_flow(), "_cash", ["symbol", *tie]).select(*keys, "ts", "symbol", *tie, "_cash")
-    out = asof_join(holdings, cash, keys, ["_cash"], "_k", tie=["symbol", *tie], chunk_days=365)
+    out = asof_join(holdings, cash, keys, ["_cash"], "_k", tie=["symbol", *tie])
     out = out.withColumn("cash", F.col("_k._cash") + capital).drop("_k")
     # small next to the fills and read several times by what follows
     return cut(out.withColumn("total_value", F.col("cash") + F.col("holdings")))

@@ -12,14 +12,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketframe.functions.numeric import MICROS_PER_DAY, day_number, ratio, std_from_sums, us, zero
+from marketframe.functions.numeric import MICROS_PER_DAY, PARTS, centred, day_number, millis, ratio, us, whole, zero
 from marketframe.operators.ordered import rolling, row_chunks
-from marketframe.operators.timeline import CHUNK_DAYS, RangeTimeline
+from marketframe.operators.timeline import RangeTimeline
 
 WINDOWS = (1, 3, 7, 14, 30)
 HALF_LIVES = (1, 3, 7)
 VOLATILITY_DAYS = (7, 14, 30)
 HISTORY = 100
+MILLIS_PER_DAY = MICROS_PER_DAY / 1000
 DAILY_COLUMNS = {
     "sentiment_score": ("composite_sentiment", 0.0),
     "sentiment_positive": ("vader_positive", 0.0),
@@ -37,56 +38,48 @@ def _with_history(news: DataFrame, keys: list[str]) -> DataFrame:
     return c.with_columns({"_last": last.over(c.last_rows(HISTORY))}).own()
 
 
-def _summaries(points: DataFrame, news: DataFrame, keys: list[str], tag: str, windows, chunk_days) -> DataFrame:
-    """Window sums and the last articles at every point (columns prefixed with ``tag``)."""
-    line = RangeTimeline(
-        points, _with_history(news, keys), keys, ["composite_sentiment"], max(windows), chunk_days, ["_last"], ["doc_id"]
-    )
-    width = int(chunk_days * MICROS_PER_DAY)
+def _summaries(points: DataFrame, news: DataFrame, keys: list[str], tag: str, windows, pieces: int | None) -> DataFrame:
+    """Window sums, sums of the first and last day in part, and the last articles at every point (columns prefixed with
+    ``tag``). Sums are whole numbers: scores in parts of 1e-12, times in milliseconds."""
+    articles = _with_history(news, keys).withColumn("_t", us("ts"))
+    line = RangeTimeline(points, articles, keys, ["composite_sentiment", "_t"], ["_last"], ["doc_id"], pieces)
     s = F.col("composite_sentiment")
-    # days since the chunk's start: the same origin for both sources of a bar, and small numbers
-    line.df = line.df.withColumn("_t", F.when(s.isNotNull(), (F.col("_us") - F.col("_chunk") * F.lit(width)) / float(MICROS_PER_DAY)))
-    t = F.col("_t")
+    y, t, one = whole(s), millis(F.col("_t")), F.lit(1)
+    some = s.isNotNull()
+    terms = {
+        "n": F.when(some, one), "pos": F.when(s > 0.1, one), "neg": F.when(s < -0.1, one), "s": y, "ss": y * y,
+        "t": F.when(some, t), "tt": F.when(some, t * t), "st": y * t,
+    }
     cols = {f"{tag}_last": line.previous()["_last"]}
     for d in windows:
-        terms = {
-            "n": F.when(s.isNotNull(), F.lit(1)), "pos": F.when(s > 0.1, F.lit(1)), "neg": F.when(s < -0.1, F.lit(1)),
-            "s": s, "ss": s * s, "t": t, "tt": t * t, "st": s * t,
-        }
         cols |= {f"{tag}_{name}_{d}": line.total(term, d) for name, term in terms.items()}
-        cols |= {f"{tag}_min_{d}": F.min(s).over(line.frame(d)), f"{tag}_max_{d}": F.max(s).over(line.frame(d))}
+        cols |= {f"{tag}_min_{d}": line.lowest("composite_sentiment", d), f"{tag}_max_{d}": line.highest("composite_sentiment", d)}
+    for d in (0, *VOLATILITY_DAYS):
+        cols |= {f"{tag}_ps_{d}": line.day_total(y, d) / F.lit(PARTS), f"{tag}_pn_{d}": line.day_total(terms["n"], d)}
     return line.bars(cols)
 
 
 def _combine(d: int) -> dict[str, Column]:
     """Sums over own and market-wide articles in the d-day window."""
     add = lambda x: (
-        F.coalesce(F.col(f"o_{x}_{d}"), F.lit(0)).cast("double") + F.coalesce(F.col(f"m_{x}_{d}"), F.lit(0)).cast("double")
+        F.coalesce(F.col(f"o_{x}_{d}"), F.lit(0)).cast("decimal(38,0)") + F.coalesce(F.col(f"m_{x}_{d}"), F.lit(0)).cast("decimal(38,0)")
     )
-    return {f"_{x}_{d}": add(x) for x in ("n", "s", "ss", "t", "tt", "st")}
-
-
-def _day_prefix(points: DataFrame, news: DataFrame, keys: list[str], tag: str) -> DataFrame:
-    """Sum and count of the day's articles before each of the times t (closed) and t - d (open)."""
-    offsets = F.explode(F.array(*[F.lit(d) for d in (0, *VOLATILITY_DAYS)]))
-    probes = points.select(*keys, "ts", offsets.alias("_off")).withColumn(
-        "_us", us("ts") - F.col("_off").cast("long") * F.lit(MICROS_PER_DAY)
+    return {f"_n_{d}": add("n").cast("double")} | {f"_{x}_{d}": add(x).cast("decimal(38,0)") for x in ("s", "ss", "t", "tt", "st")}
+
+
+def _deviations(windows: Sequence[int]) -> Column:
+    """Sums of squared deviations of scores (s), of days (t), and of both (st) for each window."""
+    names = ("n", "s", "ss", "t", "tt", "st")
+    sums = F.array(*[F.struct(*[F.col(f"_{x}_{d}").alias(x) for x in names]) for d in windows])
+    # one expression over an array: written out for every window, the generated code is too long to compile
+    return F.transform(
+        sums,
+        lambda w: F.struct(
+            (centred(w["n"], w["s"], w["s"], w["ss"]) / F.lit(PARTS * PARTS)).alias("s"),
+            (centred(w["n"], w["t"], w["t"], w["tt"]) / F.lit(MILLIS_PER_DAY * MILLIS_PER_DAY)).alias("t"),
+            (centred(w["n"], w["s"], w["t"], w["st"]) / F.lit(PARTS * MILLIS_PER_DAY)).alias("st"),
+        ),
     )
-    articles = news.select(*keys, us("ts").alias("_us"), F.col("composite_sentiment").alias("_s"))
-    both = probes.unionByName(articles, allowMissingColumns=True)
-    both = both.withColumn("_day", F.floor(F.col("_us") / F.lit(MICROS_PER_DAY)))
-    order = Window.partitionBy(*keys, "_day").orderBy("_us")
-    closed = order.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    is_open = order.rangeBetween(Window.unboundedPreceding, -1)
-    pick = lambda f: F.when(F.col("_off") == 0, f("_s").over(closed)).otherwise(f("_s").over(is_open))
-    done = both.withColumns({"_ps": zero(pick(F.sum)), "_pn": pick(F.count)}).filter(F.col("_off").isNotNull())
-    aggs = []
-    for d in (0, *VOLATILITY_DAYS):
-        aggs += [
-            F.max(F.when(F.col("_off") == d, F.col("_ps"))).alias(f"{tag}_ps_{d}"),
-            F.max(F.when(F.col("_off") == d, F.col("_pn"))).alias(f"{tag}_pn_{d}"),
-        ]
-    return done.groupBy(*keys, "ts").agg(*aggs)
 
 
 def daily_grid(bars: DataFrame, own: DataFrame, market: DataFrame) -> DataFrame:
@@ -135,7 +128,7 @@ def sentiment_features(
     sentiment: DataFrame,
     windows: Sequence[int] = WINDOWS,
     half_lives: Sequence[int] = HALF_LIVES,
-    chunk_days: float = CHUNK_DAYS,
+    pieces: int | None = None,
     chunk_rows: int | None = None,
 ) -> DataFrame:
     """Bars (unique per symbol and ts) with daily, rolling, decayed and volume features of news.
@@ -160,31 +153,28 @@ def sentiment_features(
             "sentiment_momentum_5d": rolling(c, change, 5),
         }
     ).own()
-    o = _summaries(points, own, ["symbol"], "o", windows, chunk_days)
-    m = _summaries(times, market, [], "m", windows, chunk_days)
+    o = _summaries(points, own, ["symbol"], "o", windows, pieces)
+    m = _summaries(times, market, [], "m", windows, pieces)
     joined = daily.join(o, ["symbol", "ts"], "left").join(m, ["ts"], "left")
-    joined = joined.join(_day_prefix(points, own, ["symbol"], "po"), ["symbol", "ts"], "left")
-    joined = joined.join(_day_prefix(times, market, [], "pm"), ["ts"], "left")
     moments: dict[str, Column] = {}
     for d in windows:
         moments |= _combine(d)
-    out = joined.withColumns(moments)
+    out = joined.withColumns(moments).withColumn("_dev", _deviations(windows))
 
     cols: dict[str, Column] = {}
     for name, (source, default) in DAILY_COLUMNS.items():
         cols[name] = F.coalesce(ratio(f"day_{source}", "day_n"), F.lit(default))
     for d in windows:
         n = F.col(f"_n_{d}")
-        total = {x: F.col(f"_{x}_{d}") for x in ("s", "ss", "t", "tt", "st")}
-        cols[f"sentiment_avg_{d}d"] = F.when(n > 0, ratio(total["s"], n)).otherwise(0.0)
-        cols[f"sentiment_std_{d}d"] = F.when(n == 0, 0.0).otherwise(std_from_sums(n, total["s"], total["ss"]))
+        dev = F.col("_dev")[windows.index(d)]
+        dev_s, dev_t, dev_st = dev["s"], dev["t"], dev["st"]
+        cols[f"sentiment_avg_{d}d"] = F.when(n > 0, ratio(F.col(f"_s_{d}") / F.lit(PARTS), n)).otherwise(0.0)
+        cols[f"sentiment_std_{d}d"] = F.when(n == 0, 0.0).when(n > 1, F.sqrt(dev_s / (n - 1)))
         cols[f"sentiment_min_{d}d"] = zero(F.least(f"o_min_{d}", f"m_min_{d}"))
         cols[f"sentiment_max_{d}d"] = zero(F.greatest(f"o_max_{d}", f"m_max_{d}"))
         # spreads at rounding level (a constant series, or articles within seconds) count as none
-        vs = ratio(total["ss"], n) - ratio(total["s"], n) * ratio(total["s"], n)
-        vt = ratio(total["tt"], n) - ratio(total["t"], n) * ratio(total["t"], n)
-        cov = ratio(total["st"], n) - ratio(total["s"], n) * ratio(total["t"], n)
-        trend = F.when((vs > 1e-12) & (vt > 1e-9), ratio(cov, F.sqrt(vs * vt)))
+        vs, vt = ratio(dev_s, n), ratio(dev_t, n)
+        trend = F.when((vs > 1e-12) & (vt > 1e-9), ratio(dev_st, F.sqrt(dev_s * dev_t)))
         cols[f"sentiment_trend_{d}d"] = zero(F.when(n >= 3, trend))
         cols[f"news_count_{d}d"] = n.cast("long")
         for side, label in (("pos", "positive"), ("neg", "negative")):
@@ -225,10 +215,10 @@ def _decayed_mean(latest: Column, half_life: int) -> Column:
 
 def _volatility(d: int) -> Column:
     """Deviation of the daily means in [t - d, t]: full days from the grid, first and last day in part."""
-    head_n = F.col(f"an_{d}") - F.coalesce(f"po_pn_{d}", F.lit(0)) - F.coalesce(f"pm_pn_{d}", F.lit(0))
-    head_s = F.col(f"as_{d}") - zero(F.col(f"po_ps_{d}")) - zero(F.col(f"pm_ps_{d}"))
-    tail_n = F.coalesce("po_pn_0", F.lit(0)) + F.coalesce("pm_pn_0", F.lit(0))
-    tail_s = zero(F.col("po_ps_0")) + zero(F.col("pm_ps_0"))
+    head_n = F.col(f"an_{d}") - F.coalesce(f"o_pn_{d}", F.lit(0)) - F.coalesce(f"m_pn_{d}", F.lit(0))
+    head_s = F.col(f"as_{d}") - zero(F.col(f"o_ps_{d}")) - zero(F.col(f"m_ps_{d}"))
+    tail_n = F.coalesce("o_pn_0", F.lit(0)) + F.coalesce("m_pn_0", F.lit(0))
+    tail_s = zero(F.col("o_ps_0")) + zero(F.col("m_ps_0"))
     head, tail = ratio(head_s, head_n), ratio(tail_s, tail_n)
     n = F.col(f"fn_{d}") + F.when(head_n > 0, 1).otherwise(0) + F.when(tail_n > 0, 1).otherwise(0)
     s1 = F.col(f"f1_{d}") + zero(head) + zero(tail)

@@ -1,46 +1,53 @@
-"""Range windows and as-of lookups over two time-ordered tables.
+"""Range windows and as-of lookups over two time-ordered tables, whatever key or time holds most of the rows.
 
-Rows of both tables meet in (key, time chunk) groups, so a hot key is spread over as many
-tasks as it has chunks. Events that still matter to a later chunk travel there: events within
-the lookback are repeated into the following chunks, and for as-of lookups the last event
-before a chunk (one row per chunk) is handed in. The probing rows are never repeated.
+Rows of both tables are range-partitioned together by (key, time), so that pieces have about the same number of rows: a
+hot key or a hot day falls into many pieces. What a piece needs of the pieces before or after it are a few carried
+rows: running sums, the last event before it, the first event after it.
+
+Window sums over [t - d, t] are a sweep: an event adds its value at its own time u and takes it off again after u + d, so
+a window sum is one running sum over growing frames, and a bar costs the same for a day as for a month. Extremes divide
+time into blocks as long as the window, which then spans two of them at most: the running extreme of the bar's block, and
+the extreme from t - d to the end of the block before, which the first event that leaves after t knows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from marketframe.functions.numeric import MICROS_PER_DAY, us
+from marketframe.operators.lineage import cut
 
-CHUNK_DAYS = 7
+#: Before and after all times.
+_FIRST, _LAST = -(1 << 62), 1 << 62
 
 
-def _edge_rows(probe: DataFrame, events: DataFrame, keys: list[str], back: bool) -> DataFrame:
-    """For every chunk, the nearest event (struct ``_e``) of an earlier or, if not ``back``, a later chunk."""
-    pick = F.max if back else F.min
-    edges = (
-        events.groupBy(*keys, "_chunk")
-        .agg(pick("_e").alias("_e"))
-        .unionByName(probe.select(*keys, "_chunk").distinct(), allowMissingColumns=True)
-        .groupBy(*keys, "_chunk")
-        .agg(pick("_e").alias("_e"))
-    )
-    step = Window.partitionBy(*keys).orderBy(F.col("_chunk") if back else F.col("_chunk").desc())
-    return (
-        edges.withColumn("_e", pick("_e").over(step.rowsBetween(Window.unboundedPreceding, -1)))
-        .filter(F.col("_e").isNotNull())
-        .withColumn("_us", F.col("_e.us"))
-    )
+def by_rows(df: DataFrame, keys: Sequence[str], pieces: int | None = None) -> DataFrame:
+    """``df`` (with a time ``_us``) with ``_piece``: consecutive ranges of (keys, _us) of about equal numbers of rows.
+
+    Rows of one key and instant share a piece. The session's shuffle partitions set the number of pieces unless given;
+    the table is stored, because a range belongs to the sample it was drawn from.
+    """
+    order = [*keys, "_us"]
+    ranged = df.repartitionByRange(pieces, *order) if pieces else df.repartitionByRange(*order)
+    return cut(ranged.withColumn("_piece", F.spark_partition_id()))
+
+
+def _over_pieces(keys: Sequence[str]) -> tuple[WindowSpec, WindowSpec]:
+    """All pieces of the key before, and all after; there is one row per piece."""
+    order = Window.partitionBy(*keys).orderBy("_piece")
+    return order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
 
 
 class RangeTimeline:
-    """Bars and events in one ordered table; ``payload`` columns are NULL on bar rows.
+    """Bars and events in one order. Ask for window sums (:meth:`total`), extremes (:meth:`lowest`, :meth:`highest`) and
+    neighbours (:meth:`previous`, :meth:`next`) first, then evaluate them with :meth:`bars`.
 
-    ``values`` (with ``tie`` as order among equal times) are kept for as-of lookups with
-    :meth:`previous` and :meth:`next`.
+    ``payload`` are event columns that sums and extremes may use; ``values`` (with ``tie`` as order among equal times)
+    come with the neighbours. Windows are closed; events at the bar's own time count.
     """
 
     def __init__(
@@ -49,64 +56,153 @@ class RangeTimeline:
         events: DataFrame,
         keys: Sequence[str],
         payload: Sequence[str],
-        lookback_days: float,
-        chunk_days: float = CHUNK_DAYS,
         values: Sequence[str] = (),
         tie: Sequence[str] = (),
-        forward: bool = False,
+        pieces: int | None = None,
     ):
-        self.keys = list(keys)
-        width = int(chunk_days * MICROS_PER_DAY)
-        reach = int(lookback_days * MICROS_PER_DAY)
-        chunk = F.floor(F.col("_us") / F.lit(width))
-        self._bar_columns = list(bars.columns)
-        left = bars.withColumn("_us", us("ts")).withColumns({"_bar": F.lit(True), "_chunk": chunk})
+        self.keys, self.payload, self.pieces = list(keys), list(payload), pieces
+        self._bars = bars
         timed = events.withColumn("_us", us("ts")).filter(F.col("_us").isNotNull())
-        right = timed.select(
-            *self.keys, "_us", *payload,
-            F.explode(F.sequence(chunk, F.floor((F.col("_us") + F.lit(reach)) / F.lit(width)))).alias("_chunk"),
-        )
-        self.df = left.unionByName(right.withColumn("_bar", F.lit(False)), allowMissingColumns=True)
-        if values:
-            packed = F.struct(F.col("_us").alias("us"), *[F.col(c) for c in [*tie, *values]])
-            own = timed.select(*self.keys, "_us", chunk.alias("_chunk"), packed.alias("_e"))
-            for rows in [own, _edge_rows(left, own, self.keys, True)] + (
-                [_edge_rows(left, own, self.keys, False)] if forward else []
-            ):
-                self.df = self.df.unionByName(rows.withColumn("_bar", F.lit(False)), allowMissingColumns=True)
-
-    def _order(self, descending: bool = False) -> WindowSpec:
-        key = F.col("_us").desc() if descending else F.col("_us")
-        return Window.partitionBy(*self.keys, "_chunk").orderBy(key)
-
-    def frame(self, days: float) -> WindowSpec:
-        """Closed window [t - days, t] of the current row, peers included."""
-        return self._order().rangeBetween(-int(days * MICROS_PER_DAY), Window.currentRow)
+        near = [F.struct(F.col("_us").alias("us"), *[F.col(c) for c in [*tie, *values]]).alias("_e")] if values else []
+        self._events = timed.select(*self.keys, "_us", *payload, *near)
+        self._near = bool(values)
+        self._sums: dict[tuple[str, int, int], tuple[str, Column]] = {}
+        self._extremes: dict[int, list[str]] = {}
 
-    def total(self, value: Column, days: float) -> Column:
-        """Sum of ``value`` in [t - days, t] as the difference of two running sums.
+    def _upto(self) -> WindowSpec:
+        return Window.partitionBy(*self.keys, "_piece").orderBy("_us").rangeBetween(Window.unboundedPreceding, Window.currentRow)
 
-        Both frames start at the head of the chunk and only grow, so every row costs constant
-        work however many events the window holds. Use it for counts and for sums of values of
-        similar size; moments that must be exactly zero for constants need :meth:`frame`.
-        """
-        start = Window.unboundedPreceding
-        upto = F.sum(value).over(self._order().rangeBetween(start, Window.currentRow))
-        before = F.sum(value).over(self._order().rangeBetween(start, -int(days * MICROS_PER_DAY) - 1))
-        return F.coalesce(upto, F.lit(0)) - F.coalesce(before, F.lit(0))
+    def _later(self) -> WindowSpec:
+        return Window.partitionBy(*self.keys, "_piece").orderBy(F.col("_us").desc()).rangeBetween(Window.unboundedPreceding, -1)
+
+    def total(self, value: Column, days: float) -> Column:
+        """Sum of ``value`` in [t - days, t], 0 without any. Exact for whole and decimal numbers."""
+        width = int(days * MICROS_PER_DAY)
+        return self._sum(value, 0, width)
+
+    def day_total(self, value: Column, days: int = 0) -> Column:
+        """Sum of ``value`` over the events of one calendar day: that of t up to t, or with ``days`` that of t - days before
+        t - days. Here an event is taken off at the midnight after it."""
+        width = int(days * MICROS_PER_DAY)
+        return self._sum(value, width, -width - 1)
+
+    def _sum(self, value: Column, enter: int, leave: int) -> Column:
+        known = str(value._jc.toString()), enter, leave
+        if known not in self._sums:
+            moved = F.when(F.col("_off") == enter, value).when(F.col("_off") == leave, -value)
+            self._sums[known] = f"_c{len(self._sums)}", moved
+        name, moved = self._sums[known]
+        return F.coalesce(F.sum(F.coalesce(F.col(name), moved)).over(self._upto()), F.lit(0))
+
+    def _extreme(self, column: str, days: float, side: str) -> Column:
+        width = int(days * MICROS_PER_DAY)
+        wanted = self._extremes.setdefault(width, [])
+        if column not in wanted:
+            wanted.append(column)
+        block = F.floor(F.col("_us") / F.lit(width))
+        tail, head = F.col("_tail"), F.col(f"_head{width}")
+        own = F.when(tail[f"b{width}"] == block, tail[f"{side}_{column}_{width}"])
+        before = F.when(head["b"] == block - 1, head[f"{side}_{column}"])
+        return (F.least if side == "lo" else F.greatest)(own, before)
+
+    def lowest(self, column: str, days: float) -> Column:
+        """Smallest value of a payload column in [t - days, t], NULL without any."""
+        return self._extreme(column, days, "lo")
+
+    def highest(self, column: str, days: float) -> Column:
+        return self._extreme(column, days, "hi")
 
     def previous(self) -> Column:
         """Struct of the last event at or before the row's time."""
-        return F.max("_e").over(self._order().rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        return F.col("_before")
 
     def next(self) -> Column:
         """Struct of the first event strictly after the row's time."""
-        return F.min("_e").over(self._order(True).rangeBetween(Window.unboundedPreceding, -1))
+        return F.col("_after")
+
+    def _with_extremes(self, events: DataFrame) -> DataFrame:
+        """Events with the extremes of their block up to them (struct _p of all windows) and from them on (one struct
+        _s... for each window)."""
+        blocks = {w: F.floor(F.col("_us") / F.lit(w)) for w in self._extremes}
+        rows = by_rows(events, self.keys, self.pieces).withColumns({f"_b{w}": b for w, b in blocks.items()})
+        # the last block of a piece with its extremes there, and the first: what neighbouring pieces have to know
+        ends = {}
+        for w, columns in self._extremes.items():
+            for c in columns:
+                for side, value in (("hi", F.col(c)), ("lo", -F.col(c))):
+                    present = F.when(F.col(c).isNotNull(), F.struct(F.col(f"_b{w}").alias("b"), value.alias("v")))
+                    absent = F.when(F.col(c).isNotNull(), F.struct(F.col(f"_b{w}").alias("b"), (-value).alias("v")))
+                    ends[f"_p_{side}_{c}_{w}"] = F.max(present), F.max, 0
+                    ends[f"_s_{side}_{c}_{w}"] = F.min(absent), F.min, 1
+        sides = _over_pieces(self.keys)
+        carried = rows.groupBy(*self.keys, "_piece").agg(*[agg.alias(n) for n, (agg, _, _) in ends.items()])
+        carried = carried.withColumns({n: pick(n).over(sides[which]) for n, (_, pick, which) in ends.items()})
+        names = {k: f"_k{i}" for i, k in enumerate([*self.keys, "_piece"])}
+        carried = carried.withColumnsRenamed(names)
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()])
+        rows = rows.join(carried, same, "left").drop(*names.values())
+        out = {}
+        prefix, suffix = [F.col("_us").alias("us")], {}
+        for w, columns in self._extremes.items():
+            segment = Window.partitionBy(*self.keys, "_piece", f"_b{w}")
+            growing = segment.orderBy("_us").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+            falling = segment.orderBy(F.col("_us").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+            prefix.append(F.col(f"_b{w}").alias(f"b{w}"))
+            suffix[w] = [(F.col("_us") + w + 1).alias("us"), F.col(f"_b{w}").alias("b")]
+            for c in columns:
+                for side, pick, most in (("hi", F.max, F.greatest), ("lo", F.min, F.least)):
+                    sign = 1 if side == "hi" else -1
+                    for tag, frame, flip in (("_p", growing, sign), ("_s", falling, -sign)):
+                        carry = F.col(f"{tag}_{side}_{c}_{w}")
+                        known = F.when(carry["b"] == F.col(f"_b{w}"), carry["v"] * flip)
+                        out[f"{tag}{side}_{c}_{w}"] = most(pick(c).over(frame), known)
+                    prefix.append(F.col(f"_p{side}_{c}_{w}").alias(f"{side}_{c}_{w}"))
+                    suffix[w].append(F.col(f"_s{side}_{c}_{w}").alias(f"{side}_{c}"))
+        rows = rows.withColumns(out)
+        return rows.select(*events.columns, F.struct(*prefix).alias("_p"), *[F.struct(*s).alias(f"_s{w}") for w, s in suffix.items()])
 
     def bars(self, columns: dict[str, Column]) -> DataFrame:
-        """Bar rows with the window expressions evaluated."""
-        out = self.df.withColumns(columns).filter("_bar")
-        return out.select(*self._bar_columns, *[F.col(f"`{c}`") for c in columns])
+        """Bar rows with the asked-for expressions evaluated."""
+        events = self._with_extremes(self._events) if self._extremes else self._events
+        # a row for each time at which an event counts: its own, those at which it leaves a window, and midnights
+        offsets = {0} | {w for known in self._sums for w in known[1:]} | set(self._extremes)
+        events = events.select("*", F.explode(F.array(*[F.lit(w).cast("long") for w in sorted(offsets)])).alias("_off"))
+        enters = F.col("_off") == 0
+        keep = [F.when(enters, F.col(c)).alias(c) for c in (["_e"] if self._near else []) + (["_p"] if self._extremes else [])]
+        keep += [F.when(F.col("_off") == w, F.col(f"_s{w}")).alias(f"_s{w}") for w in self._extremes]
+        midnight = (F.floor(F.col("_us") / F.lit(MICROS_PER_DAY)) + 1) * MICROS_PER_DAY
+        at = F.when(enters, F.col("_us")).when(F.col("_off") > 0, F.col("_us") + F.col("_off") + 1).otherwise(midnight - F.col("_off") - 1)
+        events = events.select(*self.keys, at.alias("_us"), "_off", *self.payload, *keep)
+        bars = self._bars.withColumn("_us", us("ts")).withColumn("_bar", F.lit(True))
+        rows = by_rows(bars.unionByName(events.withColumn("_bar", F.lit(False)), allowMissingColumns=True), self.keys, self.pieces)
+
+        sums = list(self._sums.values())
+        aggs = [F.sum(moved).alias(name) for name, moved in sums]
+        aggs += [F.max("_e").alias("_e"), F.min("_e").alias("_f")] if self._near else []
+        aggs += [F.max("_p").alias("_p")] if self._extremes else []
+        aggs += [F.min(f"_s{w}").alias(f"_s{w}") for w in self._extremes]
+        aggs = aggs or [F.lit(0).alias("_none")]
+        before, after = _over_pieces(self.keys)
+        edge = rows.groupBy(*self.keys, "_piece").agg(*aggs)
+        start = [F.sum(name).over(before).alias(name) for name, _ in sums]
+        start += [F.max("_e").over(before).alias("_e")] if self._near else []
+        start += [F.max("_p").over(before).alias("_p")] if self._extremes else []
+        end = [F.min("_f").over(after).alias("_e")] if self._near else []
+        end += [F.min(f"_s{w}").over(after).alias(f"_s{w}") for w in self._extremes]
+        for time, carried in ((_FIRST, start), (_LAST, end)):
+            if carried:
+                carried = edge.select(*self.keys, "_piece", F.lit(time).cast("long").alias("_us"), F.lit(False).alias("_bar"), *carried)
+                rows = rows.unionByName(carried, allowMissingColumns=True)
+        found = {}
+        if self._near:
+            found |= {"_before": F.max("_e").over(self._upto()), "_after": F.min("_e").over(self._later())}
+        if self._extremes:
+            found["_tail"] = F.max("_p").over(self._upto())
+            found |= {f"_head{w}": F.min(f"_s{w}").over(self._later()) for w in self._extremes}
+        # sums and neighbours first: what is asked for may combine them
+        asked = {f"_x{i}": column for i, column in enumerate(columns.values())}
+        out = (rows.withColumns(found) if found else rows).withColumns(asked).filter("_bar")
+        return out.select(*self._bars.columns, *[F.col(x).alias(name) for x, name in zip(asked, columns)])
 
 
 def asof_join(
@@ -119,7 +215,7 @@ def asof_join(
     offset_days: float = 0.0,
     offset_us: int = 0,
     direction: str = "backward",
-    chunk_days: float = CHUNK_DAYS,
+    pieces: int | None = None,
 ) -> DataFrame:
     """Left rows plus struct ``name`` (us, tie..., values...) of the matching right row, or NULL.
 
@@ -127,23 +223,18 @@ def asof_join(
     after ``ts + offset``. Rows with equal times are decided by ``tie`` (the highest wins).
     """
     keys = list(keys)
-    width = int(chunk_days * MICROS_PER_DAY)
     shift = int(offset_days * MICROS_PER_DAY) + offset_us
     back = direction == "backward"
     pick = F.max if back else F.min
-    chunk = F.floor(F.col("_us") / F.lit(width))
     packed = F.struct(F.col("_us").alias("us"), *[F.col(c) for c in [*tie, *values]])
-    left_cols = left.columns
-    probe = left.withColumn("_us", us("ts") + F.lit(-shift if back else shift)).withColumn("_chunk", chunk)
-    events = (
-        right.withColumn("_us", us("ts"))
-        .select(*keys, "_us", chunk.alias("_chunk"), packed.alias("_e"))
-        .filter(F.col("_us").isNotNull())
-    )
-    carry = _edge_rows(probe, events, keys, back)
-    both = probe.withColumn("_probe", F.lit(True)).unionByName(
-        events.unionByName(carry.select(events.columns)).withColumn("_probe", F.lit(False)), allowMissingColumns=True
-    )
-    order = Window.partitionBy(*keys, "_chunk").orderBy(F.col("_us") if back else F.col("_us").desc())
+    probe = left.withColumn("_us", us("ts") + F.lit(-shift if back else shift)).withColumn("_probe", F.lit(True))
+    events = right.withColumn("_us", us("ts")).filter(F.col("_us").isNotNull()).select(*keys, "_us", packed.alias("_e"))
+    rows = by_rows(probe.unionByName(events.withColumn("_probe", F.lit(False)), allowMissingColumns=True), keys, pieces)
+    before, after = _over_pieces(keys)
+    edge = rows.groupBy(*keys, "_piece").agg(pick("_e").alias("_e"))
+    time = F.lit(_FIRST if back else _LAST).cast("long")
+    carried = edge.select(*keys, "_piece", time.alias("_us"), F.lit(False).alias("_probe"), pick("_e").over(before if back else after).alias("_e"))
+    rows = rows.unionByName(carried, allowMissingColumns=True)
+    order = Window.partitionBy(*keys, "_piece").orderBy(F.col("_us") if back else F.col("_us").desc())
     frame = order.rangeBetween(Window.unboundedPreceding, Window.currentRow if back else -1)
-    return both.withColumn(name, pick("_e").over(frame)).filter("_probe").select(*left_cols, name)
+    return rows.withColumn(name, pick("_e").over(frame)).filter("_probe").select(*left.columns, name)

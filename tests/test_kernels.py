@@ -145,7 +145,7 @@ def test_asof_lookups_cross_chunks(spark, table, series):
     left = series.sort_values("ts")[["symbol", "ts"]].astype({"ts": "datetime64[us]"})
     right = right.sort_values("ts").astype({"ts": "datetime64[us]"})
     for direction, kwargs in (("backward", {}), ("forward", {"allow_exact_matches": False})):
-        out = asof_join(table.select("symbol", "ts"), events, ["symbol"], ["v"], "e", direction=direction, chunk_days=1)
+        out = asof_join(table.select("symbol", "ts"), events, ["symbol"], ["v"], "e", direction=direction, pieces=7)
         got = by_key(out.withColumn("v", F.col("e.v")), ["v"])
         want = pd.merge_asof(left, right, on="ts", by="symbol", direction=direction, **kwargs).sort_values(["symbol", "ts"])
         np.testing.assert_array_equal(got["v"].astype(float).to_numpy(), want["v"].to_numpy())
@@ -155,8 +155,8 @@ def test_range_totals_equal_brute_force(spark, table, series):
     rng = np.random.default_rng(6)
     ev = pd.DataFrame({"symbol": "cold", "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(rng.integers(0, 30 * 86400, 200), unit="s"), "v": rng.random(200)})
     events = spark.createDataFrame(ev).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    line = RangeTimeline(table.filter("symbol = 'cold'").select("symbol", "ts"), events, ["symbol"], ["v"], 5, chunk_days=2)
-    got = by_key(line.bars({"s": line.total(F.col("v"), 5), "m": F.max("v").over(line.frame(5))}), ["s", "m"])
+    line = RangeTimeline(table.filter("symbol = 'cold'").select("symbol", "ts"), events, ["symbol"], ["v"], pieces=7)
+    got = by_key(line.bars({"s": line.total(F.col("v"), 5), "m": line.highest("v", 5)}), ["s", "m"])
     for row in got.itertuples():
         inside = ev[(ev.ts >= row.ts - pd.Timedelta(days=5)) & (ev.ts <= row.ts)]
         assert row.s == pytest.approx(inside.v.sum(), abs=1e-9)

@@ -20,8 +20,8 @@ from marketframe.sources import derived, feeds, sinks
 
 def test_event_features_do_not_depend_on_chunks(spark):
     bars, events = derived.bars(spark, SMALL), derived.detections(spark, SMALL)
-    a = rounded(E.event_features(bars, events, chunk_days=1))
-    b = rounded(E.event_features(bars, events, chunk_days=40))
+    a = rounded(E.event_features(bars, events, pieces=9))
+    b = rounded(E.event_features(bars, events, pieces=1))
     assert a.exceptAll(b).count() == 0
 
 
@@ -29,8 +29,8 @@ def test_sentiment_features_do_not_depend_on_chunks(spark):
     bars = derived.bars(spark, SMALL).filter("ts < '2024-01-06'")
     news = X.score_sentiment(derived.news(spark, SMALL))
     keep = ["symbol", "ts", "sentiment_avg_3d", "sentiment_std_7d", "news_count_7d", "sentiment_decay_3d", "sentiment_volatility_7d"]
-    a = rounded(N.sentiment_features(bars, news, windows=(3, 7), chunk_days=1).select(*keep))
-    b = rounded(N.sentiment_features(bars, news, windows=(3, 7), chunk_days=40).select(*keep))
+    a = rounded(N.sentiment_features(bars, news, windows=(3, 7), pieces=9).select(*keep))
+    b = rounded(N.sentiment_features(bars, news, windows=(3, 7), pieces=1).select(*keep))
     assert a.exceptAll(b).count() == 0
 
 
