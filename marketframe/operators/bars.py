@@ -44,10 +44,11 @@ def resample(bars: DataFrame, timeframe: str) -> DataFrame:
         bars.withColumn("_period", period.cast("timestamp_ntz"))
         .groupBy("symbol", F.col("_period").alias("_p"))
         .agg(
-            F.min_by("open", "ts").alias("open"),
+            # equal times are decided by the price itself
+            F.min_by("open", F.struct("ts", "open")).alias("open"),
             F.max("high").alias("high"),
             F.min("low").alias("low"),
-            F.max_by("close", "ts").alias("close"),
+            F.max_by("close", F.struct("ts", "close")).alias("close"),
             F.sum("volume").alias("volume"),
         )
         .withColumnRenamed("_p", "ts")
@@ -55,18 +56,21 @@ def resample(bars: DataFrame, timeframe: str) -> DataFrame:
     )
 
 
-def bars_from_ticks(ticks: DataFrame, timeframe: str = "1h", symbol: str = "symbol", price: str = "price") -> DataFrame:
-    """OHLC bars of single observations; volume is the number of observations."""
+def bars_from_ticks(
+    ticks: DataFrame, timeframe: str = "1h", symbol: str = "symbol", price: str = "price", tie: Sequence[str] = ()
+) -> DataFrame:
+    """OHLC bars of single observations; volume is the number of observations. Equal times are decided by ``tie``, then
+    by the price."""
     step = TIMEFRAMES[timeframe]
     period = F.date_trunc(step, "ts") if step in ("week", "month") else F.window("ts", step)["start"]
     return (
         ticks.withColumn("_period", period.cast("timestamp_ntz"))
         .groupBy(F.col(symbol).alias("symbol"), F.col("_period").alias("_p"))
         .agg(
-            F.min_by(price, "ts").alias("open"),
+            F.min_by(price, F.struct("ts", *tie, price)).alias("open"),
             F.max(price).alias("high"),
             F.min(price).alias("low"),
-            F.max_by(price, "ts").alias("close"),
+            F.max_by(price, F.struct("ts", *tie, price)).alias("close"),
             F.count(F.lit(1)).cast("double").alias("volume"),
         )
         .withColumnRenamed("_p", "ts")

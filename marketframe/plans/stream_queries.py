@@ -118,7 +118,7 @@ _add(
     "st6_stream_events_near_bars",
     q_near,
     """select b.event_type as symbol, count(*) as n, sum(e.event_id)::bigint as ids from events b join events e on b.event_type = e.event_type
-    and e.ts > b.ts - interval 1 hour and e.ts < b.ts + interval 1 hour where b.event_id % 7 = 0 group by 1""",
+    and e.ts > b.ts - interval 1 hour and e.ts < b.ts + interval 1 hour group by 1""",
 )
 _add(
     "st9_stream_error_streaks",

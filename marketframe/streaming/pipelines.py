@@ -62,8 +62,8 @@ def bars(ticks: DataFrame, timeframe: str = "1h", late: str = LATE) -> DataFrame
     return (
         timed.groupBy(F.window("ts", TIMEFRAMES[timeframe]).alias("_w"), "symbol")
         .agg(
-            F.min_by("price", "ts").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
-            F.max_by("price", "ts").alias("close"), F.count(F.lit(1)).cast("double").alias("volume"),
+            F.min_by("price", F.struct("ts", "price")).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
+            F.max_by("price", F.struct("ts", "price")).alias("close"), F.count(F.lit(1)).cast("double").alias("volume"),
         )
         .select("symbol", F.col("_w.start").alias("ts"), "open", "high", "low", "close", "volume")
     )
@@ -100,11 +100,16 @@ def rates_per_minute(log: DataFrame, late: str = LATE) -> DataFrame:
 
 
 def events_near_bars(bars: DataFrame, events: DataFrame, late: str = LATE) -> DataFrame:
-    """Stream-stream interval join: events within one hour of a bar of their symbol."""
-    left = _with_event_time(bars, late).alias("b")
-    right = _with_event_time(events, late).alias("e")
+    """Stream-stream interval join: events within one hour of a bar of their symbol.
+
+    Both sides meet by symbol and hour (a bar goes to its own hour and the ones beside it), so a symbol's state is spread
+    over tasks and a row is compared with an hour's rows only.
+    """
+    hour = F.floor(F.unix_seconds("ts") / 3600)
+    left = _with_event_time(bars, late).withColumn("_hour", F.explode(F.array(hour - 1, hour, hour + 1))).alias("b")
+    right = _with_event_time(events, late).withColumn("_hour", hour).alias("e")
     near = F.expr(
-        "b.symbol = e.symbol and e.ts > b.ts - interval 1 hour and e.ts < b.ts + interval 1 hour"
+        "b.symbol = e.symbol and b._hour = e._hour and e.ts > b.ts - interval 1 hour and e.ts < b.ts + interval 1 hour"
     )
     keep = [c for c in events.columns if c not in ("symbol", "ts")]
     return left.join(right, near).select(

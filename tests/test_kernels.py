@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from marketframe.operators import bars as B
 from marketframe.operators.ordered import BLOCK, ewm, rolling, row_chunks, running_last, running_max, running_sums, wilder
 from marketframe.operators.ranking import exact_quantiles, ordered_bits, top_k
-from marketframe.operators.timeline import RangeTimeline, asof_join
+from marketframe.functions.numeric import whole
+from marketframe.operators.timeline import RangeTimeline, asof_join, by_rows
 
 
 @pytest.fixture(scope="module")
@@ -171,3 +172,66 @@ def test_bar_features_do_not_look_ahead_and_ignore_other_symbols(table):
     alone = B.bar_features(bars.filter("symbol = 'cold'"), families, regime=False, calendar=False)
     assert cut.exceptAll(full).count() == 0
     assert alone.exceptAll(full).count() == 0
+
+
+@pytest.fixture(scope="module")
+def hot(spark):
+    """Bars and events of three keys; 95 % of both on one key and one day, many at equal times."""
+    rng = np.random.default_rng(11)
+
+    def rows(n, name):
+        key = np.where(rng.random(n) < 0.95, "hot", rng.choice(["a", "b"], n))
+        day = np.where((key == "hot") & (rng.random(n) < 0.98), 20, rng.integers(0, 40, n))
+        second = rng.integers(0, 86_400, n) // 7 * 7
+        ts = pd.Timestamp("2024-01-01") + pd.to_timedelta(day * 86_400 + second, unit="s")
+        return pd.DataFrame({"symbol": key, "ts": ts.astype("datetime64[us]"), "id": np.arange(n), name: np.round(rng.normal(size=n), 3)})
+
+    bars, events = rows(3000, "close"), rows(4000, "v")
+    make = lambda df: spark.createDataFrame(df).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return bars, events, make(bars), make(events)
+
+
+def test_a_hot_key_and_day_fall_into_many_pieces(hot):
+    bars, events, b, e = hot
+    both = b.select("symbol", "ts").unionByName(e.select("symbol", "ts")).withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
+    sizes = [r[0] for r in by_rows(both, ["symbol"], 25).groupBy("symbol", "_piece").count().select("count").collect()]
+    assert len(sizes) >= 25 and max(sizes) <= 2.5 * sum(sizes) / 25
+
+
+@pytest.mark.parametrize("pieces", [1, 25])
+def test_windows_of_a_hot_key_equal_brute_force(hot, pieces):
+    bars, events, b, e = hot
+    days = (1, 3, 30)
+    line = RangeTimeline(b, e, ["symbol"], ["v"], ["v"], ["id"], pieces)
+    cols = {"prev": line.previous()["id"], "next": line.next()["us"]}
+    for d in days:
+        cols |= {f"n{d}": line.total(F.when(F.col("v").isNotNull(), 1), d), f"s{d}": line.total(whole(F.col("v")), d), f"lo{d}": line.lowest("v", d), f"hi{d}": line.highest("v", d)}
+    cols |= {"today": line.day_total(whole(F.col("v"))), "then": line.day_total(whole(F.col("v")), 3)}
+    got = {r.id: r for r in line.bars(cols).collect()}
+    assert len(got) == len(bars)
+    day = np.timedelta64(1, "D")
+    for symbol, part in bars.groupby("symbol"):
+        own = events[events.symbol == symbol].sort_values(["ts", "id"])
+        at, v, ids = own.ts.to_numpy(), own.v.to_numpy(), own.id.to_numpy()
+        for t, i in zip(part.ts.to_numpy(), part.id):
+            r, end = got[i], np.searchsorted(at, t, "right")
+            assert r.prev == (ids[end - 1] if end else None)
+            assert r.next == (at[end].astype("datetime64[us]").astype(int) if end < len(at) else None)
+            for d in days:
+                inside = v[np.searchsorted(at, t - d * day, "left") : end]
+                assert r[f"n{d}"] == len(inside) and float(r[f"s{d}"]) == pytest.approx(inside.sum() * 1e12, abs=1)
+                assert (r[f"lo{d}"], r[f"hi{d}"]) == ((inside.min(), inside.max()) if len(inside) else (None, None))
+            midnight = t.astype("datetime64[D]").astype(at.dtype)
+            assert float(r.today) == pytest.approx(v[np.searchsorted(at, midnight, "left") : end].sum() * 1e12, abs=1)
+            assert float(r.then) == pytest.approx(v[np.searchsorted(at, midnight - 3 * day, "left") : np.searchsorted(at, t - 3 * day, "left")].sum() * 1e12, abs=1)
+
+
+def test_asof_join_of_a_hot_key(hot):
+    bars, events, b, e = hot
+    for pieces in (1, 25):
+        out = asof_join(b, e.withColumnRenamed("id", "eid"), ["symbol"], ["v"], "e", tie=["eid"], pieces=pieces)
+        got = {r.id: r.e.eid if r.e else None for r in out.collect()}
+        for symbol, part in bars.groupby("symbol"):
+            own = events[events.symbol == symbol].sort_values(["ts", "id"])
+            place = np.searchsorted(own.ts.to_numpy(), part.ts.to_numpy(), "right")
+            assert [got[i] for i in part.id] == [int(own.id.iloc[p - 1]) if p else None for p in place]
