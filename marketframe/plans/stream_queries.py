@@ -106,6 +106,26 @@ def q_refresh(spark, folder):
     return sinks.read_features(spark, f"{base}/features").select("symbol", "ts", "range")
 
 
+def q_order_updates(spark, folder):
+    """Every line of an order is an update with the quantity filled so far."""
+    items = _stream(spark, folder, "lineitem")
+    updates = items.select(
+        F.col("l_orderkey").alias("order_id"), F.col("l_shipdate").alias("ts"),
+        (F.col("l_linenumber") * 100000000 + F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("seq"),
+        F.lit("partially_filled").alias("status"), F.col("l_quantity").alias("filled_qty"), F.col("l_extendedprice").alias("filled_avg_price"),
+    )
+    fills = _finished(T.order_fills(updates, idle_minutes=100 * 365 * 24 * 60))
+    return fills.select("order_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "seq", "fill_quantity", "fill_price", "latency_ms")
+
+
+_add(
+    "st10_stream_order_fills",
+    q_order_updates,
+    """select order_id, ts, seq, filled_qty - best as fill_quantity, price as fill_price, date_diff('millisecond', first, ts) as latency_ms from (
+    select l_orderkey as order_id, l_shipdate::timestamp as ts, l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey as seq, l_quantity as filled_qty, l_extendedprice as price,
+    coalesce(max(l_quantity) over (partition by l_orderkey order by l_shipdate, l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey rows between unbounded preceding and 1 preceding), 0) as best,
+    min(l_shipdate::timestamp) over (partition by l_orderkey) as first from lineitem) where filled_qty > best""",
+)
 _add("st3_s15_refreshed_features", lambda s, f: rounded(q_refresh(s, f)), rsql(with_sql([BARS], "select symbol, ts, high - low as range from bars"), ["symbol", "ts"], ["range"]))
 _add("st2_stream_news_events", q_news_events, with_sql(STORE_CTES, "select event_id, doc_id, event_type, ticker from store"))
 _add(

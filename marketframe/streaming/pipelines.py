@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from marketframe.functions.numeric import lit_map
 from marketframe.operators.bars import TIMEFRAMES
@@ -125,36 +125,65 @@ def error_streaks(errors: DataFrame, gap: str = "5 minutes", late: str = LATE) -
                       (F.col("streak") >= 5).alias("circuit_breaker"))
 
 
+class _Fills(StatefulProcessor):
+    """Best filled quantity and first time of one order; a timer drops both when the order has been idle."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "best double, first long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        updates = pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable")
+        best, first = self.seen.get() if self.seen.exists() else (0.0, None)
+        times = updates["ts"].astype("datetime64[us]").astype("int64") // 1000
+        first = int(times.iloc[0]) if first is None else min(first, int(times.iloc[0]))
+        quantity = updates["filled_qty"].fillna(0.0)
+        before = quantity.cummax().shift(1, fill_value=best).clip(lower=best)
+        more = quantity > before
+        self.seen.update((max(best, float(quantity.max())), first))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max(int(times.max()), timerValues.getCurrentWatermarkInMs()) + self.idle_ms)
+        if more.any():
+            new = updates[more]
+            yield pd.DataFrame(
+                {
+                    "order_id": key[0], "ts": new["ts"], "seq": new["seq"], "status": new["status"],
+                    "fill_quantity": (quantity - before)[more], "fill_price": new["filled_avg_price"], "latency_ms": times[more] - first,
+                }
+            )
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.seen.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def order_fills(updates: DataFrame, late: str = LATE, idle_minutes: int = 24 * 60) -> DataFrame:
-    """New fills out of cumulative broker updates (order_id, ts, status, filled_qty, filled_avg_price).
+    """New fills out of cumulative broker updates (order_id, ts, status, filled_qty, filled_avg_price, and seq as order
+    among equal times): the increase over the order's best so far, and the milliseconds since its first update.
 
-    The state of an order is its filled quantity so far; it is dropped when no update came for
-    ``idle_minutes`` of event time.
+    The state of an order is two numbers, kept in RocksDB (sets the session's state store); a timer in event time drops
+    them when no update came for ``idle_minutes``. An update of a dropped order starts anew. Missing quantities are 0.
     """
-    timed = _with_event_time(updates.withColumn("status", map_status(F.col("status"))), late)
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        best = state.get[0] if state.exists else 0.0
-        rows, newest = [], 0
-        for pdf in batches:
-            for ts, status, qty, price in zip(pdf["ts"], pdf["status"], pdf["filled_qty"], pdf["filled_avg_price"]):
-                rows.append((ts, status, qty, price))
-        fills = []
-        for ts, status, qty, price in sorted(rows, key=lambda r: (r[0], r[2])):
-            newest = max(newest, int(ts.timestamp() * 1000))
-            if qty > best:
-                fills.append((key[0], ts, status, qty - best, price))
-                best = qty
-        state.update((best,))
-        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + idle_minutes * 60_000)
-        yield pd.DataFrame(fills, columns=["order_id", "ts", "status", "fill_quantity", "fill_price"])
-
-    return timed.groupBy("order_id").applyInPandasWithState(
-        step, "order_id long, ts timestamp, status string, fill_quantity double, fill_price double", "best double",
-        "append", GroupStateTimeout.EventTimeTimeout,
+    updates.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    seq = F.col("seq").cast("long") if "seq" in updates.columns else F.lit(0).cast("long")
+    timed = _with_event_time(updates.withColumns({"status": map_status(F.col("status")), "seq": seq}), late)
+    timed = timed.select("order_id", "ts", "seq", "status", F.col("filled_qty").cast("double").alias("filled_qty"), F.col("filled_avg_price").cast("double").alias("filled_avg_price"))
+    kind = updates.schema["order_id"].dataType.simpleString()
+    return timed.groupBy("order_id").transformWithStateInPandas(
+        _Fills(idle_minutes * 60_000),
+        f"order_id {kind}, ts timestamp, seq long, status string, fill_quantity double, fill_price double, latency_ms long",
+        "Append",
+        "EventTime",
     )
 
 

@@ -1,5 +1,9 @@
 """Streams over landed files agree with the batch operators for on-time data."""
 
+import os
+import shutil
+from datetime import datetime
+
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
@@ -88,6 +92,29 @@ def test_order_updates_become_fills(spark, tmp_path):
     assert got.agg(F.sum("fill_quantity")).first()[0] == pytest.approx(want.agg(F.sum("fill_quantity")).first()[0])
 
 
+def test_order_state_is_dropped_by_a_timer(spark, tmp_path):
+    """An idle order is forgotten once the watermark passes its timer; before that only increases count."""
+    schema = "order_id long, ts timestamp_ntz, seq long, status string, filled_qty double, filled_avg_price double"
+    steps = [
+        [(1, "2024-01-01 10:00:00", 1, 5.0), (1, "2024-01-01 10:00:00", 0, 2.0), (2, "2024-01-01 10:00:01", 0, 1.0)],
+        [(1, "2024-01-01 10:30:00", 0, 5.0), (1, "2024-01-01 10:31:00", 0, 6.0), (3, "2024-01-01 10:31:00", 0, None)],
+        [(4, "2024-01-03 00:00:00", 0, 1.0)],
+        [(4, "2024-01-03 00:10:00", 0, 1.0)],
+        [(1, "2024-01-03 00:20:00", 0, 7.0)],
+    ]
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for n, rows in enumerate(steps):
+        batch = spark.createDataFrame([(i, datetime.fromisoformat(t), s, "filled", q, 9.5) for i, t, s, q in rows], schema)
+        batch.coalesce(1).write.parquet(str(tmp_path / f"b{n}"))
+        part = next((tmp_path / f"b{n}").glob("part-*.parquet"))
+        shutil.copy(part, folder / f"{n}.parquet")
+        os.utime(folder / f"{n}.parquet", (1_700_000_000 + n, 1_700_000_000 + n))
+    stream = T.landed(spark, str(folder), schema, files_per_trigger=1)
+    got = sorted((r.order_id, r.fill_quantity, r.latency_ms) for r in collect(T.order_fills(stream, idle_minutes=60), tmp_path).collect())
+    assert got == [(1, 1.0, 31 * 60_000), (1, 2.0, 0), (1, 3.0, 0), (1, 7.0, 0), (2, 1.0, 0), (4, 1.0, 0)]
+
+
 def test_rates_streaks_and_refresh(spark, tmp_path):
     log = derived.order_log(spark, SMALL).withColumnRenamed("created_at", "ts")
     stream = T.landed(spark, land(log, tmp_path), "order_id long, portfolio string, ts timestamp_ntz, status string, order_value double, signal_id long")
