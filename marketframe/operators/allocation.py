@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketframe.functions.numeric import corr_agg, lit_map, ratio, zero
+from marketframe.operators.lineage import cut
 
 # Allocation limits.
 MAX_EXPOSURE, SECTOR_CAP, TYPE_CAP, CLUSTER_CAP = 0.95, 0.30, 0.40, 0.35
@@ -67,32 +67,32 @@ def correlation_pairs(returns: DataFrame, min_obs: int = 10) -> DataFrame:
 
 
 def correlation_clusters(pairs: DataFrame, threshold: float = 0.7, group: str | None = None) -> DataFrame:
-    """Greedy clusters: in symbol order, each free symbol takes its free neighbours.
+    """Greedy clusters: in symbol order, each free symbol takes its free neighbours; symbols left alone have no cluster.
 
-    With ``group`` there are clusters per value of that column, without it one set for all runs. Only pairs above
-    the threshold reach the grouped map; they are bounded by the universe of assets, not by rows.
+    With ``group`` there are clusters per value of that column, without it one set for all runs. The heads are found in
+    parallel rounds: an undecided symbol without a smaller undecided neighbour becomes a head and its neighbours are
+    taken; a symbol belongs to the smallest head beside it. Each round is stored; symbols chained in their own order
+    need a round for every other one.
     """
-    edges = pairs.filter(F.col("corr") > threshold)
-    if group is None:
-        return correlation_clusters(pairs.withColumn("_all", F.lit(0)), threshold, "_all").drop("_all")
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[str, list[str]] = {}
-        for a, b in sorted(zip(pdf["a"], pdf["b"])):
-            near.setdefault(a, []).append(b)
-        taken: set[str] = set()
-        rows = []
-        for a in sorted(near):
-            if a in taken:
-                continue
-            members = [a, *[b for b in near[a] if b not in taken]]
-            if len(members) > 1:
-                taken.update(members)
-                rows += [(pdf[group].iloc[0], m, a) for m in members]
-        return pd.DataFrame(rows, columns=[group, "asset_id", "cluster"])
-
-    schema = f"{group} {edges.schema[group].dataType.simpleString()}, asset_id string, cluster string"
-    return edges.groupBy(group).applyInPandas(greedy, schema)
+    near = pairs.filter((F.col("corr") > threshold) & (F.col("a") != F.col("b")))
+    g = F.struct(group) if group else F.lit(0)
+    edges = cut(near.select(g.alias("g"), F.col("a").alias("v"), F.col("b").alias("w")).distinct())
+    open_edges, nodes, heads = edges, edges.select("g", "v").distinct(), None
+    while not nodes.isEmpty():
+        waiting = open_edges.filter("w < v").select("g", "v")
+        found = cut(nodes.join(waiting, ["g", "v"], "left_anti"))
+        heads = found if heads is None else heads.unionByName(found)
+        taken = open_edges.join(found, ["g", "v"]).select("g", F.col("w").alias("v")).unionByName(found).distinct()
+        nodes = cut(nodes.join(taken, ["g", "v"], "left_anti"))
+        left = open_edges.join(nodes, ["g", "v"], "left_semi")
+        open_edges = cut(left.join(nodes.withColumnRenamed("v", "w"), ["g", "w"], "left_semi"))
+    if heads is None:
+        heads = edges.select("g", "v")
+    members = edges.join(heads, ["g", "v"]).groupBy("g", F.col("w").alias("asset_id")).agg(F.min("v").alias("cluster"))
+    members = cut(members.join(heads.withColumnRenamed("v", "asset_id"), ["g", "asset_id"], "left_anti"))
+    own = members.select("g", F.col("cluster").alias("asset_id"), "cluster").distinct()
+    out = members.select("g", "asset_id", "cluster").unionByName(own)
+    return out.select(*([F.col("g")[group].alias(group)] if group else []), "asset_id", "cluster")
 
 
 def cap_clusters(allocated: DataFrame, clusters: DataFrame, run: str = "run_id") -> DataFrame:
