@@ -190,4 +190,23 @@ def q_stacking(spark, folder):
     return model.transform(wide).select(*K, "prediction")
 
 
-_add("l16_stacking", q_stacking)
+#: Least squares in closed form: the covariances of three models and the target, solved by Cramer's rule.
+_DET = "({0} * ({4} * {8} - {5} * {7}) - {1} * ({3} * {8} - {5} * {6}) + {2} * ({3} * {7} - {4} * {6}))"
+_CELLS = ["c00", "c01", "c02", "c01", "c11", "c12", "c02", "c12", "c22"]
+
+
+def _cramer(column: int) -> str:
+    cells = list(_CELLS)
+    for row in range(3):
+        cells[3 * row + column] = f"b{row}"
+    return _DET.format(*cells)
+
+
+_WIDE = "wide as (select asset_id, ts, " + ", ".join(f"coalesce(avg(v) filter (model_id = 'm{i}'), 0) as x{i}" for i in range(3)) + ", avg(actual) as y from one group by 1, 2)"
+_COV = "cov as (select " + ", ".join([f"covar_pop(x{i}, x{j}) as c{i}{j}" for i in range(3) for j in range(i, 3)] + [f"covar_pop(x{i}, y) as b{i}, avg(x{i}) as a{i}" for i in range(3)]) + ", avg(y) as ay from wide)"
+_FIT = "fit as (select *, " + ", ".join(f"{_cramer(i)} / {_DET.format(*_CELLS)} as w{i}" for i in range(3)) + " from cov)"
+_add(
+    "l16_stacking",
+    lambda s, f: rounded(q_stacking(s, f)),
+    rsql(with_sql([PREDICTIONS, PR, ONE, _WIDE, _COV, _FIT], "select asset_id, ts, ay + w0 * (x0 - a0) + w1 * (x1 - a1) + w2 * (x2 - a2) as prediction from wide, fit"), K, ["prediction"]),
+)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketframe.operators.lineage import cut
+
 BAR_SCHEMA = "ts timestamp_ntz, open double, high double, low double, close double, volume double"
 NEWS_SCHEMA = (
     "doc_id long, published_at timestamp_ntz, title string, content string, description string, source string, "
@@ -20,10 +20,10 @@ MACRO_SCHEMA = "id string, description string, frequency string"
 
 
 def read_bar_files(spark: SparkSession, folder: str, start=None, end=None, lookback_days: int = 0) -> DataFrame:
-    """Bars from files named ``{symbol}_market_data.csv``; the symbol comes from the file name."""
+    """Bars from files, or folders of files, named ``{symbol}_market_data.csv``; the symbol comes from the name."""
     raw = spark.read.schema(BAR_SCHEMA).option("header", True).csv(f"{folder}/*_market_data.csv")
     path = F.col("_metadata.file_path")
-    out = raw.select(F.regexp_extract(path, r"([^/]+)_market_data\.csv$", 1).alias("symbol"), *raw.columns)
+    out = raw.select(F.regexp_extract(path, r"([^/=]+)_market_data\.csv(?:/[^/]*)?$", 1).alias("symbol"), *raw.columns)
     if start is not None:
         out = out.filter(F.col("ts") >= F.lit(start).cast("timestamp_ntz") - F.expr(f"interval {int(lookback_days)} days"))
     if end is not None:
@@ -31,6 +31,12 @@ def read_bar_files(spark: SparkSession, folder: str, start=None, end=None, lookb
     return out
 
 
+def write_bar_files(bars: DataFrame, folder: str) -> None:
+    """One folder of CSV files per symbol, named so that :func:`read_bar_files` finds them."""
+    named = bars.withColumn("file", F.concat("symbol", F.lit("_market_data.csv")))
+    named.select("file", "ts", "open", "high", "low", "close", "volume").write.option("header", True).mode("overwrite").partitionBy("file").csv(folder)
+
+
 def read_news_files(spark: SparkSession, path: str, fmt: str = "csv", start=None, end=None) -> DataFrame:
     """News under the library's names; null symbol means market-wide."""
     reader = spark.read.schema(NEWS_SCHEMA)
@@ -40,6 +46,19 @@ def read_news_files(spark: SparkSession, path: str, fmt: str = "csv", start=None
     return between(out, "ts", start, end)
 
 
+def write_news_files(news: DataFrame, path: str, fmt: str = "csv") -> None:
+    """News under the names of the feeds; texts keep their quotes, line breaks and outer blanks."""
+    names = {"ts": "published_at", "symbol": "target_symbol"}
+    known = [f.split(" ")[0] for f in NEWS_SCHEMA.split(", ")]
+    out = news.withColumnsRenamed({c: n for c, n in names.items() if c in news.columns})
+    out = out.select(*[F.col(c) if c in out.columns else F.lit(None).cast("string").alias(c) for c in known])
+    writer = out.write.mode("overwrite")
+    if fmt == "csv":
+        writer = writer.option("header", True).option("escape", '"').option("quoteAll", True)
+        writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    writer.format(fmt).save(path)
+
+
 def normalise_news(raw: DataFrame) -> DataFrame:
     """Map the feeds' differing names for publish time and symbol to ``ts`` and ``symbol``."""
     names = {
@@ -115,6 +134,22 @@ def search_news(
 MARKET_QUERY = "stock market OR trading OR finance"
 
 
+def trailing_news(times: DataFrame, news: DataFrame, hours: float) -> DataFrame:
+    """Pairs of every time (distinct ``ts`` of ``times``) and the news of the ``hours`` up to it, ends included.
+
+    Both meet by slots of that length: a time sees its own slot and the one before, news go to one slot. A frequent slot
+    can be split by adaptive execution, as neither side of the join is an aggregate.
+    """
+    width = int(hours * 3_600_000_000)
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    slot = lambda c: F.floor(us(c) / F.lit(width))
+    wanted = cut(times.select(F.col("ts").alias("at")).filter(F.col("at").isNotNull()).distinct())
+    wanted = wanted.withColumn("_slot", F.explode(F.array(slot("at") - 1, slot("at"))))
+    dated = news.withColumn("_slot", slot("ts"))
+    found = wanted.join(dated, "_slot").filter((F.col("ts") <= F.col("at")) & (us("ts") >= us("at") - width))
+    return found.drop("_slot")
+
+
 def market_news(news: DataFrame, **kwargs) -> DataFrame:
     return search_news(news, MARKET_QUERY, **kwargs)
 

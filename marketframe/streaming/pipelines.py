@@ -46,6 +46,31 @@ def run_available(
     return writer.start()
 
 
+def ingest(feeds: dict[str, DataFrame], store: str, checkpoint: str, every: str | None = None) -> list:
+    """Start one query per landing feed that keeps its files as they come.
+
+    A micro-batch is one folder, replaced as a whole, so a batch that is repeated after a failure changes nothing; the
+    checkpoint knows which files have been taken. See :func:`ingested` for reading.
+    """
+
+    def keep(name: str) -> Callable[[DataFrame, int], None]:
+        def write(batch: DataFrame, batch_id: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{store}/{name}/batch={batch_id}")
+
+        return write
+
+    return [run_available(df, keep(name), f"{checkpoint}/{name}", every=every) for name, df in feeds.items()]
+
+
+def ingested(spark: SparkSession, store: str, name: str, keys: list[str], schema: str | None = None) -> DataFrame:
+    """Rows of a feed, each of ``keys`` once: a row that came again counts as it came last."""
+    reader = spark.read.schema(f"{schema}, batch long") if schema else spark.read
+    rows = reader.option("basePath", f"{store}/{name}").parquet(f"{store}/{name}")
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    latest = rows.groupBy(*keys).agg(F.max(F.struct("batch", *rest)).alias("_r"))
+    return latest.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
 def _with_event_time(df: DataFrame, late: str) -> DataFrame:
     return df.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 

@@ -135,3 +135,28 @@ def test_rates_streaks_and_refresh(spark, tmp_path):
     writer(fixed, 10_000)
     again = spark.read.parquet(str(tmp_path / "r/out"))
     assert again.count() == bars.count() and again.filter("high = 1e6").count() == 1
+
+
+def test_ingest_goes_on_after_a_failed_sink(spark, tmp_path):
+    """A batch that broke off after writing part of its rows is written again as a whole; a repeated file adds nothing."""
+    log = derived.order_log(spark, SMALL).withColumnRenamed("created_at", "ts")
+    schema = "order_id long, portfolio string, ts timestamp_ntz, status string, order_value double, signal_id long"
+    landing = land(log, tmp_path, 4)
+    log.filter("order_id % 3 = 0").coalesce(1).write.mode("append").parquet(landing)
+    store, checkpoint = str(tmp_path / "store"), str(tmp_path / "check")
+
+    def broken(batch, batch_id):
+        batch.filter(f"order_id % 2 = 0 or {batch_id} < 2").write.mode("overwrite").parquet(f"{store}/orders/batch={batch_id}")
+        if batch_id == 2:
+            raise RuntimeError("the sink is away")
+
+    stream = lambda: T.landed(spark, landing, schema, files_per_trigger=1)
+    first = T.run_available(stream(), broken, f"{checkpoint}/orders")
+    with pytest.raises(Exception, match="the sink is away"):
+        first.awaitTermination(120)
+    assert 0 < T.ingested(spark, store, "orders", ["order_id"]).count() < log.count()
+    for _ in range(2):  # a run without new files changes nothing
+        for query in T.ingest({"orders": stream()}, store, checkpoint):
+            query.awaitTermination(120)
+        got = T.ingested(spark, store, "orders", ["order_id"])
+        assert got.count() == log.count() and got.select(log.columns).exceptAll(log).count() == 0
