@@ -37,7 +37,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from marketframe.llm.common import read, shared_folder, utf8
+from marketframe.llm.common import read, shared_folder, stored, utf8
 
 SCHEMA = "record_id string, record_type string, target_uri string, content_type string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 #: Header of each column that predicates can be pushed to.
@@ -381,7 +381,9 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     rows = rows.withColumn("counted", F.octet_length("payload") >= least_bytes)
     same = pages.select("page_id", utf8("html").alias("payload")).where(F.octet_length("payload") >= least_bytes)
     same = same.select("page_id", F.unhex(F.sha1("payload")).alias("digest")).groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first"))
-    rows = rows.join(same.where("n > 1").select("digest", "first"), "digest", "left")
+    # stored before it is joined: only a join of two plain shuffles can split a frequent payload
+    same = stored(same.where("n > 1").select("digest", "first"), "same")
+    rows = rows.join(same, "digest", "left")
     refers = F.when(F.col("counted") & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     urn = lambda c: F.concat(F.lit("urn:page:"), c.cast("string"))
     return rows.select(F.coalesce(urn(F.col("page_id")), F.lit("urn:page:")).alias("record_id"), F.col("url").alias("target_uri"), urn(refers).alias("refers_to"), "payload")
