@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketframe.llm.common import chunks, read, stored, utf8
+from marketframe.llm.common import chunks, discard, read, stored, utf8
 from marketframe.llm.lm_score import pack_sorted, unpack_sorted
 from marketframe.llm.simhash import components
 from marketframe.llm.suffix_dedup import identity
@@ -340,7 +340,9 @@ def _segments(texts: DataFrame, alive: DataFrame, rule: Rule) -> tuple[DataFrame
     lacking = F.col("size") - F.size("shared")
     wanted = (F.col("size") - F.ceil(F.col("size") * rule.under / rule.over) + 1 - lacking).cast("int")
     prefixes = listed.where(wanted > 0).select("node", "size", lacking.alias("lacking"), F.explode(F.slice("shared", 1, wanted)).alias("x"))
-    return segments, stored(prefixes.select(F.col("x.token").alias("token"), "node", "size", "lacking"), "prefixes")
+    prefixes = stored(prefixes.select(F.col("x.token").alias("token"), "node", "size", "lacking"), "prefixes")
+    discard(rows, frequency, shared, listed)
+    return segments, prefixes
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

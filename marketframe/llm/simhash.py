@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketframe.llm.common import read, stored, utf8
+from marketframe.llm.common import discard, read, stored, utf8
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -190,11 +190,14 @@ def components(edges: DataFrame) -> DataFrame:
     current = stored(current, "links")
     while True:
         both = current.select("a", "b").unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        # stored before it is joined: only a join of two plain shuffles can split the edges of a hub
+        nearest = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        large = both.join(nearest, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = stored(large, "large")
+        least = stored(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        current = stored(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "links")
+        before, current = current, stored(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "links")
+        discard(before, nearest, large, least)
         now = current.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if now == state:
             return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
