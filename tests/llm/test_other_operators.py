@@ -88,7 +88,7 @@ CASES = {
     "1 < 2 <p": "1 <2",
     "<dl><dt>t<dd>d<dt>u<dd>e</dl>": "t\n    d\nu\n    e",
     "<blockquote>q</blockquote>": "> q",
-    "<select><option>1</select><textarea>kept</textarea>": "kept",
+    "<select><option>1</select><textarea>kept</textarea>": "1 kept",
     "<td>lone</td></p>": "lone",
     "<div hidden><p>x</div>y": "y",
 }
@@ -115,6 +115,14 @@ def test_html_table_rows(spark, pages):
     assert html_text.rendered(pages.limit(0)).count() == 0
 
 
+def test_html_with_clashing_columns_and_repeated_rows(spark):
+    rows = [(1, "u", "<p>a<p>b", "x", "y"), (1, "u", "<p>a<p>b", "x", "y"), (None, None, None, None, None), (2, "v", "", "x", "y")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars string")
+    got = html_text.rendered(frame)
+    assert got.columns == ["page_id", "url", "text", "n_chars", "n_lines"]
+    assert as_sorted(got) == sorted([(1, "u", "a\n\nb", 4, 3)] * 2 + [(None, None, "", 0, 0), (2, "v", "", 0, 0)], key=repr)
+
+
 def exact(ids, x, queries, k):
     out = []
     for q in sorted(queries):
