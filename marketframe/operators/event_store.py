@@ -28,9 +28,9 @@ def news_to_events(news: DataFrame, min_impact: float = 0.3, conditions=None) ->
 
     The event time is the article's own time. ``entities`` is computed once per article.
     """
-    linked = X.link_entities(X.detect(news), F.col("_full")).withColumns(
-        {"_ticker": X.primary_ticker(F.col("entities")), "_sector": X.primary_sector(F.col("entities"))}
-    )
+    # only articles with events are linked: without a text there is nothing to search
+    found = X.link_entities(X.detect(news), F.when(F.size("detected") > 0, F.col("_full")))
+    linked = found.withColumns({"_ticker": X.primary_ticker(F.col("entities")), "_sector": X.primary_sector(F.col("entities"))})
     # the article's ticker and sector travel inside the exploded struct: a later filter on them
     # then stays above the explode instead of repeating the linking inside a filter below it
     tagged = F.transform(
