@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketframe.functions.numeric import day_number, ratio, zero
+from marketframe.functions.numeric import MICROS_PER_DAY, day_number, ratio, us, zero
 from marketframe.operators.folds import fold_sorted
 from marketframe.operators.lineage import cut
-from marketframe.operators.ordered import row_chunks, running_max, running_sums
+from marketframe.operators.ordered import row_chunks, running_max
 from marketframe.operators.orders import model_fills, signed_quantity
 from marketframe.operators.ranking import exact_quantiles
-from marketframe.operators.timeline import asof_join
 
 YEAR = 252
 RISK_FREE = 0.02
@@ -100,8 +99,40 @@ def trades_per_day(fills: DataFrame, keys: Sequence[str] = ("portfolio",)) -> Da
 # ---------------------------------------------------------------- equity
 
 
-def _running(df: DataFrame, keys: Sequence[str], value: Column, name: str, tie: Sequence[str]) -> DataFrame:
-    return running_sums(row_chunks(df, keys, tie=tie), {name: value})
+#: Length of units of a fixed length in microseconds, and of the others in months.
+_MICROS = {"second": 1_000_000, "minute": 60_000_000, "hour": 3_600_000_000, "day": MICROS_PER_DAY, "week": 7 * MICROS_PER_DAY}
+_MONTHS = {"month": 1, "quarter": 3, "year": 12}
+
+
+class Periods:
+    """Consecutive periods of ``step`` from the start of the unit that holds ``first``, numbered from 0."""
+
+    def __init__(self, first, step: str):
+        number, unit = step.split()
+        unit = unit.rstrip("s").lower()
+        self.start = F.date_trunc(unit, F.lit(first).cast("timestamp_ntz")).cast("timestamp_ntz")
+        self.months = int(number) * _MONTHS[unit] if unit in _MONTHS else 0
+        self.micros = 0 if self.months else int(number) * _MICROS[unit]
+
+    def number(self, ts: Column) -> Column:
+        if self.months:
+            since = (F.year(ts) - F.year(self.start)) * 12 + F.month(ts) - F.month(self.start)
+            return F.floor(since / self.months).cast("int")
+        return F.floor((us(ts) - us(self.start)) / self.micros).cast("int")
+
+    def end(self, number: Column) -> Column:
+        """Last microsecond of a period."""
+        if self.months:
+            after = F.add_months(F.to_date(self.start), (number + 1) * self.months).cast("timestamp_ntz")
+            return (after - F.expr("interval 1 microsecond")).cast("timestamp_ntz")
+        return F.timestamp_micros(us(self.start) + (number + 1).cast("long") * self.micros - 1).cast("timestamp_ntz")
+
+
+def _until_next(df: DataFrame, keys: Sequence[str], last: Column) -> DataFrame:
+    """Rows with period ``_p`` repeated for each period up to the next row of their key, or to the ``last`` one."""
+    following = F.coalesce(F.lead("_p").over(Window.partitionBy(*keys).orderBy("_p")) - 1, last)
+    spread = df.withColumn("_to", following).filter(F.col("_to") >= 0)
+    return spread.withColumn("_p", F.explode(F.sequence(F.greatest("_p", F.lit(0)), "_to"))).drop("_to")
 
 
 def equity_curve(
@@ -112,39 +143,40 @@ def equity_curve(
     capital: float = CAPITAL,
     tie: Sequence[str] = ("order_id", "fill_no"),
 ) -> DataFrame:
-    """Value of every portfolio at the ends of its periods: cash plus positions at their last price.
+    """Value of every portfolio at the ends of its periods, from its first fill on: cash plus positions at their last
+    price. Fills that a ledger refused (column ``accepted``) do not count.
 
-    ``prices`` has symbol, ts, close (and may have ``tie`` columns). Positions are running sums,
-    cash a running sum of flows, both read by as-of lookup; a position appears in the panel from
-    its first fill on.
+    ``prices`` has symbol, ts, close (and may have ``tie`` columns). Fills are summed per portfolio, symbol and period
+    in one pre-aggregated shuffle; positions and cash are running sums over these sums, repeated only for the periods in
+    which a position is held.
     """
     keys = list(keys)
-    unit = step.split()[-1]
-    last = fills.agg(F.max("ts").alias("_end"))
-    grid = F.sequence(F.date_trunc(unit, "_start"), F.date_trunc(unit, "_end"), F.expr(f"interval {step}"))
-    period_end = lambda c: (c + F.expr(f"interval {step}") - F.expr("interval 1 microsecond")).cast("timestamp_ntz")
-
-    def panel(group: list[str]) -> DataFrame:
-        starts = fills.groupBy(*group).agg(F.min("ts").alias("_start")).crossJoin(F.broadcast(last))  # one row
-        return starts.select(*group, F.explode(grid).alias("_t")).select(*group, period_end(F.col("_t")).alias("ts"))
-
-    held = _running(fills, [*keys, "symbol"], signed_quantity(), "_pos", tie).select(*keys, "symbol", "ts", *tie, "_pos")
-    book = asof_join(panel([*keys, "symbol"]), held, [*keys, "symbol"], ["_pos"], "_h", tie=tie)
+    if "accepted" in fills.columns:
+        fills = fills.filter("accepted")
+    first, final = fills.agg(F.min("ts"), F.max("ts")).first()
+    periods = Periods(first, step)
+    last = periods.number(F.lit(final).cast("timestamp_ntz"))
+    number = periods.number(F.col("ts")).alias("_p")
+    sums = fills.groupBy(*keys, "symbol", number).agg(F.sum(signed_quantity()).alias("_q"), F.sum(cash_flow()).alias("_c"))
+    upto = lambda by: Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = sums.select(*keys, "symbol", "_p", F.sum("_q").over(upto([*keys, "symbol"])).alias("_pos"))
+    held = _until_next(held, [*keys, "symbol"], last).filter(F.col("_pos") != 0)
     price_tie = [c for c in tie if c in prices.columns]
-    book = asof_join(book, prices, ["symbol"], ["close"], "_c", tie=price_tie)
-    value = zero(F.col("_h._pos")) * zero(F.col("_c.close"))
-    holdings = book.groupBy(*keys, "ts").agg(F.sum(value).alias("holdings"))
-    cash = _running(fills, keys, cash_flow(), "_cash", ["symbol", *tie]).select(*keys, "ts", "symbol", *tie, "_cash")
-    out = asof_join(holdings, cash, keys, ["_cash"], "_k", tie=["symbol", *tie])
-    out = out.withColumn("cash", F.col("_k._cash") + capital).drop("_k")
-    # small next to the fills and read several times by what follows
-    return cut(out.withColumn("total_value", F.col("cash") + F.col("holdings")))
+    # prices before the first period serve it, later ones than the last fill's period serve none
+    of_period = F.greatest(periods.number(F.col("ts")), F.lit(-1)).alias("_p")
+    closes = prices.groupBy("symbol", of_period).agg(F.max_by("close", F.struct("ts", *price_tie)).alias("_close")).filter(F.col("_p") <= last)
+    book = held.join(_until_next(closes, ["symbol"], last), ["symbol", "_p"], "left")
+    holdings = book.groupBy(*keys, "_p").agg(F.sum(F.col("_pos") * zero(F.col("_close"))).alias("holdings"))
+    flows = sums.groupBy(*keys, "_p").agg(F.sum("_c").alias("_c"))
+    cash = flows.select(*keys, "_p", (F.sum("_c").over(upto(keys)) + capital).alias("cash"))
+    out = _until_next(cash, keys, last).join(holdings, [*keys, "_p"], "left").withColumn("holdings", zero(F.col("holdings")))
+    return out.select(*keys, periods.end(F.col("_p")).alias("ts"), "holdings", "cash", (F.col("cash") + F.col("holdings")).alias("total_value"))
 
 
 def equity_path(equity: DataFrame, keys: Sequence[str] = ("portfolio",), capital: float | None = CAPITAL) -> DataFrame:
     """Period result, return, drawdown and running maximum drawdown of an equity curve."""
     keys = list(keys)
-    c = row_chunks(equity, keys, halo=2)
+    c = row_chunks(cut(equity), keys, halo=2)  # a row per period, small next to the fills
     prev = F.lag("total_value").over(c.order)
     c = c.with_columns({"_prev": prev})
     first = F.lit(capital) if capital is not None else F.col("total_value")

@@ -191,6 +191,13 @@ _add(
     lambda s, f: rounded(_ledger(s, f), 4),
     rsql(_ledger_sql("select * from ledger"), ["order_id", "fill_no", "portfolio", "ts", "symbol", "side", "accepted"], _led, 4),
 )
+_ACCEPTED = "af as (select order_id, fill_no, portfolio, ts, symbol, side, quantity, price, commission from ledger where accepted)"
+_add(
+    "m08_accepted_equity_curve",
+    lambda s, f: rounded(P.equity_curve(_ledger(s, f), _price_rows(s, f), capital=50_000_000.0, tie=TIE).select("portfolio", "ts", *_eqc), 2),
+    rsql(with_sql([FILLS, LEDGER, _ACCEPTED, PANEL.replace("fills", "af"), HELD.replace("fills f on f.portfolio", "af f on f.portfolio")], "select * from eq").replace("with ", "with recursive ", 1),
+         ["portfolio", "ts"], _eqc, 2),
+)
 _add(
     "m07_positions_summary",
     lambda s, f: rounded(P.positions_summary(_ledger(s, f), _price_rows(s, f), TIE), 4),
