@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketframe.functions.numeric import MICROS_PER_DAY, PARTS, centred, day_number, millis, ratio, us, whole, zero
+from marketframe.operators.lineage import cut
 from marketframe.operators.ordered import rolling, row_chunks
 from marketframe.operators.timeline import RangeTimeline
 
@@ -136,6 +137,8 @@ def sentiment_features(
     ``sentiment`` is the output of ``score_sentiment`` with doc_id, ts and a nullable symbol.
     """
     windows = tuple(sorted({*windows, *VOLATILITY_DAYS}))
+    # scored once: the texts behind it are read by several steps below
+    sentiment = cut(sentiment.select("doc_id", "ts", "symbol", *[source for source, _ in DAILY_COLUMNS.values()]))
     own = sentiment.filter(F.col("symbol").isNotNull())
     market = sentiment.filter(F.col("symbol").isNull()).drop("symbol")
     points = bars.select("symbol", "ts")
