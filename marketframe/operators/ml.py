@@ -35,9 +35,18 @@ GRIDS = {
 }
 
 
-def estimator(name: str, task: str, classes: int = 2, **params):
-    """Spark ML estimator for a model name and a task (classification or regression)."""
-    common = {"featuresCol": "features", "labelCol": "target"}
+def balanced_weights(df: DataFrame, label: str = "target") -> DataFrame:
+    """Rows with ``weight`` = rows / (classes * rows of the class), so that every class counts alike."""
+    counts = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_k"))  # one row
+    share = counts.crossJoin(F.broadcast(total)).select(label, (F.col("_all") / (F.col("_k") * F.col("_n"))).alias("weight"))
+    return df.join(share, label, "left")
+
+
+def estimator(name: str, task: str, classes: int = 2, weights: bool = False, **params):
+    """Spark ML estimator for a model name and a task (classification or regression); with ``weights`` rows count by the
+    column ``weight``."""
+    common = {"featuresCol": "features", "labelCol": "target"} | ({"weightCol": "weight"} if weights else {})
     if task == "classification":
         if name == "random_forest":
             return RandomForestClassifier(**common, seed=42, **params)
@@ -72,9 +81,13 @@ def preprocessing(columns: Sequence[str]) -> list:
     ]
 
 
-def train(df: DataFrame, columns: Sequence[str], name: str, task: str, classes: int = 2, **params) -> PipelineModel:
-    """Fit preprocessing and model; the training rows are materialised once, as fitting reads them repeatedly."""
-    return _fit(cut(df.select(*columns, "target")), columns, name, task, classes, **params)
+def train(df: DataFrame, columns: Sequence[str], name: str, task: str, classes: int = 2, balanced: bool = False, **params) -> PipelineModel:
+    """Fit preprocessing and model; the training rows are materialised once, as fitting reads them repeatedly. With
+    ``balanced`` the classes of a classification count alike, whatever their numbers of rows."""
+    rows = df.select(*columns, "target")
+    if balanced and task == "classification":
+        return _fit(cut(balanced_weights(rows)), columns, name, task, classes, weights=True, **params)
+    return _fit(cut(rows), columns, name, task, classes, **params)
 
 
 def _fit(df: DataFrame, columns: Sequence[str], name: str, task: str, classes: int = 2, **params) -> PipelineModel:

@@ -173,6 +173,21 @@ for _n, _t in (("logistic_regression", "classification"), ("random_forest", "cla
     _add(f"l08_l10_l13_{_n}_{_t}", q_train(_n, _t))
 
 
+def q_balanced(spark, folder):
+    """Class weights of a skewed target (a large return up): rows and total weight of each class."""
+    p = _pred(spark, folder).withColumn("target", (F.col("actual") > 0.9).cast("double"))
+    weighted = L.balanced_weights(p.select("asset_id", "target"))
+    return rounded(weighted.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.avg("weight").alias("weight"), F.sum("weight").alias("total")))
+
+
+_add(
+    "l10_class_weights",
+    q_balanced,
+    rsql(with_sql([PREDICTIONS, PR, "tg as (select (actual > 0.9)::int::double as target, count(*) as n from pr group by 1)"], """select target, n, (select sum(n) from tg) / ((select count(*) from tg) * n) as weight,
+    (select sum(n) from tg) / (select count(*) from tg) as total from tg"""), ["target", "n"], ["weight", "total"]),
+)
+
+
 def q_search(spark, folder):
     train, test, columns = _dataset(spark, folder)
     params, _ = L.search(train, columns, "ridge", "regression")

@@ -73,6 +73,27 @@ _add(
 )
 
 
+def q_latest(spark, folder):
+    """Latest tick per symbol, kept up to date by a stream; each batch hands out all symbols, the last one counts."""
+    ticks = _stream(spark, folder, "events").select(F.col("event_type").alias("symbol"), "ts", "event_id", "value")
+    base = f"{checkpoint_folder(spark)}/latest-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
+
+    T.run_available(T.latest_per_symbol(ticks, tie=["event_id"]), write, f"{base}/checkpoint", mode="complete").awaitTermination()
+    out = spark.read.parquet(f"{base}/out")
+    newest = out.agg(F.max("batch")).first()[0]
+    return out.filter(F.col("batch") == newest).drop("batch")
+
+
+_add(
+    "st4_stream_latest",
+    q_latest,
+    "select event_type as symbol, ts, event_id, value from events qualify row_number() over (partition by event_type order by ts desc, event_id desc) = 1",
+)
+
+
 def q_news_events(spark, folder):
     events = _finished(T.news_events(derived.news_of(_stream(spark, folder, "documents"))))
     return events.select("event_id", "doc_id", "event_type", "ticker")

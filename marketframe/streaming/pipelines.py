@@ -6,7 +6,7 @@ streaming (or batch) DataFrames; only :func:`run_available` starts a query.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -94,10 +94,11 @@ def bars(ticks: DataFrame, timeframe: str = "1h", late: str = LATE) -> DataFrame
     )
 
 
-def latest_per_symbol(bars: DataFrame) -> DataFrame:
-    """Most recent bar per symbol (update mode; one row of state per symbol)."""
+def latest_per_symbol(bars: DataFrame, tie: Sequence[str] = ()) -> DataFrame:
+    """Most recent bar per symbol (update or complete mode; one row of state per symbol); ``tie`` decides equal times."""
     rest = [c for c in bars.columns if c not in ("symbol", "ts")]
-    return bars.groupBy("symbol").agg(F.max_by(F.struct("ts", *rest), "ts").alias("_b")).select("symbol", "_b.*")
+    latest = F.max_by(F.struct("ts", *rest), F.struct("ts", *tie, *[c for c in rest if c not in tie]))
+    return bars.groupBy("symbol").agg(latest.alias("_b")).select("symbol", "_b.*")
 
 
 def latency_alerts(latency: DataFrame, thresholds: dict[str, float] | None = None) -> DataFrame:

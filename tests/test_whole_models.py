@@ -34,3 +34,18 @@ def test_models_run_whole(spark, monkeypatch):
         seen.clear()
         entry.queries()[f"l08_l10_l13_{name}_classification"](spark, SMALL)
         assert seen == [(columns, name, {})]
+
+
+def test_balanced_training_finds_the_rare_class(spark):
+    """Of a rare class that overlaps the other one, plain training finds few rows and balanced training most."""
+    import random
+
+    rng = random.Random(1)
+    rows = [(rng.gauss(0, 1), 0.0) for _ in range(950)] + [(rng.gauss(1.5, 1), 1.0) for _ in range(50)]
+    df = spark.createDataFrame(rows, "x double, target double")
+    share = {}
+    for balanced in (False, True):
+        model = ml.train(df, ["x"], "logistic_regression", "classification", balanced=balanced)
+        share[balanced] = model.transform(df.filter("target = 1")).filter("prediction = 1").count() / 50
+    assert share[True] > 0.6 > 0.3 > share[False]
+    assert {round(r.weight, 6) for r in ml.balanced_weights(df).select("weight").distinct().collect()} == {round(1000 / 1900, 6), 10.0}
