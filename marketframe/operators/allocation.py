@@ -213,6 +213,22 @@ def rebalance_flags(allocated: DataFrame, positions: DataFrame, run: str = "run_
     return out.select(run, "new_exposure", F.coalesce(moved, F.lit(True)).alias("rebalance_required"))
 
 
+def allocate_portfolio(
+    signals: DataFrame, positions: DataFrame, portfolio_value: float = 100_000.0, run: str = "run_id",
+    clusters: DataFrame | None = None, regime: Column | None = None, max_exposure: float = MAX_EXPOSURE,
+) -> tuple[DataFrame, DataFrame]:
+    """The allocated signals and one record per run: metrics, exposure, cash required, whether it has to be rebalanced
+    given the held ``positions`` (asset_id, weight), and the largest drift of a held asset from its new allocation."""
+    allocated = cut(allocate(signals, run, clusters, regime, max_exposure))
+    held = cut(positions.groupBy("asset_id").agg(F.sum("weight").alias("weight")))
+    goal = allocated.groupBy(run, "asset_id").agg(F.sum("allocation").alias("target"))
+    assets = allocated.select(run).distinct().crossJoin(held)  # runs times held assets, both small next to the signals
+    drifts = assets.join(goal, [run, "asset_id"], "left").groupBy(run).agg(F.max(F.abs(F.col("weight") - zero(F.col("target")))).alias("largest_drift"))
+    flags = rebalance_flags(allocated, held, run).withColumnRenamed("new_exposure", "_new")
+    record = portfolio_metrics(allocated, run).join(flags.drop("_new"), run).join(drifts, run, "left")
+    return allocated, record.withColumn("cash_required", F.col("total_exposure") * portfolio_value)
+
+
 def allocation_summary(metrics: DataFrame) -> DataFrame:
     """Averages over the recorded runs."""
     return metrics.agg(

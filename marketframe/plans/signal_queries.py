@@ -296,6 +296,16 @@ _add(
 )
 
 
+_add(
+    "m13_portfolio_record",
+    lambda s, f: rounded(A.allocate_portfolio(_alloc_input(s, f), _held(s, f))[1]),
+    rsql(with_sql([PRED, _sig_sql(True), *_alloc_sql("opt"), PM, _HELD, "hw as (select asset_id, sum(weight) as weight from held group by 1)", "k as (select * from b4 where al >= 0.01::double)",
+                   "dr as (select r.run_id, max(abs(weight - coalesce(t, 0))) as largest_drift from (select distinct run_id from k) r, hw left join (select run_id, asset_id, sum(al) as t from k group by 1, 2) g on g.run_id = r.run_id and g.asset_id = hw.asset_id group by 1)"],
+                  "select pm.*, abs(total_exposure - (select sum(abs(weight)) from hw)) > 0.05::double as rebalance_required, largest_drift, total_exposure * 100000 as cash_required from pm join dr using (run_id)"),
+         ["run_id", "num_signals", "rebalance_required"], [*_pm, "largest_drift", "cash_required"]),
+)
+
+
 def _returns(spark, folder):
     c = row_chunks(derived.bars(spark, folder), halo=2)
     prev = F.lag("close").over(c.order)
