@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import itertools
 import time
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import (
@@ -114,8 +116,13 @@ def _score(predicted: DataFrame, task: str) -> float:
 def search(
     df: DataFrame, columns: Sequence[str], name: str, task: str, grid: dict | None = None, folds: int = 5, draws: int | None = None
 ) -> tuple[dict, float]:
-    """Best parameters by the mean score over expanding time folds; ``draws`` limits a random search."""
+    """Best parameters by the mean score over expanding time folds; ``draws`` limits a random search. Linear models are
+    searched in closed form, others fitted one after the other."""
     grid = GRIDS[name] if grid is None else grid
+    if task == "regression" and name in ("linear_regression", "ridge") and set(grid) == {"regParam"} and draws is None:
+        means = ridge_search(df, columns, grid["regParam"], folds)
+        best_penalty = max(means, key=means.get)  # of equals the first one of the grid
+        return {"regParam": best_penalty}, means[best_penalty]
     combos = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
     if draws is not None and draws < len(combos):
         import random
@@ -136,6 +143,78 @@ def search(
     return best
 
 
+def gram_matrices(df: DataFrame, columns: Sequence[str]) -> dict[int, np.ndarray]:
+    """Products of 1, the columns (missing as 0), their missing marks and the target, summed per ``fold``.
+
+    One pass: a task sums its own rows, one matrix per fold leaves it; their size depends on the number of columns only.
+    """
+    p = len(columns)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            fold = batch.column(0).to_numpy(zero_copy_only=False)
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[1:-1]], axis=1) if p else np.empty((len(fold), 0))
+            y = batch.column(p + 1).to_numpy(zero_copy_only=False).astype(float)
+            missing = np.isnan(x)
+            z = np.hstack([np.ones((len(fold), 1)), np.where(missing, 0.0, x), missing, y[:, None]])
+            for f in np.unique(fold):
+                part = z[fold == f]
+                sums[int(f)] = sums.get(int(f), 0.0) + part.T @ part
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([m.tobytes() for m in sums.values()], pa.binary())], names=["fold", "sums"])
+
+    rows = df.filter(F.col("target").isNotNull()).select(F.col("fold").cast("int"), *[F.col(f"`{c}`").cast("double") for c in columns], F.col("target").cast("double"))
+    size = 2 * p + 2
+    out: dict[int, np.ndarray] = {}
+    # a row per task and fold
+    for row in rows.mapInArrow(products, "fold int, sums binary").toLocalIterator():
+        out[row.fold] = out.get(row.fold, 0.0) + np.frombuffer(row.sums).reshape(size, size)
+    return out
+
+
+def solve_ridge(gram: np.ndarray, fill: np.ndarray, penalty: float) -> tuple[np.ndarray, float]:
+    """Coefficients and intercept of a ridge regression on standardised columns from their Gram matrix; missing values are
+    ``fill``. The penalty counts in deviations of the target, as in Spark ML; constant columns get 0."""
+    p = len(fill)
+    take = np.zeros((p + 2, 2 * p + 2))  # 1, filled columns, target
+    take[0, 0] = take[p + 1, 2 * p + 1] = 1
+    take[np.arange(1, p + 1), np.arange(1, p + 1)] = 1
+    take[np.arange(1, p + 1), np.arange(p + 1, 2 * p + 1)] = fill
+    g = take @ gram @ take.T
+    n = g[0, 0]
+    mean = g[0, 1:] / n
+    cov = g[1:, 1:] / n - np.outer(mean, mean)
+    spread = np.sqrt(np.maximum(np.diag(cov), 0.0))
+    used = np.flatnonzero(spread[:p] > 1e-12 * (1 + np.abs(mean[:p])))
+    w = np.zeros(p)
+    if len(used) and spread[p] > 0:
+        scale = spread[used]
+        left = cov[np.ix_(used, used)] / np.outer(scale, scale) + penalty / spread[p] * np.eye(len(used))
+        w[used] = np.linalg.lstsq(left, cov[used, p] / scale, rcond=None)[0] / scale
+    return w, float(mean[p] - w @ mean[:p])
+
+
+def ridge_search(df: DataFrame, columns: Sequence[str], penalties: Sequence[float], folds: int = 5) -> dict[float, float]:
+    """Mean score (negative squared error) of each penalty over expanding time folds, from one scan of the tagged rows:
+    every fold and penalty is solved from the Gram matrices of the folds, and its error follows from them, too."""
+    tagged = cut(expanding_folds(df, folds).select("fold", *[F.col(f"`{c}`") for c in columns], "target"))
+    grams = gram_matrices(tagged, columns)
+    p = len(columns)
+    middle = lambda k, c: F.percentile_approx(F.when(F.col("fold") < k, F.col(f"`{c}`").cast("double")), 0.5, 1000)
+    fills = tagged.agg(*[F.array(*[F.coalesce(middle(k, c), F.lit(0.0)) for c in columns]).alias(f"k{k}") for k in range(1, folds + 1)]).first()
+    scores: dict[float, list[float]] = {penalty: [] for penalty in penalties}
+    for k in range(1, folds + 1):
+        before = sum(m for f, m in grams.items() if f < k)
+        if k not in grams or isinstance(before, int):
+            continue
+        fill = np.array(fills[f"k{k}"])
+        for penalty in penalties:
+            w, b = solve_ridge(before, fill, penalty)
+            error = np.concatenate([[-b], -w, -w * fill, [1.0]])  # target - prediction as a combination of the products
+            scores[penalty].append(-float(error @ grams[k] @ error) / grams[k][0, 0])
+    return {penalty: sum(s) / len(s) if s else float("-inf") for penalty, s in scores.items()}
+
+
 def train_many(df: DataFrame, columns: Sequence[str], names: Sequence[str], task: str, test: DataFrame) -> tuple[dict, DataFrame]:
     """Fit several models and return them with one experiment row per model."""
     models, rows = {}, []
