@@ -9,8 +9,14 @@ from marketframe.plans import ml_queries
 
 
 def test_models_run_whole(spark, monkeypatch):
-    seen = []
-    fit, search = ml._fit, ml.search
+    seen, searched = [], []
+    fit, search, ridge = ml._fit, ml.search, ml.ridge_search
+
+    def watched_ridge(df, columns, penalties, folds=5):
+        searched.append((list(columns), list(penalties), folds))
+        return ridge(df, columns, penalties, folds)
+
+    monkeypatch.setattr(ml, "ridge_search", watched_ridge)
 
     def watched_fit(df, columns, name, task, classes=2, **params):
         seen.append((list(columns), name, params))
@@ -28,8 +34,9 @@ def test_models_run_whole(spark, monkeypatch):
     predicted = entry.queries()["l11_l12_grid_search"](spark, SMALL)
     assert predicted.select("asset_id", "ts").exceptAll(test.select(F.col("symbol").alias("asset_id"), "ts")).count() == 0
     assert predicted.count() == test.count() > 0
-    assert len(seen) == 3 * 5 + 1 and seen[-1][0] == columns
-    assert {p["regParam"] for _, _, p in seen} == set(ml.GRIDS["ridge"]["regParam"])
+    # every fold and penalty comes from one scan, only the chosen model is fitted
+    assert searched == [(columns, ml.GRIDS["ridge"]["regParam"], 5)]
+    assert len(seen) == 1 and seen[0][0] == columns and seen[0][2]["regParam"] in ml.GRIDS["ridge"]["regParam"]
     for name in ("random_forest", "gradient_boosting"):
         seen.clear()
         entry.queries()[f"l08_l10_l13_{name}_classification"](spark, SMALL)
