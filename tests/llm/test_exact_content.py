@@ -1,16 +1,14 @@
-"""Hashes that stand for content tell contents apart."""
+"""Strings that are nearly equal are told apart by their bytes."""
 
 import random
 
-import pyarrow as pa
-
 from marketframe.llm import suffix_dedup
 
 from . import brute
 from .conftest import as_sorted
 
 
-def test_hashes_of_frequent_strings(spark):
+def test_frequent_strings_are_compared_by_bytes(spark):
     rng = random.Random(3)
     bodies, rows = [], []
     for n in range(6):
@@ -22,8 +20,6 @@ def test_hashes_of_frequent_strings(spark):
         other[8 * 24] ^= 0x20
         bodies += [bytes(text), bytes(other)]
         rows += [(2 * n, text.decode()), (2 * n + 1, other.decode())]
-    batch = pa.RecordBatch.from_arrays([pa.array(bodies), pa.array(bodies), pa.array([1] * len(bodies))], names=["digest", "body", "n"])
-    (out,) = suffix_dedup._strings(200)([batch])
-    assert len(set(out.column(0).to_pylist())) == len(set(out.column(1).to_pylist())) == len(bodies)
+    assert len(suffix_dedup.Strings(bodies, 200).rows) == len(bodies)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert as_sorted(suffix_dedup.deduplicated(docs, often=1)) == brute.repeats(rows)
