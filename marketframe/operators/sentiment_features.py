@@ -156,8 +156,8 @@ def sentiment_features(
             "sentiment_momentum_5d": rolling(c, change, 5),
         }
     ).own()
-    # stored one by one: the plan of all in one takes much of the driver's memory
-    o = cut(_summaries(points, own, ["symbol"], "o", windows, pieces))
+    # the small one is stored: the plan of both in one takes much of the driver's memory
+    o = _summaries(points, own, ["symbol"], "o", windows, pieces)
     m = cut(_summaries(times, market, [], "m", windows, pieces))
     joined = daily.join(o, ["symbol", "ts"], "left").join(m, ["ts"], "left")
     moments: dict[str, Column] = {}
