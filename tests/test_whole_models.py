@@ -43,16 +43,14 @@ def test_models_run_whole(spark, monkeypatch):
         assert seen == [(columns, name, {})]
 
 
-def test_balanced_training_finds_the_rare_class(spark):
-    """Of a rare class that overlaps the other one, plain training finds few rows and balanced training most."""
-    import random
-
-    rng = random.Random(1)
-    rows = [(rng.gauss(0, 1), 0.0) for _ in range(950)] + [(rng.gauss(1.5, 1), 1.0) for _ in range(50)]
-    df = spark.createDataFrame(rows, "x double, target double")
-    share = {}
-    for balanced in (False, True):
-        model = ml.train(df, ["x"], "logistic_regression", "classification", balanced=balanced)
-        share[balanced] = model.transform(df.filter("target = 1")).filter("prediction = 1").count() / 50
-    assert share[True] > 0.6 > 0.3 > share[False]
-    assert {round(r.weight, 6) for r in ml.balanced_weights(df).select("weight").distinct().collect()} == {round(1000 / 1900, 6), 10.0}
+def test_balanced_training_weighs_classes_alike(spark, monkeypatch):
+    df = spark.createDataFrame([(float(n), float(n < 50)) for n in range(1000)] + [(1.0, None)], "x double, target double")
+    weights = {(r.target, r.weight and round(r.weight, 6)) for r in ml.balanced_weights(df).select("target", "weight").distinct().collect()}
+    assert weights == {(0.0, round(1000 / 1900, 6)), (1.0, 10.0), (None, None)}
+    assert ml.estimator("logistic_regression", "classification", weights=True).getWeightCol() == "weight"
+    assert not ml.estimator("random_forest", "classification").isDefined("weightCol")
+    seen = []
+    monkeypatch.setattr(ml, "_fit", lambda rows, columns, name, task, classes, **params: seen.append((rows.columns, params)))
+    for balanced in (True, False):
+        ml.train(df, ["x"], "logistic_regression", "classification", balanced=balanced)
+    assert seen == [(["target", "x", "weight"], {"weights": True}), (["x", "target"], {})]
