@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,17 +25,18 @@ def _add(name, query, sql=None):
 
 
 def _stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """A table as a stream, whether it is one file or a folder of files: a pattern may name either, a path only a folder."""
     schema = derived.read(spark, folder, table).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(folder)
+    return spark.readStream.schema(schema).parquet(f"{folder}/{table}[.]parquet")
 
 
-def _finished(df: DataFrame) -> DataFrame:
-    """Run a stream over what has landed; each batch writes its own folder, so a retry replaces it."""
+def _finished(df: DataFrame, shape: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> DataFrame:
+    """Run a stream over what has landed; each batch, in the given shape, writes its own folder, so a retry replaces it."""
     spark = df.sparkSession
     base = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
+        shape(batch).write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
 
     query = T.run_available(df, write, f"{base}/checkpoint")
     query.awaitTermination()

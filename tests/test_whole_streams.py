@@ -18,3 +18,9 @@ def test_events_near_all_bars(spark):
         want[kind] = (len(near), sum(near))
     got = {r.symbol: (r.n, r.ids) for r in entry.queries()["st6_stream_events_near_bars"](spark, SMALL).collect()}
     assert got == want
+
+
+def test_stream_of_a_table_in_parts(spark, tmp_path):
+    derived.read(spark, SMALL, "documents").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = lambda folder: {tuple(r) for r in entry.queries()["st2_stream_news_events"](spark, str(folder)).collect()}
+    assert rows(tmp_path) == rows(SMALL) != set()
