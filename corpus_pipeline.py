@@ -53,9 +53,22 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str, find: C
     return _restored(kept.select("row.*"), docs)
 
 
+def alike(docs: DataFrame) -> DataFrame:
+    """doc_id and component_id (smallest doc_id reachable) over the links of both operators: fingerprints that differ in
+    two or fewer bits, and five-word shingles with a similarity of 0.8 or more. ``doc_id`` names a row, it is never
+    missing; equal rows come once."""
+    near = simhash.near_duplicates(docs).select("doc_id", F.col("component_id").alias("print")).distinct()
+    both = stored(similar.groups(docs).distinct().join(near, "doc_id"), "alike")
+    # groups of the exact join that fingerprints connect: an edge from each to the smallest with the same fingerprint group
+    least = both.groupBy("print").agg(F.min("component_id").alias("b"))
+    edges = both.select("print", F.col("component_id").alias("a")).distinct().join(least, "print").where("a <> b").select("a", "b")
+    roots = simhash.components(edges)
+    return both.join(roots, both.component_id == roots.node, "left").select("doc_id", F.coalesce("root", "component_id").alias("component_id"))
+
+
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts whose five-word shingles have a similarity of 0.8 or more one row, as above."""
-    return keep_one_of_group(spark, docs, sf_dir, similar.groups)
+    """Of each group of texts that are alike by operator 7 or by similarity one row, as above."""
+    return keep_one_of_group(spark, docs, sf_dir, alike)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,3 +37,13 @@ def test_groups_of_edited_copies(spark, rows):
     assert got == dict(enumerate(root))
     stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
     assert {r.doc_id for r in stage(spark, docs, "").collect()} == set(root)
+
+
+def test_stage_follows_fingerprints_too(spark):
+    """Texts of equal fingerprints whose sets of shingles differ: a repeated passage decides, the rest is different."""
+    rng = random.Random(9)
+    texts = ["alpha beta gamma " * 900 + prose(rng, 40) for _ in range(2)] + [prose(rng, 200)]
+    assert 10 * len(shingle_set(texts[0]) & shingle_set(texts[1])) < 8 * len(shingle_set(texts[0]) | shingle_set(texts[1]))
+    docs = frame(spark, list(enumerate(texts)))
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    assert {r.doc_id for r in stage(spark, docs, "").collect()} == {0, 2}
