@@ -152,38 +152,70 @@ def error_streaks(errors: DataFrame, gap: str = "5 minutes", late: str = LATE) -
 
 
 class _Fills(StatefulProcessor):
-    """Best filled quantity and first time of one order; a timer drops both when the order has been idle."""
+    """Best filled quantity and first time of the orders of one bucket; a timer drops those that have been idle.
+
+    The state of a bucket is read and written as a whole and its updates are worked through together, so that an order
+    costs no call of its own.
+    """
 
     def __init__(self, idle_ms: int):
         self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "best double, first long")
+        self.seen = handle.getListState("seen", "order_id string, best double, first long, until long")
+
+    def _held(self) -> pd.DataFrame:
+        held = pd.DataFrame(list(self.seen.get()), columns=["order_id", "best", "first", "until"])
+        return held.astype({"order_id": object, "best": "float64", "first": "int64", "until": "int64"})
+
+    def _keep(self, held: pd.DataFrame) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if len(held):
+            ids = [None if pd.isna(i) else i for i in held["order_id"]]
+            self.seen.put(list(zip(ids, *[held[c].tolist() for c in ("best", "first", "until")])))
+            self.handle.registerTimer(int(held["until"].min()))
+        else:
+            self.seen.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        updates = pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable")
-        best, first = self.seen.get() if self.seen.exists() else (0.0, None)
+        updates = pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable", ignore_index=True)
+        held = self._held()
+        # one number per order; a missing id is an order too
+        both = pd.concat([held["order_id"], updates["order_id"].astype(object)], ignore_index=True)
+        order, ids = pd.factorize(both.mask(both.isna(), None), use_na_sentinel=False)
+        known, order = order[: len(held)], pd.Series(order[len(held) :])
+        state = pd.DataFrame({"order_id": ids, "best": 0.0, "first": pd.NA, "until": 0})
+        state.loc[known, ["best", "first", "until"]] = held[["best", "first", "until"]].astype({"first": object}).to_numpy(object)
+        state = state.astype({"best": "float64", "first": "Int64", "until": "int64"})
         times = updates["ts"].astype("datetime64[us]").astype("int64") // 1000
-        first = int(times.iloc[0]) if first is None else min(first, int(times.iloc[0]))
+        starts = times.groupby(order).first()  # in the order of ts
+        first = state["first"].copy()
+        first.loc[starts.index] = starts
+        state["first"] = pd.concat([state["first"], first], axis=1).min(axis=1).astype("int64")
         quantity = updates["filled_qty"].fillna(0.0)
-        before = quantity.cummax().shift(1, fill_value=best).clip(lower=best)
+        best = state["best"].loc[order].reset_index(drop=True)
+        before = quantity.groupby(order).cummax().groupby(order).shift(1)
+        before = before.fillna(best).clip(lower=best)
         more = quantity > before
-        self.seen.update((max(best, float(quantity.max())), first))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(max(int(times.max()), timerValues.getCurrentWatermarkInMs()) + self.idle_ms)
+        most, last = quantity.groupby(order).max(), times.groupby(order).max()
+        state.loc[most.index, "best"] = state["best"].loc[most.index].clip(lower=most)
+        state.loc[last.index, "until"] = last.clip(lower=timerValues.getCurrentWatermarkInMs()) + self.idle_ms
+        self._keep(state)
         if more.any():
             new = updates[more]
             yield pd.DataFrame(
                 {
-                    "order_id": key[0], "ts": new["ts"], "seq": new["seq"], "status": new["status"],
-                    "fill_quantity": (quantity - before)[more], "fill_price": new["filled_avg_price"], "latency_ms": times[more] - first,
+                    "order_id": new["order_id"], "ts": new["ts"], "seq": new["seq"], "status": new["status"],
+                    "fill_quantity": (quantity - before)[more], "fill_price": new["filled_avg_price"],
+                    "latency_ms": (times - state["first"].loc[order].reset_index(drop=True))[more],
                 }
             )
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.seen.clear()
+        held = self._held()
+        self._keep(held[held["until"] > timerValues.getCurrentWatermarkInMs()])
         return iter([])
 
     def close(self) -> None:
@@ -193,24 +225,33 @@ class _Fills(StatefulProcessor):
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def order_fills(updates: DataFrame, late: str = LATE, idle_minutes: int = 24 * 60) -> DataFrame:
+#: Groups of orders that keep their state together; a task works on one at a time.
+FILL_BUCKETS = 512
+
+
+def order_fills(updates: DataFrame, late: str = LATE, idle_minutes: int = 24 * 60, buckets: int = FILL_BUCKETS) -> DataFrame:
     """New fills out of cumulative broker updates (order_id, ts, status, filled_qty, filled_avg_price, and seq as order
     among equal times): the increase over the order's best so far, and the milliseconds since its first update.
 
-    The state of an order is two numbers, kept in RocksDB (sets the session's state store); a timer in event time drops
-    them when no update came for ``idle_minutes``. An update of a dropped order starts anew. Missing quantities are 0.
+    The state of an order is two numbers, kept in RocksDB (sets the session's state store) with those of the other orders
+    of its bucket, a hash of the order id; a timer in event time drops them when no update came for ``idle_minutes``. An
+    update of a dropped order starts anew. Missing quantities are 0. A checkpoint belongs to its number of buckets.
     """
     updates.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     seq = F.col("seq").cast("long") if "seq" in updates.columns else F.lit(0).cast("long")
     timed = _with_event_time(updates.withColumns({"status": map_status(F.col("status")), "seq": seq}), late)
-    timed = timed.select("order_id", "ts", "seq", "status", F.col("filled_qty").cast("double").alias("filled_qty"), F.col("filled_avg_price").cast("double").alias("filled_avg_price"))
     kind = updates.schema["order_id"].dataType.simpleString()
-    return timed.groupBy("order_id").transformWithStateInPandas(
+    timed = timed.select(
+        F.pmod(F.xxhash64("order_id"), F.lit(buckets)).cast("int").alias("bucket"), F.col("order_id").cast("string").alias("order_id"), "ts", "seq", "status",
+        F.col("filled_qty").cast("double").alias("filled_qty"), F.col("filled_avg_price").cast("double").alias("filled_avg_price"),
+    )
+    fills = timed.groupBy("bucket").transformWithStateInPandas(
         _Fills(idle_minutes * 60_000),
-        f"order_id {kind}, ts timestamp, seq long, status string, fill_quantity double, fill_price double, latency_ms long",
+        "order_id string, ts timestamp, seq long, status string, fill_quantity double, fill_price double, latency_ms long",
         "Append",
         "EventTime",
     )
+    return fills.withColumn("order_id", F.col("order_id").cast(kind))
 
 
 def refresh_features(
