@@ -52,7 +52,7 @@ def _entry(state: dict, accepted: bool, cash: float, pnl: float) -> dict:
 
 def trade_ledger(fills: DataFrame, keys: Sequence[str] = ("portfolio", "symbol"), order: Sequence[str] = ("ts", "order_id", "fill_no")) -> DataFrame:
     """Fills with average cost, position and realised result; sells without enough position are refused."""
-    return fold_sorted(fills, keys, order, lambda: {"held": 0.0, "avg": 0.0}, _book, LEDGER)
+    return fold_sorted(fills, keys, order, lambda: {"held": 0.0, "avg": 0.0}, _book, LEDGER, ("side", "quantity", "price", "commission"))
 
 
 def positions_summary(ledger: DataFrame, prices: DataFrame, tie: Sequence[str] = ("order_id", "fill_no")) -> DataFrame:
@@ -137,7 +137,7 @@ def _until_next(df: DataFrame, keys: Sequence[str], last: Column) -> DataFrame:
 
 def equity_curve(
     fills: DataFrame,
-    prices: DataFrame,
+    prices: DataFrame | None = None,
     keys: Sequence[str] = ("portfolio",),
     step: str = "1 month",
     capital: float = CAPITAL,
@@ -146,25 +146,36 @@ def equity_curve(
     """Value of every portfolio at the ends of its periods, from its first fill on: cash plus positions at their last
     price. Fills that a ledger refused (column ``accepted``) do not count.
 
-    ``prices`` has symbol, ts, close (and may have ``tie`` columns). Fills are summed per portfolio, symbol and period
-    in one pre-aggregated shuffle; positions and cash are running sums over these sums, repeated only for the periods in
-    which a position is held.
+    ``prices`` has symbol, ts, close (and may have ``tie`` columns); without it the prices of all fills count, also of
+    those refused. Fills are read once: they are summed per portfolio, symbol and unit of the step (a period is a number
+    of whole units) in one pre-aggregated shuffle and stored; positions and cash are running sums over these sums,
+    repeated only for the periods in which a position is held.
     """
     keys = list(keys)
-    if "accepted" in fills.columns:
-        fills = fills.filter("accepted")
-    first, final = fills.agg(F.min("ts"), F.max("ts")).first()
+    counted = F.col("accepted") if "accepted" in fills.columns else F.lit(True)
+    unit = F.date_trunc(step.split()[1].rstrip("s").lower(), "ts").cast("timestamp_ntz").alias("_unit")
+    aggs = [F.min(F.when(counted, F.col("ts"))).alias("_first"), F.max(F.when(counted, F.col("ts"))).alias("_final"), F.count_if(counted).alias("_n")]
+    aggs += [F.sum(F.when(counted, signed_quantity())).alias("_q"), F.sum(F.when(counted, cash_flow())).alias("_c")]
+    if prices is None:
+        latest = [c for c in tie if c in fills.columns]
+        aggs.append(F.max(F.struct("ts", *latest, F.col("price").alias("_close"))).alias("_last"))
+    units = cut(fills.groupBy(*keys, "symbol", unit).agg(*aggs))
+    first, final = units.agg(F.min("_first"), F.max("_final")).first()
     periods = Periods(first, step)
     last = periods.number(F.lit(final).cast("timestamp_ntz"))
-    number = periods.number(F.col("ts")).alias("_p")
-    sums = fills.groupBy(*keys, "symbol", number).agg(F.sum(signed_quantity()).alias("_q"), F.sum(cash_flow()).alias("_c"))
+    number = periods.number(F.col("_unit")).alias("_p")
+    sums = units.filter("_n > 0").groupBy(*keys, "symbol", number).agg(F.sum("_q").alias("_q"), F.sum("_c").alias("_c"))
     upto = lambda by: Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     held = sums.select(*keys, "symbol", "_p", F.sum("_q").over(upto([*keys, "symbol"])).alias("_pos"))
     held = _until_next(held, [*keys, "symbol"], last).filter(F.col("_pos") != 0)
-    price_tie = [c for c in tie if c in prices.columns]
     # prices before the first period serve it, later ones than the last fill's period serve none
-    of_period = F.greatest(periods.number(F.col("ts")), F.lit(-1)).alias("_p")
-    closes = prices.groupBy("symbol", of_period).agg(F.max_by("close", F.struct("ts", *price_tie)).alias("_close")).filter(F.col("_p") <= last)
+    of_period = lambda c: F.greatest(periods.number(F.col(c)), F.lit(-1)).alias("_p")
+    if prices is None:
+        closes = units.groupBy("symbol", of_period("_unit")).agg(F.max("_last")["_close"].alias("_close"))
+    else:
+        price_tie = [c for c in tie if c in prices.columns]
+        closes = prices.groupBy("symbol", of_period("ts")).agg(F.max_by("close", F.struct("ts", *price_tie)).alias("_close"))
+    closes = closes.filter(F.col("_p") <= last)
     book = held.join(_until_next(closes, ["symbol"], last), ["symbol", "_p"], "left")
     holdings = book.groupBy(*keys, "_p").agg(F.sum(F.col("_pos") * zero(F.col("_close"))).alias("holdings"))
     flows = sums.groupBy(*keys, "_p").agg(F.sum("_c").alias("_c"))

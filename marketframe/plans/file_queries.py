@@ -120,7 +120,7 @@ _add("s17_model_store", q_model_store, with_sql([BARS], "select symbol as asset_
 def _exported(spark, folder):
     path = _folder(spark, "export")
     fills = derived.fills(spark, folder)
-    equity = P.equity_curve(fills, fills.select("symbol", "ts", "order_id", "fill_no", F.col("price").alias("close")))
+    equity = P.equity_curve(fills)
     metrics = fills.groupBy("portfolio").agg(F.count(F.lit(1)).alias("n"), F.sum("commission").alias("commission"))
     sinks.export_backtest(equity, fills, metrics, path)
     return path, fills
