@@ -109,9 +109,9 @@ def q_rates(spark, folder):
 def q_near(spark, folder):
     bars = _stream(spark, folder, "events").select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("close"))
     other = _stream(spark, folder, "events").select(F.col("event_type").alias("symbol"), "ts", "event_id")
-    # all pairs are met, but only each batch's sums are kept: the pairs grow with the square of the events
-    sums = lambda pairs: pairs.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
-    near = _finished(T.events_near_bars(bars, other), sums)
+    # all pairs are met, but only their sums are kept: the pairs grow with the square of the events
+    sums = lambda met: met.groupBy("symbol").agg(F.sum("n").alias("n"), F.sum("event_id").alias("ids"))
+    near = _finished(T.events_near_bars(bars, other, totals=["event_id"]), sums)
     return near.groupBy("symbol").agg(F.sum("n").alias("n"), F.sum("ids").alias("ids"))
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -125,15 +126,24 @@ def rates_per_minute(log: DataFrame, late: str = LATE) -> DataFrame:
     return out.select(F.col("_w.start").alias("window_start"), "orders", "filled")
 
 
-def events_near_bars(bars: DataFrame, events: DataFrame, late: str = LATE) -> DataFrame:
+def events_near_bars(bars: DataFrame, events: DataFrame, late: str = LATE, totals: Sequence[str] | None = None) -> DataFrame:
     """Stream-stream interval join: events within one hour of a bar of their symbol.
 
     Both sides meet by symbol and hour (a bar goes to its own hour and the ones beside it), so a symbol's state is spread
     over tasks and a row is compared with an hour's rows only.
+
+    The pairs grow with the square of the rows. With ``totals`` (whole-number columns of the events) they are met but not
+    written out: rows are symbol, n and the sum of each column over the pairs that are new, some rows for each symbol and
+    batch. A row finds those near it in the sorted times of the other side and takes their sums off running sums, so the
+    work grows with the rows. The state of an hour (RocksDB; sets the session's state store) goes when the watermark has
+    passed all that may still come near it.
     """
     hour = F.floor(F.unix_seconds("ts") / 3600)
-    left = _with_event_time(bars, late).withColumn("_hour", F.explode(F.array(hour - 1, hour, hour + 1))).alias("b")
-    right = _with_event_time(events, late).withColumn("_hour", hour).alias("e")
+    left = _with_event_time(bars, late).withColumn("_hour", F.explode(F.array(hour - 1, hour, hour + 1)))
+    right = _with_event_time(events, late).withColumn("_hour", hour)
+    if totals is not None:
+        return _near_totals(left, right, list(totals))
+    left, right = left.alias("b"), right.alias("e")
     near = F.expr(
         "b.symbol = e.symbol and b._hour = e._hour and e.ts > b.ts - interval 1 hour and e.ts < b.ts + interval 1 hour"
     )
@@ -143,6 +153,89 @@ def events_near_bars(bars: DataFrame, events: DataFrame, late: str = LATE) -> Da
     )
 
 
+def _near_totals(bars: DataFrame, events: DataFrame, totals: list[str]) -> DataFrame:
+    bars.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    # names that begin with an underscore do not reach pandas
+    values = [f"value{i}" for i in range(len(totals))]
+    same = ["symbol", F.col("_hour").alias("hour"), "ts", F.unix_micros("ts").alias("us")]
+    # a missing value is 0 beside a mark: as one column of both pandas would make fractions of whole numbers
+    none = [x for v in values for x in (F.lit(0).cast("long").alias(v), F.lit(False).alias(f"{v}_there"))]
+    value = [F.col(c).cast("long") for c in totals]
+    there = [x for c, v in zip(value, values) for x in (F.coalesce(c, F.lit(0).cast("long")).alias(v), c.isNotNull().alias(f"{v}_there"))]
+    left, right = bars.select(*same, F.lit(True).alias("bar"), *none), events.select(*same, F.lit(False).alias("bar"), *there)
+    both = left.unionByName(right).filter("symbol is not null and us is not null")
+    kind = bars.schema["symbol"].dataType.simpleString()
+    sums = both.groupBy("symbol", "hour").transformWithStateInPandas(
+        _Near(values), f"symbol {kind}, n long" + "".join(f", {v} long" for v in values), "Append", "EventTime"
+    )
+    return sums.withColumnsRenamed(dict(zip(values, totals)))
+
+
+class _Near(StatefulProcessor):
+    """Counts and sums of the pairs of bars and events of one symbol and hour that are less than an hour apart.
+
+    The state are the times of both sides and the values of the events, packed. New bars meet all events, new events the
+    bars there were before: every pair once.
+    """
+
+    REACH_US = 3_600_000_000
+
+    def __init__(self, values: list[str]):
+        self.values = values
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "bars binary, events binary")
+
+    def _held(self) -> tuple[np.ndarray, np.ndarray]:
+        """Times of bars; of events a row of times and, for each value, one of values and one of whether they are there."""
+        bars, events = self.seen.get() if self.seen.exists() else (b"", b"")
+        return np.frombuffer(bars, np.int64), np.frombuffer(events, np.int64).reshape(1 + 2 * len(self.values), -1)
+
+    def _meet(self, bars: np.ndarray, events: np.ndarray) -> list[int]:
+        """Pairs, and for each value its sum over the pairs and in how many it is there."""
+        events = events[:, np.argsort(events[0], kind="stable")]
+        low = np.searchsorted(events[0], bars - self.REACH_US, "right")
+        high = np.searchsorted(events[0], bars + self.REACH_US, "left")
+        out = [int((high - low).sum())]
+        for row in events[1:]:
+            # halves of a number cannot overflow in running sums, nor Python's whole numbers
+            total = 0
+            for part, unit in ((row >> 32, 1 << 32), (row & 0xFFFFFFFF, 1)):
+                running = np.concatenate([[0], np.cumsum(part)])
+                total += sum(int(s.sum()) for s in np.array_split(running[high] - running[low], len(bars) // 1024 + 1)) * unit
+            out.append(total)
+        return out
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new_bars, new_events = [], []
+        for some in rows:
+            times, bar = some["us"].to_numpy(np.int64), some["bar"].to_numpy(bool)
+            columns = [some[c].to_numpy(np.int64)[~bar] for v in self.values for c in (v, f"{v}_there")]
+            new_bars.append(times[bar])
+            new_events.append(np.stack([times[~bar], *columns]))
+        old_bars, old_events = self._held()
+        bars, events = np.concatenate([old_bars, *new_bars]), np.concatenate([old_events, *new_events], axis=1)
+        first = self._meet(bars[len(old_bars) :], events)
+        second = self._meet(old_bars, events[:, old_events.shape[1] :])
+        met = [a + b for a, b in zip(first, second)]
+        self.seen.update((bars.tobytes(), events.tobytes()))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        # the last bar that an event of this hour may meet is before the end of the next hour
+        self.handle.registerTimer(max((int(key[1]) + 2) * 3_600_000, timerValues.getCurrentWatermarkInMs() + 1))
+        if met[0]:
+            sums = {v: pd.array([met[1 + 2 * i] if met[2 + 2 * i] else None], "Int64") for i, v in enumerate(self.values)}
+            yield pd.DataFrame({"symbol": [key[0]], "n": [met[0]], **sums})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.seen.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
 def error_streaks(errors: DataFrame, gap: str = "5 minutes", late: str = LATE) -> DataFrame:
     """Runs of errors per source without a longer pause, as session windows."""
     timed = _with_event_time(errors, late)
