@@ -74,9 +74,11 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the characters that lie wholly in strings of 200 bytes occurring elsewhere; n_chars follows."""
     inner, names = _numbered(docs)
-    found = suffix_dedup.removals(docs.select("doc_id", "text"), keep=True).select("one", "two", F.col("kept").cast("string").alias("kept"))
+    found = suffix_dedup.removals(docs.select("doc_id", "text")).withColumn("found", F.lit(True))
     place = {name: f"c{docs.columns.index(name)}" for name in ("text", "n_chars") if name in docs.columns}
     joined = inner.withColumns(dict(zip(("one", "two"), suffix_dedup.identity(utf8())))).join(found, ["one", "two"], "left")
+    cut = suffix_dedup.removed(suffix_dedup.LENGTH, keep=True)("copies", F.when(F.col("found"), utf8()), "ranges")
+    joined = joined.withColumn("cut", cut).withColumn("kept", F.col("cut.kept").cast("string"))
     changed = {place["text"]: F.coalesce("kept", "text")}
     if "n_chars" in place:
         column = F.col(place["n_chars"])

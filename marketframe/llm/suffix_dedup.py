@@ -23,15 +23,14 @@ from __future__ import annotations
 
 import bisect
 import hashlib
-import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketframe.llm.common import read, shared_folder, stored, utf8
+from marketframe.llm.common import chunks, discard, read, stored, utf8
 from marketframe.llm.tokens import MULTIPLIER, mix
 
 LENGTH = 200
@@ -43,9 +42,13 @@ SLICE_STRINGS = 60_000
 BUCKET_STRINGS = 120_000
 SLICE_SAMPLE = 64
 SAMPLE = 20_000
+#: Strings that a bucket sorts at a time: a task holds a few copies of their bytes.
+SORTED_STRINGS = 20_000
 #: Bytes of joined text in one vectorised step; positions in it take 20 bits.
-STEP = 1 << 19
-BUCKET_BYTES = 24_000_000
+STEP = 1 << 18
+#: Bytes of the records of a bucket, and how many records it works on at a time.
+BUCKET_BYTES = 12_000_000
+BUCKET_RECORDS = 8_000
 
 
 def loads(raw: np.ndarray) -> np.ndarray:
@@ -129,10 +132,9 @@ def _find(length: int):
     string, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, texts in chunks(batches):
             one = batch.column(0).to_numpy(zero_copy_only=False)
             two = batch.column(1).to_numpy(zero_copy_only=False)
-            texts = [t.as_py() for t in batch.column(2)]
             for raw, ends, owners, offsets in steps(texts, length):
                 seed, at, first, last = anchors(raw, ends, length)
                 piece = np.searchsorted(ends, at, "right")
@@ -146,8 +148,8 @@ def _find(length: int):
 
 
 def _records(length: int):
-    """Cut the records of a text's repeated anchors (kind 0) and pass on the text itself (kind 2). Records of anchors that
-    occur often are gathered in slices of texts (kind 1): the different bodies, and who has them."""
+    """Cut the records of a text's repeated anchors (kind 0) and say how many texts are equal, if several are (kind 2).
+    Records of anchors that occur often are gathered in slices of texts (kind 1): the different bodies, and who has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["kind", "one", "two", "first", "left", "body", "owners", "bodies"]
@@ -168,8 +170,9 @@ def _records(length: int):
         for batch in batches:
             for one, two, copies, text, places in zip(*(batch.column(i) for i in range(5))):
                 one, two, text = one.as_py(), two.as_py(), text.as_py()
-                rows.append((2, one, two, copies.as_py(), None, text, None, None))
-                held += len(text)
+                if copies.as_py() > 1:
+                    rows.append((2, one, two, copies.as_py(), None, None, None, None))
+                    held += 100
                 for place in places.as_py():
                     often, place = place & 1, place >> 1
                     at, low, high = place >> 16, place >> 8 & 255, place & 255
@@ -314,7 +317,7 @@ def _bucket(length: int):
         one, two, first = (got.column(c).to_numpy() for c in ("one", "two", "first"))
         begin = 0
         while begin < len(lead):
-            end = min(begin + 20_000, len(lead))
+            end = min(begin + BUCKET_RECORDS, len(lead))
             while end < len(lead) and lead[end] == lead[end - 1]:
                 end += 1
             record, offset = repeated(bodies[begin:end], left[begin:end], length)
@@ -344,15 +347,42 @@ class Strings:
 def sorted_strings(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the rows of bytes by multikey quicksort, and which of them differ from the one before in that order."""
     size, length = matrix.shape
-    padded = np.zeros((size, -(-length // 8) * 8), np.uint8)
-    padded[:, :length] = matrix
-    words = padded.view(">u8").astype(np.uint64)
+    if length % 8:
+        matrix = np.pad(matrix, ((0, 0), (0, -length % 8)))
+    words = np.ascontiguousarray(matrix).view(">u8").astype(np.uint64)
     order = multikey_order(words)
     new = np.ones(size, bool)
-    new[1:] = common_bytes(words[order])[1:] < length
+    for begin in range(1, size, 4096):
+        some = order[begin - 1 : begin + 4096]
+        new[begin : begin + 4096] = (words[some[1:]] != words[some[:-1]]).any(axis=1)
     return order, new
 
 
+def places_of(splitters: Sequence[bytes], rows: np.ndarray) -> list[int]:
+    """Where each splitter goes in sorted strings, with their begin and end."""
+    return [0, *(bisect.bisect_left(range(len(rows)), s, key=lambda i: rows[i].tobytes()) for s in splitters), len(rows)]
+
+
+def occur_twice(parts: list[np.ndarray], known: np.ndarray) -> np.ndarray:
+    """Which strings of sorted parts, one after the other, occur twice or more in all parts, or are known to. A range of
+    strings is sorted at a time."""
+    begins = np.cumsum([0, *map(len, parts)])
+    ranges = -(-int(begins[-1]) // SORTED_STRINGS)
+    some = sorted({r.tobytes() for p in parts for r in p[:: max(1, SORTED_STRINGS // 16)]} | {p[-1].tobytes() for p in parts if len(p)}) if ranges > 1 else []
+    splitters = sorted({some[n * len(some) // ranges] for n in range(1, ranges)}) if some else []
+    cuts = np.array([places_of(splitters, p) for p in parts])
+    out = np.zeros(begins[-1], bool)
+    for n in range(len(splitters) + 1):
+        at = np.concatenate([np.arange(a, b) + begin for (a, b), begin in zip(cuts[:, n : n + 2], begins)])
+        if not len(at):
+            continue
+        order, new = sorted_strings(np.concatenate([p[a:b] for p, (a, b) in zip(parts, cuts[:, n : n + 2])]))
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(new) - 1
+        out[at] = (np.bincount(number, weights=1 + known[at]) > 1)[number]
+    return out
+
+
 def _sample(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -377,8 +407,7 @@ def _ask(length: int, splitters: list[bytes]):
                 strings = Strings(bodies.as_py(), length)
                 copies = np.bincount(np.frombuffer(owners.as_py(), np.int64).reshape(-1, 4)[:, 3])
                 known = np.bincount(strings.number, weights=copies[strings.record]) > 1
-                cuts = [bisect.bisect_left(range(len(strings.rows)), s, key=lambda i: strings.rows[i].tobytes()) for s in splitters]
-                cuts = [0, *cuts, len(strings.rows)]
+                cuts = places_of(splitters, strings.rows)
                 some = [n for n in range(len(cuts) - 1) if cuts[n] < cuts[n + 1]]
                 packed = [pack(strings.rows[cuts[n] : cuts[n + 1]].tobytes()) for n in some]
                 flags = [np.packbits(known[cuts[n] : cuts[n + 1]]).tobytes() for n in some]
@@ -398,11 +427,7 @@ def _answer(length: int):
         parts = [np.frombuffer(unpack(s.as_py()), np.uint8).reshape(-1, length) for s in asked.column("strings")]
         sizes = [len(p) for p in parts]
         known = np.concatenate([np.unpackbits(np.frombuffer(k.as_py(), np.uint8), count=n) for k, n in zip(asked.column("known"), sizes)])
-        order, new = sorted_strings(np.concatenate(parts))
-        number = np.empty(len(order), np.int64)
-        number[order] = np.cumsum(new) - 1
-        twice = np.bincount(number, weights=1 + known) > 1
-        flags = [np.packbits(f).tobytes() for f in np.split(twice[number], np.cumsum(sizes)[:-1])]
+        flags = [np.packbits(f).tobytes() for f in np.split(occur_twice(parts, known), np.cumsum(sizes)[:-1])]
         return pa.table({"slice": asked.column("slice"), "bucket": asked.column("bucket"), "number": pa.array(sizes, pa.int64()), "twice": pa.array(flags, pa.binary())})
 
     return run
@@ -489,27 +514,30 @@ def whole_characters(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int
     return out
 
 
-def _cut(length: int, keep: bool):
-    """Counts and the kept bytes of texts with ranges to remove."""
+def removed(length: int, keep: bool = False):
+    """Column function of (copies, text, ranges) of :func:`removals`: n_removed, n_spans, kept_sha256; with ``keep`` also
+    kept (UTF-8 bytes; a character that is removed only in part stays), removed_from and removed_to. NULL for no text."""
+    kinds = [("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
+    kinds += [("kept", pa.binary()), ("removed_from", pa.list_(pa.int64())), ("removed_to", pa.list_(pa.int64()))] * keep
+    schema = "n_removed long, n_spans long, kept_sha256 string"
+    schema += ", kept binary, removed_from array<long>, removed_to array<long>" if keep else ""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["one", "two", "n_removed", "n_spans", "kept_sha256"] + ["kept", "removed_from", "removed_to"] * keep
-        for batch in batches:
-            out: list[list] = [[] for _ in names[2:]]
-            for copies, text, ranges in zip(batch.column(2), batch.column(3), batch.column(4)):
-                text, ranges = text.as_py(), ranges.as_py() or []
-                if copies.as_py() > 1 and len(text) >= length:
-                    runs = [(0, len(text))]
-                else:
-                    runs = joined_spans([r["from"] for r in ranges], [r["to"] for r in ranges])
-                kept = without(text, runs)
-                values = [sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept).hexdigest()]
-                if keep:
-                    values += [without(text, whole_characters(text, runs)), [a for a, _ in runs], [b for _, b in runs]]
-                for column, value in zip(out, values):
-                    column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(out, kinds))], names=names)
+    def one(copies: int | None, text: bytes | None, ranges: list[dict] | None) -> dict | None:
+        if text is None:
+            return None
+        if (copies or 1) > 1 and len(text) >= length:
+            runs = [(0, len(text))]
+        else:
+            runs = joined_spans([r["from"] for r in ranges or []], [r["to"] for r in ranges or []])
+        kept = without(text, runs)
+        out = {"n_removed": sum(b - a for a, b in runs), "n_spans": len(runs), "kept_sha256": hashlib.sha256(kept).hexdigest()}
+        if keep:
+            out |= {"kept": without(text, whole_characters(text, runs)), "removed_from": [a for a, _ in runs], "removed_to": [b for _, b in runs]}
+        return out
+
+    @F.arrow_udf(schema)
+    def run(copies: pa.Array, text: pa.Array, ranges: pa.Array) -> pa.Array:
+        return pa.array([one(c.as_py(), t.as_py(), r.as_py()) for c, t, r in zip(copies, text, ranges)], pa.struct(kinds))
 
     return run
 
@@ -519,13 +547,12 @@ def identity(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("one"), F.crc32(text).alias("two")]
 
 
-def removals(docs: DataFrame, length: int = LENGTH, often: int = OFTEN, keep: bool = False) -> DataFrame:
-    """For every different text of ``docs`` that may have repeats: one, two (its digests), n_removed, n_spans,
-    kept_sha256; with ``keep`` also kept (UTF-8 bytes; a character that is removed only in part stays), removed_from and
-    removed_to.
+def removals(docs: DataFrame, length: int = LENGTH, often: int = OFTEN) -> DataFrame:
+    """For every different text of ``docs`` that has repeats: one, two (its digests), copies (how many texts are equal, if
+    several are) and ranges (bytes of strings that occur elsewhere; they may overlap). See :func:`removed`.
 
-    Three scans of ``docs``. Texts move twice (to their anchors, and those with repeats to their ranges), records of
-    repeated anchors once or twice; equal texts are folded first.
+    Two scans of ``docs``. Texts move once, to their anchors, records of repeated anchors once or twice; equal texts are
+    folded first. What is here afterwards is the stored result; each step's tables and shuffles go with the next.
     """
     spark = docs.sparkSession
     text = docs.select(utf8().alias("text")).where(F.octet_length("text") >= length)
@@ -538,9 +565,8 @@ def removals(docs: DataFrame, length: int = LENGTH, often: int = OFTEN, keep: bo
     folded = rows.groupBy("one", "two").agg(F.count("*").alias("copies"), F.first("text").alias("text"))
     cut = folded.join(places, ["one", "two"]).select("one", "two", "copies", "text", "places")
     schema = "kind int, one long, two long, first long, left int, body binary, owners binary, bodies array<binary>"
-    path = f"{shared_folder(spark)}/suffixes-{uuid.uuid4().hex}"
-    cut.mapInArrow(_records(length), schema).write.option("compression", "zstd").partitionBy("kind").parquet(path)
-    records = spark.read.schema(schema).parquet(path)
+    records = stored(cut.mapInArrow(_records(length), schema), "suffixes", "kind")
+    discard(counts)
 
     rare = records.where("kind = 0").withColumn("lead", F.expr(f"substring(body, left + 1, {SEED_BYTES})"))
     size = rare.count()
@@ -548,13 +574,12 @@ def removals(docs: DataFrame, length: int = LENGTH, often: int = OFTEN, keep: bo
     ranges = rare.select("one", "two", "first", "left", "body", "lead").repartitionByRange(buckets, "lead").mapInArrow(_bucket(length), "one long, two long, from long, to long")
     ranges = ranges.select("one", "two", F.array(F.struct("from", "to")).alias("ranges"))
     slices = records.where("kind = 1").select(F.col("one").alias("slice"), F.col("two").alias("strings"), "owners", "bodies")
-    ranges = ranges.unionByName(_hot_ranges(slices, length))
-    ranges = ranges.groupBy("one", "two").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
-    texts = records.where("kind = 2").select("one", "two", F.col("first").alias("copies"), F.col("body").alias("text"))
-    both = texts.join(ranges, ["one", "two"], "left").where("ranges is not null or copies > 1")
-    schema = "one long, two long, n_removed long, n_spans long, kept_sha256 string"
-    schema += ", kept binary, removed_from array<long>, removed_to array<long>" if keep else ""
-    return both.mapInArrow(_cut(length, keep), schema)
+    ranges = ranges.unionByName(_hot_ranges(slices, length)).withColumn("copies", F.lit(None).cast("long"))
+    several = records.where("kind = 2").select("one", "two", F.col("first").alias("copies"))
+    ranges = ranges.unionByName(several, allowMissingColumns=True)
+    out = stored(ranges.groupBy("one", "two").agg(F.max("copies").alias("copies"), F.flatten(F.collect_list("ranges")).alias("ranges")), "repeats")
+    discard(records)
+    return out
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, often: int = OFTEN) -> DataFrame:
@@ -565,16 +590,19 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, often: int = OFTEN) -> D
     texts and are judged on the input. Texts shorter than ``length`` stay whole. Repeated rows are two places each. A
     missing doc_id stays missing; other columns are not read.
     """
-    found = removals(docs, length, often)
+    found = removals(docs, length, often).withColumn("found", F.lit(True))
     rows = docs.select("doc_id", utf8().alias("text"))
-    rows = rows.select("doc_id", *identity(F.col("text")), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
-    some = rows.join(found, ["one", "two"], "left")
+    some = rows.select("doc_id", *identity(F.col("text")), "text").join(found, ["one", "two"], "left")
+    cut = removed(length)("copies", F.when(F.col("found"), F.col("text")), "ranges")
+    some = some.select(
+        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.when(F.col("found").isNull(), F.sha2("text", 256)).alias("whole"), cut.alias("cut")
+    )
     return some.select(
         "doc_id",
         "n_bytes",
-        F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
-        F.coalesce("kept_sha256", "whole").alias("kept_sha256"),
+        F.coalesce("cut.n_removed", F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("cut.n_spans", F.lit(0)).cast("long").alias("n_spans"),
+        F.coalesce("cut.kept_sha256", "whole").alias("kept_sha256"),
     )
 
 
